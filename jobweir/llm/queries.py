@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup
+import public_tokenizers
+
+from . import language_id, line_dedup, packing, quality_gam, token_file, warc
 
 UPPER, LOWER = line_dedup.UPPER, line_dedup.LOWER
 
@@ -43,5 +45,67 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup}
-ORACLES = {"op1_line_dedup": OP1_SQL}
+
+def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_gam.train(docs, _table(spark, sf_dir, "labels"))
+    return quality_gam.scored(docs, model).select(
+        "doc_id",
+        quality_gam.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs)
+    return docs.select(
+        "doc_id",
+        language_id.held_out("doc_id", 4, 2).alias("held_out"),
+        language_id.predicted(docs, model).alias("p"),
+    ).select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read(index).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+), f AS (
+  SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY ALL
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id < page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = token_file.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_file.read(spark, manifest)
+
+
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_quality_gam": op2_quality_gam,
+    "op3_packing": op3_packing,
+    "op4_language_id": op4_language_id,
+    "op6_warc": op6_warc,
+    "op9_token_file": op9_token_file,
+}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op6_warc": OP6_SQL}
