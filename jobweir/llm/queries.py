@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import language_id, line_dedup, packing, quality_gam, token_file, warc
+from . import language_id, line_dedup, near_dedup, packing, quality_gam, token_file, warc
 
 UPPER, LOWER = line_dedup.UPPER, line_dedup.LOWER
 
@@ -79,6 +79,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP6_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes,
@@ -105,6 +109,7 @@ QUERIES = {
     "op2_quality_gam": op2_quality_gam,
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
+    "op5_near_dedup": op5_near_dedup,
     "op6_warc": op6_warc,
     "op9_token_file": op9_token_file,
 }
