@@ -6,7 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import language_id, line_dedup, near_dedup, packing, quality_gam, token_file, warc
+from . import (
+    decontaminate,
+    fingerprint,
+    language_id,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality_gam,
+    secrets,
+    token_file,
+    warc,
+)
 
 UPPER, LOWER = line_dedup.UPPER, line_dedup.LOWER
 
@@ -104,6 +115,125 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read(spark, manifest)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs)
+    base = F.filter("found", lambda s: s["rule"] < secrets.BASE)
+    return found.select(
+        "doc_id",
+        *[secrets.count_of(F.col("found"), i).alias(f"n_{secrets.RULES[i].kind}") for i in range(secrets.BASE)],
+        F.sha2(secrets.named(base), 256).alias("base_sha256"),
+        secrets.named(F.col("found")).alias("spans"),
+    )
+
+
+def _op7_sql() -> str:
+    def rows(no: int, rule: secrets.Rule) -> str:
+        p = rule.pattern.replace("'", "''")
+        return f"""
+  SELECT doc_id, {no} AS rule, '{rule.kind}' AS kind,
+         unnest(regexp_extract_all(t, '{p}')) AS m,
+         unnest(regexp_extract_all(t, '{p}', {rule.group})) AS g,
+         unnest(list_slice(string_split_regex(t, '{p}'), 1, len(regexp_extract_all(t, '{p}')))) AS gap,
+         generate_subscripts(regexp_extract_all(t, '{p}'), 1) AS i, {rule.least} AS least
+  FROM d WHERE regexp_matches(t, '{p}')"""
+
+    union = " UNION ALL ".join(rows(no, r) for no, r in enumerate(secrets.RULES))
+    named = "kind || ':' || start || ':' || stop, ',' ORDER BY start, rule"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), u AS ({union}
+), p AS (
+  SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, rule ORDER BY i)::BIGINT AS stop FROM u
+), s AS (
+  SELECT doc_id, rule, kind, stop - length(m) AS start, stop FROM p WHERE length(g) >= least
+), a AS (
+  SELECT doc_id, count(*) FILTER (WHERE rule = 0) AS n_assign, count(*) FILTER (WHERE rule = 1) AS n_access,
+         count(*) FILTER (WHERE rule = 2) AS n_hex,
+         string_agg({named}) FILTER (WHERE rule < {secrets.BASE}) AS base, string_agg({named}) AS spans
+  FROM s GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+       coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.compared(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumns({c: F.round(c, 6) for c in ("near_edited", "near_next")})
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+         lead(coalesce(text, '')) OVER w AS after, first_value(coalesce(text, '')) OVER w AS top,
+         coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id
+  FROM documents WINDOW w AS (ORDER BY doc_id DESC)
+), e AS (
+  SELECT doc_id, n, next_id, t,
+         substring(t, 1, n - n // 3) || substring(coalesce(after, top), 1, n // 3) AS edited
+  FROM d
+), p AS (
+  SELECT doc_id, which, sha256(piece) AS h FROM (
+    SELECT doc_id, which,
+           unnest(string_split(regexp_replace(x, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10))) AS piece
+    FROM (SELECT doc_id, 0 AS which, t AS x FROM e UNION ALL SELECT doc_id, 1, edited FROM e)
+  ) WHERE piece <> ''
+), lanes AS (
+  SELECT doc_id, which, lane,
+         sum(2 * ((('0x' || substring(h, (8 * (lane // 32) + 1)::INT, 8))::BIGINT >> (lane % 32)::INT) & 1) - 1)::BIGINT AS v
+  FROM p, range(256) r(lane) GROUP BY ALL
+), v AS (
+  SELECT doc_id, which, list(v ORDER BY lane) AS v FROM lanes GROUP BY ALL
+), f AS (
+  SELECT e.doc_id, n, next_id, edited, which, coalesce(v.v, list_transform(range(256), lambda i: 0::BIGINT)) AS v
+  FROM e CROSS JOIN (VALUES (0), (1)) w(which) LEFT JOIN v USING (doc_id, which)
+), j AS (
+  SELECT a.doc_id, a.n, a.edited, a.v AS va, b.v AS vb, c.v AS vc
+  FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.which = 0 AND b.which = 1
+  JOIN f c ON c.doc_id = a.next_id AND c.which = 0
+), dots AS (
+  SELECT *, list_sum(list_transform(va, lambda x: x * x))::DOUBLE AS aa,
+         list_sum(list_transform(vb, lambda x: x * x))::DOUBLE AS bb,
+         list_sum(list_transform(vc, lambda x: x * x))::DOUBLE AS cc,
+         list_sum(list_transform(range(1, 257), lambda i: va[i] * vb[i]))::DOUBLE AS ab,
+         list_sum(list_transform(range(1, 257), lambda i: va[i] * vc[i]))::DOUBLE AS ac
+  FROM j
+)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256,
+       list_aggregate(list_transform(va, lambda x: format('{:04x}', (x + 65536) % 65536)), 'string_agg', '') AS fingerprint,
+       list_aggregate(list_transform(vb, lambda x: format('{:04x}', (x + 65536) % 65536)), 'string_agg', '') AS edited_fingerprint,
+       round(CASE WHEN va = vb THEN 1.0::DOUBLE WHEN aa * bb > 0 THEN greatest(0, least(1, ab / (sqrt(aa) * sqrt(bb)))) ELSE 0 END, 6) AS near_edited,
+       round(CASE WHEN va = vc THEN 1.0::DOUBLE WHEN aa * cc > 0 THEN greatest(0, least(1, ac / (sqrt(aa) * sqrt(cc)))) ELSE 0 END, 6) AS near_next
+FROM dots
+"""
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.matches(docs, _table(spark, sf_dir, "benchmark"))
+
+
+OP10_SQL = r"""
+WITH i AS (
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda w: w <> '') AS ws
+  FROM benchmark
+), si AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' '))) AS s
+  FROM i WHERE len(ws) >= 5
+), q AS (SELECT item_id, count(*) AS n_item FROM si GROUP BY item_id), d AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda w: w <> '') AS ws
+  FROM documents
+), sd AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' '))) AS s
+  FROM d WHERE len(ws) >= 5
+)
+SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
+FROM sd JOIN si USING (s) JOIN q USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_gam": op2_quality_gam,
@@ -111,6 +241,15 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_near_dedup": op5_near_dedup,
     "op6_warc": op6_warc,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_fingerprint": op8_fingerprint,
     "op9_token_file": op9_token_file,
+    "op10_decontaminate": op10_decontaminate,
+}
+ORACLES = {
+    "op1_line_dedup": OP1_SQL,
+    "op6_warc": OP6_SQL,
+    "op7_secret_scan": _op7_sql(),
+    "op8_fingerprint": OP8_SQL,
+    "op10_decontaminate": OP10_SQL,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op6_warc": OP6_SQL}
