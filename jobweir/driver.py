@@ -346,3 +346,5 @@ query(
         v.withColumn("kind", F.when(F.col("id") % 2 == 0, "lever").otherwise("greenhouse"))
     ).select("id", "ref.slug")
 )
+
+from . import driver_more  # noqa: E402, F401  it registers its queries here

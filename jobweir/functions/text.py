@@ -121,7 +121,8 @@ def joined_html(a: Column, b: Column) -> Column:
 
 
 def millis_text(ms: Column) -> Column:
-    """Milliseconds since 1970 as RFC 3339 text in UTC."""
+    """Milliseconds since 1970 as RFC 3339 text in UTC; null beyond the year 9999."""
+    ms = F.when(F.abs(ms) < 253_402_300_800_000, ms)
     at = F.to_utc_timestamp(F.timestamp_millis(ms), F.current_timezone())
     whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
     part = F.pmod(ms, F.lit(1000))
