@@ -98,7 +98,7 @@ FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01 00:00:00' GROUP BY l_part
     "v_batch": """
 SELECT DISTINCT l_partkey * 10 + l_suppkey % 10 AS k, l_orderkey AS company_id, 'T' || CAST(l_orderkey AS STRING) AS title,
        CASE WHEN l_linenumber > 3 THEN 'D' || CAST(l_orderkey AS STRING) END AS description,
-       l_shipdate AS at, l_orderkey AS o, l_linenumber AS n
+       l_shipdate AS ts, l_orderkey AS o, l_linenumber AS n
 FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01 00:00:00'""",
     "v_run": """
 SELECT event_id AS run_id, event_type AS source, ts AS started_at, event_id % 7 <> 0 AS ok,
@@ -348,3 +348,4 @@ query(
 )
 
 from . import driver_more  # noqa: E402, F401  it registers its queries here
+from . import driver_state  # noqa: E402, F401

@@ -147,6 +147,7 @@ ENTRY = {
 }
 BAD = {k: '{"id":"z","title":null,"text":7,"name":null,"jobOpeningName":null,"externalPath":"/z"},"junk",{"id":"y","title":"T","text":"T","name":"T","jobOpeningName":"T","absolute_url":"u","location":[1],"locationName":{"a":[1]},"categories":5,"bulletFields":"no"}' for k in ENTRY}
 BAD |= {
+    "lever": '{"id":"z","text":null},"junk",{"id":"y","text":"T","createdAt":"x"}',
     "ashbyhq": '{"id":"z","title":null},"junk",{"id":"y","title":"T","isRemote":"no"}',
     "recruitee": '{"id":"z","title":null},"junk",{"id":"y","title":"T","remote":"no"}',
 }
@@ -156,7 +157,7 @@ WANT = {
     "greenhouse": ("k", "'Dev ' || k", "'Berlin'", "'Eng'", "'https://g/' || k", "'Hi ' || k", "TRUE", "'2024-01-01'"),
     "ashbyhq": ("'a' || k", "'Dev ' || k", "'Oslo'", "'Eng'", "'https://jobs.ashbyhq.com/' || slug || '/a' || k", "'D ' || k", "TRUE", "'2024-02-02'"),
     "lever": ("'l' || k", "'Dev ' || k", "'Rome'", "'T' || k", "'https://jobs.lever.co/' || slug || '/l' || k", "'D'", "TRUE",
-              "strftime(make_timestamp(CAST('170000' || k AS BIGINT) * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN CAST(k AS BIGINT) % 1000 = 0 AND length(k) > 2 THEN '' ELSE '.' || right('170000' || k, 3) END || '+00:00'"),
+              "strftime(make_timestamp(CAST('170000' || k AS BIGINT) * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN right('170000' || k, 3) = '000' THEN '' ELSE '.' || right('170000' || k, 3) END || '+00:00'"),
     "smartrecruiters": ("'s' || k", "'Dev ' || k", "'Bonn'", "'Ops'", "'https://jobs.smartrecruiters.com/' || slug || '/s' || k", "NULL", "FALSE", "'2024-03-03'"),
     "bamboohr": ("k", "'Dev ' || k", "'Remote, UT'", "'HR'", "'https://' || slug || '.bamboohr.com/careers/' || k", "NULL", "TRUE", "NULL"),
     "recruitee": ("k", "'Dev ' || k", "'Kyiv'", "'Eng'", "'https://' || slug || '.recruitee.com/o/' || k", "'A ' || k || ' B'", "TRUE", "'2024-04-04 00:00:00 UTC'"),

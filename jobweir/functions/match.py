@@ -28,7 +28,13 @@ def with_tokens(df: DataFrame, columns=COLUMNS) -> DataFrame:
 
 
 def _any(columns, make) -> Column:
-    return reduce(lambda a, b: a | b, [make(F.col(f"{c}_tokens")) for c in columns])
+    """make(tokens) for any of the columns. Tokens are bound to a variable, so
+    that they are made once though make uses them for each of their places."""
+
+    def bound(t: Column) -> Column:
+        return F.get(F.transform(F.array(t), make), 0)
+
+    return reduce(lambda a, b: a | b, [bound(F.col(f"{c}_tokens")) for c in columns])
 
 
 def term(word: str, columns=COLUMNS) -> Column:
@@ -70,6 +76,10 @@ def near(a: str, b: str, within: int, columns=COLUMNS) -> Column:
     return _any(columns, found)
 
 
+def _equals(word: str):
+    return lambda x: x == word
+
+
 def bm25(df: DataFrame, words: list[str], columns=COLUMNS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """df with rank, lower is better: BM25 over all columns' tokens together.
 
@@ -77,7 +87,7 @@ def bm25(df: DataFrame, words: list[str], columns=COLUMNS, k1: float = 1.2, b: f
     hold each word: a single row, which is broadcast.
     """
     all_ = F.flatten(F.array(*[F.col(f"{c}_tokens") for c in columns]))
-    tf = [F.size(F.filter(F.col("_all"), lambda x, w=w: x == w)) for w in words]
+    tf = [F.size(F.filter("_all", _equals(w))) for w in words]
     rows = df.withColumn("_all", all_).withColumns(
         {"_len": F.size("_all"), **{f"_tf{i}": x for i, x in enumerate(tf)}}
     ).drop("_all")
