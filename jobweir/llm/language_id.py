@@ -34,9 +34,10 @@ SYMBOLS = 62
 class Model(NamedTuple):
     languages: list[str]
     letters: str
-    """Symbol 0 ends a stretch, 1 is any other letter, 2 a blank, then these."""
+    """Symbol 0 is any other letter, 1 a blank, then these."""
     next: np.ndarray
-    """next[state + symbol] is the following state (a multiple of width), or -1."""
+    """next[state + symbol] is the following state (a multiple of width), or -1.
+    State 0 has no way out: after it, a phrase begins."""
     roots: np.ndarray
     width: int
 
@@ -88,7 +89,7 @@ def build(samples: dict[str, str], symbols: int = SYMBOLS) -> Model:
     """
     samples = {k: v for k, v in sorted(samples.items()) if v}
     if not samples:
-        return Model([], "", np.zeros(1, np.int32), np.zeros(0, np.int64), 1)
+        return Model([], "", np.full(1, -1, np.int32), np.zeros(0, np.int64), 1)
     sizes = sorted(map(len, samples.values()))
     size = min(n for n in sizes if n >= sizes[len(sizes) // 2] / 2)
     samples = {k: v[:size] for k, v in samples.items()}
@@ -98,13 +99,12 @@ def build(samples: dict[str, str], symbols: int = SYMBOLS) -> Model:
             counts[c] = counts.get(c, 0) + 1
     counts.pop(" ", None)
     letters = "".join(sorted(counts, key=lambda c: (-counts[c], c))[:symbols])
-    width = len(letters) + 3
-    code = {" ": 2} | {c: i + 3 for i, c in enumerate(letters)}
-    tables, roots, at = [], [], 0
+    width = len(letters) + 2
+    code = {" ": 1} | {c: i + 2 for i, c in enumerate(letters)}
+    tables, roots, at = [np.full((1, width), -1, np.int32)], [], 1
     for v in samples.values():
-        t = suffix_automaton([code.get(c, 1) for c in v], width)
+        t = suffix_automaton([code.get(c, 0) for c in v], width)
         t = np.where(t >= 0, (t + at) * width, -1).astype(np.int32)
-        t[:, 0] = (np.arange(len(t)) + at) * width  # an ended stretch stays where it is
         tables.append(t)
         roots.append(at * width)
         at += len(t)
@@ -119,8 +119,8 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not n_lang or not size.sum():
         return count, size
     point = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    codes = np.full(int(point.max()) + 1, 1, np.uint8)
-    for c, i in [(" ", 2), *((c, i + 3) for i, c in enumerate(model.letters))]:
+    codes = np.zeros(int(point.max()) + 1, np.uint8)
+    for c, i in [(" ", 1), *((c, i + 2) for i, c in enumerate(model.letters))]:
         if ord(c) < len(codes):
             codes[ord(c)] = i
     symbols = codes[point]
@@ -131,8 +131,8 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     length = np.minimum(size[owner] - place * STRETCH, STRETCH)
     order = np.argsort(-length, kind="stable")
     owner, start, length = owner[order], start[order], length[order]
-    state = np.repeat(model.roots[:, None], len(owner), 1)
-    found = np.ones((n_lang, len(owner)), np.int64)
+    state = np.zeros((n_lang, len(owner)), np.int64)
+    found = np.zeros((n_lang, len(owner)), np.int64)
     root = model.roots[:, None]
     for step in range(int(length[0])):
         live = int(np.searchsorted(-length, -step, "left"))  # stretches longer than step
@@ -140,9 +140,9 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         to = model.next[state[:, :live] + s].astype(np.int64)
         ended = to < 0
         found[:, :live] += ended
-        # a new phrase starts with this character, if the sample has it at all
-        again = model.next[root + s].astype(np.int64)
-        state[:, :live] = np.where(ended, np.where(again < 0, root, again), to)
+        # a new phrase starts with this character; one that the sample lacks is a phrase
+        again = np.maximum(model.next[root + s].astype(np.int64), 0)
+        state[:, :live] = np.where(ended, again, to)
     np.add.at(count, owner, found.T)
     return count, size
 
