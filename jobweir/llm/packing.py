@@ -171,11 +171,11 @@ def slots(bins: Bins) -> pd.DataFrame:
 
 def _cut(path: str, end_id: int, room: int):
     def run(batches):
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder.of(path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encoder.ids(text.as_py()) + end
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.batch(b.column(1).to_pylist())):
+                ids += end
                 n = len(ids) // 4
                 at, to, piece = 0, (n - 1) % room + 1, 0
                 while at < n:

@@ -164,7 +164,7 @@ def open_store(uri: str):
 
 def _write(folder: str, tokenizer: str, end_id: int):
     def run(batches):
-        encoder, end, writer = Encoder(tokenizer), np.array([end_id], "<u4").tobytes(), None
+        encoder, end, writer = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes(), None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -176,7 +176,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
                 out = store.open_output_stream(place, compression=None)
                 writer = Writer(out)
             writer.add(
-                b.column(0).to_pylist(), [encoder.ids(t.as_py()) + end for t in b.column(1)]
+                b.column(0).to_pylist(), [ids + end for ids in encoder.batch(b.column(1).to_pylist())]
             )
         if writer is not None:
             writer.close()

@@ -1,24 +1,36 @@
 """Token ids of whole texts, with the tokenizers library, made fast by a cache.
 
 Byte-level BPE never joins a word to the next one: a blank between two other
-characters starts the next word's token. Texts are therefore cut there, and
-each distinct piece is encoded by the library once per task. Texts with runs
-of white space are cut by a stricter rule; the ids always equal those of the
-whole text (tests hold this against the library).
+characters starts the next word's token. Texts are therefore cut there, each
+distinct piece of a batch is encoded by the library once, and pieces that come
+again stay in a cache of bounded size, which a worker process keeps between
+tasks. Texts with runs of white space are cut by a stricter rule; the ids always
+equal those of the whole text (tests hold this against the library).
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
+#: Pieces that a worker keeps, about 200 bytes each.
+PIECES = 400_000
+#: Characters of text that are looked up together.
+CHARS = 4 << 20
 
-CACHE_PIECES = 300_000
+
+class Known(dict):
+    """Pieces kept for long, and behind them those of the current batch."""
+
+    others: dict[str, bytes]
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.others[piece]
 
 
 class Encoder:
-    """ids(text): its token ids as little-endian unsigned 32-bit integers."""
+    """batch(texts): their token ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -27,34 +39,70 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.runs = re.compile(r"\s\s|\A\s|\s\Z")
         self.cut = re.compile(r"(?<=\S)(?= \S)")
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        #: By what stands before the piece: nothing, or a blank.
+        self.caches = {"": Known(), " ": Known()}
         self.newline = self._encode(["\n"])[0]
 
+    @classmethod
+    def of(cls, path: str) -> "Encoder":
+        """This process's encoder for a tokenizer file."""
+        import tokenizers
+
+        held = vars(tokenizers).setdefault("_encoders_of_jobweir", {})
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
+
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [
-            np.array(e.ids, "<u4").tobytes()
-            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ]
-
-    def _look_up(self, cache: dict, pieces: list[str], before: str) -> list[bytes]:
-        try:
-            return [cache[p] for p in pieces]
-        except KeyError:
-            if len(cache) > CACHE_PIECES:
-                cache.clear()
-            new = [p for p in dict.fromkeys(pieces) if p not in cache]
-            cache.update(zip(new, self._encode([before + p for p in new])))
-            return [cache[p] for p in pieces]
-
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.runs.search(text):
-            return b"".join(self._look_up(self.plain, self.cut.split(text), ""))
-        lines = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            first = self._look_up(self.plain, words[:1], "")
-            lines.append(b"".join(first + self._look_up(self.spaced, words[1:], " ")))
-        return self.newline.join(lines)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _learn(self, before: str, pieces: set[str]) -> "Known":
+        """The cache, with what it lacks of pieces."""
+        cache = self.caches[before]
+        cache.others = {}
+        new = [p for p in pieces if p not in cache]
+        ids = dict(zip(new, self._encode([before + p for p in new])))
+        if len(cache) < PIECES:
+            cache.update(ids)
+        else:
+            cache.others = ids
+        return cache
+
+    def _chunk(self, texts: list[str]) -> list[bytes]:
+        first: set[str] = set()
+        rest: set[str] = set()
+        parts = []
+        for t in texts:
+            if self.runs.search(t):
+                pieces = self.cut.split(t)
+                first.update(pieces)
+                parts.append((pieces, None))
+            else:
+                lines = [x.split(" ") for x in t.split("\n")]
+                heads = [x.pop(0) for x in lines]
+                first.update(heads)
+                rest.update(*lines)
+                parts.append((heads, lines))
+        plain, spaced = self._learn("", first), self._learn(" ", rest)
+        out = []
+        for heads, lines in parts:
+            if lines is None:
+                out.append(b"".join([plain[p] for p in heads]))
+            else:
+                whole = [plain[h] + b"".join([spaced[p] for p in x]) for h, x in zip(heads, lines)]
+                out.append(self.newline.join(whole))
+        return out
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size + len(texts[to]) <= CHARS):
+                size += len(texts[to])
+                to += 1
+            out += self._chunk(texts[at:to])
+            at = to
+        return out
