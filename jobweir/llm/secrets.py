@@ -110,7 +110,9 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     best = max(runs, key=lambda run: min(map(len, run)))
     if min(map(len, best)) < 3:
         return []
-    return sorted({frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in best}, key=sorted)
+    clauses = {frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in best}
+    # a clause that asks for more than another adds nothing to the OR
+    return sorted((c for c in clauses if not any(d < c for d in clauses)), key=sorted)
 
 
 def _flat(nodes):
