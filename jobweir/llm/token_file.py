@@ -51,10 +51,10 @@ def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     width = int(np.partition(v, at)[at]).bit_length()
     high = v >> np.uint32(width) if width < 32 else np.zeros_like(v)
     places = np.flatnonzero(high)
-    bits = (v[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
+    bits = np.unpackbits(v.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
     return (
         struct.pack(HEAD, base, len(v), width, len(places))
-        + np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+        + np.packbits(bits[:, :width], bitorder="little").tobytes()
         + places.astype("<u2").tobytes()
         + high[places].astype("<u4").tobytes()
     )
@@ -65,10 +65,9 @@ def unpack_block(data: bytes, at: int = 0) -> np.ndarray:
     at += HEAD_BYTES
     size = (count * width + 7) // 8
     raw = np.frombuffer(data, np.uint8, size, at)
-    bits = np.unpackbits(raw, count=count * width, bitorder="little").reshape(count, width)
-    v = np.zeros(count, np.uint32)
-    for i in range(width):
-        v |= bits[:, i].astype(np.uint32) << np.uint32(i)
+    bits = np.zeros((count, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(raw, count=count * width, bitorder="little").reshape(count, width)
+    v = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
     at += size
     places = np.frombuffer(data, "<u2", n_out, at)
     high = np.frombuffer(data, "<u4", n_out, at + 2 * n_out)
@@ -147,11 +146,12 @@ class Reader:
         """(doc_id, place of its first id, ids) of each document, in order."""
         have, at, block, n = np.zeros(0, np.uint32), 0, 0, len(self.starts) - 1
         for doc_id, count in zip(self.doc_ids, self.counts):
-            parts, got = [have], len(have)
-            while got < count and block < n:
-                parts.append(self.blocks(block, min(n, block + step)))
-                got, block = got + len(parts[-1]), min(n, block + step)
-            have = np.concatenate(parts)
+            if len(have) < count:
+                parts, got = [have], len(have)
+                while got < count and block < n:
+                    parts.append(self.blocks(block, min(n, block + step)))
+                    got, block = got + len(parts[-1]), min(n, block + step)
+                have = np.concatenate(parts)
             yield doc_id, at, have[:count]
             have, at = have[count:], at + int(count)
 
