@@ -50,9 +50,12 @@ class LineState(NamedTuple):
     n_shards: int
 
 
-def line_key(line: Column) -> Column:
-    """A line without blanks at its ends and with A-Z in lower case."""
-    cut = F.btrim(line, F.lit(BLANKS))
+def trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS))
+
+
+def folded(cut: Column) -> Column:
+    """A trimmed line with A-Z in lower case: its key."""
     # lower() equals the ASCII fold on ASCII lines and is far faster there
     return F.when(F.octet_length(cut) == F.char_length(cut), F.lower(cut)).otherwise(
         F.translate(cut, UPPER, LOWER)
@@ -61,11 +64,13 @@ def line_key(line: Column) -> Column:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(doc_id, th, keys): keys of long enough lines with their position."""
+    # each step is a transform of its own, so that nothing is worked out twice
     keys = F.transform(
         F.split(whole(text_col), "\n", -1),
-        lambda x, i: F.struct(i.cast("int").alias("pos"), line_key(x).alias("key")),
+        lambda x, i: F.struct(i.cast("int").alias("pos"), trimmed(x).alias("key")),
     )
     keys = F.filter(keys, lambda s: F.char_length(s["key"]) >= min_chars)
+    keys = F.transform(keys, lambda s: F.struct(s["pos"].alias("pos"), folded(s["key"]).alias("key")))
     keys = F.transform(
         keys,
         lambda s: F.struct(
@@ -339,8 +344,9 @@ def repeated_lines(
         .agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
     )
+    # as a table of its own, so that the join can be split where a key is frequent
     return (
-        maybe.join(held, ["h", "g"])
+        maybe.join(written(held, "line-held"), ["h", "g"])
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .select("doc_id", "th", "pos")
     )
