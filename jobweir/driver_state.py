@@ -217,6 +217,27 @@ FROM q LEFT JOIN v_cos c ON q.slug = c.ats_slug AND (q.kind IS NULL OR q.kind =
     lambda s, c: merge.resolve_selectors(s, c)
     .withColumn("matches", F.when(F.col("outcome") == "none", "").otherwise(F.col("matches")))
 )
+# The same job over all companies: every customer is a company and names a
+# selector; a few slugs are shared by two or three kinds.
+VIEWS["v_sel_all"] = """
+SELECT CASE c_custkey % 4 WHEN 0 THEN 'company:lever/s' || CAST(c_custkey AS STRING) WHEN 1 THEN 'company:s' || CAST(c_custkey AS STRING)
+  WHEN 2 THEN 'company:none' || CAST(c_custkey AS STRING) ELSE 'company:workday/t/wd5/S' || CAST(c_custkey AS STRING) END AS selector FROM customer"""
+VIEWS["v_cos_all"] = """
+SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'lever' WHEN 1 THEN 'greenhouse' ELSE 'workday' END AS ats_kind,
+  CASE WHEN c_custkey % 12 = 11 THEN 't/wd5/S' || CAST(c_custkey AS STRING)
+    WHEN c_custkey % 20 IN (2, 3) THEN 's' || CAST(c_custkey - c_custkey % 20 + 1 AS STRING)
+    ELSE 's' || CAST(c_custkey AS STRING) END AS ats_slug FROM customer"""
+query(
+    "resolve_selector_all", ("v_sel_all", "v_cos_all"),
+    """WITH p AS (SELECT selector, substr(selector, 9) AS r FROM v_sel_all), q AS (SELECT selector, CASE WHEN contains(r, '/') THEN split_part(r, '/', 1) END AS kind,
+  CASE WHEN contains(r, '/') THEN substr(r, strpos(r, '/') + 1) ELSE r END AS slug FROM p)
+SELECT selector, CASE count(id) WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'many' END AS outcome, CASE WHEN count(id) = 1 THEN min(id) END AS company_id,
+  coalesce(string_agg(ats_kind || '/' || ats_slug, ',' ORDER BY ats_kind || '/' || ats_slug), '') AS matches
+FROM q LEFT JOIN v_cos_all c ON q.slug = c.ats_slug AND (q.kind IS NULL OR q.kind = c.ats_kind) GROUP BY selector""",
+)(
+    lambda s, c: merge.resolve_selectors(s, c)
+    .withColumn("matches", F.when(F.col("outcome") == "none", "").otherwise(F.col("matches")))
+)
 VIEWS["v_meta"] = "SELECT c_mktsegment || CAST(c_custkey % 9 AS STRING) AS key, max(c_name) AS value FROM customer GROUP BY c_mktsegment || CAST(c_custkey % 9 AS STRING)"
 VIEWS["v_put"] = "SELECT c_mktsegment || CAST(c_custkey % 13 AS STRING) AS key, CASE WHEN c_custkey % 7 > 0 THEN c_name END AS value, c_custkey AS seq FROM customer"
 query(

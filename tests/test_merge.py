@@ -86,3 +86,19 @@ def test_ids_have_no_gaps(spark):
     df = spark.range(100).select((F.col("id") * 7).alias("k"))
     got = merge.assign_ids(df, 50, ["k"], F.col("k") % 5).collect()
     assert sorted(r.id for r in got) == list(range(51, 151))
+
+
+def test_selectors_meet_all_companies(spark):
+    import duckdb
+
+    import __spark_entry__ as e
+
+    d = "/root/testdata/sf0.01"
+    customers = spark.read.parquet(f"{d}/customer.parquet").count()
+    got = e.queries()["resolve_selector_all"](spark, d)
+    assert got.count() == customers and got.agg(F.max("company_id")).first()[0] > 120
+    assert {r.outcome for r in got.select("outcome").distinct().collect()} == {"none", "one", "many"}
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW customer AS SELECT * FROM '{d}/customer.parquet'")
+        want = db.execute(e.oracle_sql()["resolve_selector_all"]).fetchall()
+    assert sorted(map(tuple, got.select("selector", "outcome", "company_id", "matches").collect())) == sorted(want)
