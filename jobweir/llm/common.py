@@ -7,20 +7,24 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows in an Arrow batch. Python workers hold one batch at a time, so this
-#: times the longest document bounds their memory.
-ARROW_ROWS = 1000
+#: Rows and bytes in an Arrow batch of texts, whichever is reached first. Python
+#: workers hold a few batches at a time, so this and the longest text bound them.
+ARROW = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 1000,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 32 << 20,
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session names none (tests on one machine), a folder is made.
+    Where it is unset and all runs on this machine (tests), a folder is made;
+    on a cluster it must be set, as a folder of one machine is not shared.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
-        "jobweir.shared.dir", None
-    )
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("jobweir.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="jobweir-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("jobweir.shared.dir", found)
@@ -42,17 +46,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Keep Arrow batches of texts small, in this session from now on: results
+    are lazy, so the limits must still hold when they are worked out."""
+    for key, most in ARROW.items():
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """name, with underscores before it until docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def whole(text: str | Column) -> Column:
     """A text with null read as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-
-
-def text_id(text: Column) -> Column:
-    """128 bits of a text as two longs; equal for equal texts."""
-    return F.struct(
-        F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b")
-    )
