@@ -44,35 +44,91 @@ TAIL, TAIL_BYTES = "<QQQQ8s", struct.calcsize("<QQQQ8s")
 MANIFEST = "file_no int, path string, n_docs long, n_ids long, n_bytes long"
 
 
-def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
-    base = int(ids.min())
-    v = (ids - np.uint32(base)).astype(np.uint32)
-    at = min(len(v) - 1, int(percentile * len(v)))
-    width = int(np.partition(v, at)[at]).bit_length()
-    high = v >> np.uint32(width) if width < 32 else np.zeros_like(v)
-    places = np.flatnonzero(high)
-    bits = np.unpackbits(v.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    return (
-        struct.pack(HEAD, base, len(v), width, len(places))
-        + np.packbits(bits[:, :width], bitorder="little").tobytes()
-        + places.astype("<u2").tobytes()
-        + high[places].astype("<u4").tobytes()
-    )
-
-
-def unpack_block(data: bytes, at: int = 0) -> np.ndarray:
-    base, count, width, n_out = struct.unpack_from(HEAD, data, at)
-    at += HEAD_BYTES
-    size = (count * width + 7) // 8
-    raw = np.frombuffer(data, np.uint8, size, at)
-    bits = np.zeros((count, 32), np.uint8)
-    bits[:, :width] = np.unpackbits(raw, count=count * width, bitorder="little").reshape(count, width)
-    v = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
-    at += size
-    places = np.frombuffer(data, "<u2", n_out, at)
-    high = np.frombuffer(data, "<u4", n_out, at + 2 * n_out)
-    v[places] |= high << np.uint32(width % 32)
-    return v + np.uint32(base)
+def packed(v: np.ndarray, width: int) -> np.ndarray:
+    """Rows of 64 values, each cut to width bits and packed into width words of
+    64 bits, little end first."""
+    v, out = v.astype(np.uint64), np.zeros((len(v), width), "<u8")
+    if width < 32:
+        v &= np.uint64((1 << width) - 1)
+    for j in range(64 if width else 0):
+        word, shift = divmod(j * width, 64)
+        out[:, word] |= v[:, j] << np.uint64(shift)
+        if shift + width > 64:
+            out[:, word + 1] |= v[:, j] >> np.uint64(64 - shift)
+    return out
+
+
+def unpacked(words: np.ndarray, width: int) -> np.ndarray:
+    """The rows of 64 values that packed() has made into words."""
+    out = np.zeros((len(words), 64), np.uint64)
+    for j in range(64 if width else 0):
+        word, shift = divmod(j * width, 64)
+        out[:, j] = words[:, word] >> np.uint64(shift)
+        if shift + width > 64:
+            out[:, j] |= words[:, word + 1] << np.uint64(64 - shift)
+    return (out & np.uint64((1 << width) - 1)).astype(np.uint32)
+
+
+def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
+    """The blocks of ids (BLOCK each, the last may be shorter); those of one
+    width are packed together."""
+    n, count = -(-len(ids) // BLOCK), len(ids)
+    v = np.zeros(n * BLOCK, np.uint32)
+    v[:count] = ids
+    v[count:] = ids[-1] if count else 0
+    v = v.reshape(n, BLOCK)
+    base = v.min(axis=1)
+    v -= base[:, None]
+    v.ravel()[count:] = 0
+    counts = np.full(n, BLOCK)
+    if count % BLOCK:
+        counts[-1] = count % BLOCK
+    top = np.zeros(n, np.uint32)
+    for m in np.unique(counts):
+        rows = counts == m
+        at = min(m - 1, int(percentile * m))
+        top[rows] = np.partition(v[rows][:, :m], at, axis=1)[:, at]
+    widths = np.ceil(np.log2(top.astype(np.float64) + 1)).astype(int)
+    out = [b""] * n
+    for width in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == width)
+        bits = packed(v[rows].reshape(-1, 64), width).reshape(len(rows), BLOCK // 64 * width)
+        high = v[rows] >> np.uint32(width) if width < 32 else np.zeros_like(v[rows])
+        for i, row in enumerate(rows.tolist()):
+            m = int(counts[row])
+            places = np.flatnonzero(high[i, :m])
+            out[row] = b"".join(
+                (
+                    struct.pack(HEAD, int(base[row]), m, width, len(places)),
+                    bits[i].tobytes()[: (m * width + 7) // 8],
+                    places.astype("<u2").tobytes(),
+                    high[i, places].astype("<u4").tobytes(),
+                )
+            )
+    return out
+
+
+def unpack_blocks(data: bytes, starts: list[int]) -> np.ndarray:
+    """The ids of the blocks that start at starts, one after another."""
+    heads = [struct.unpack_from(HEAD, data, at) for at in starts]
+    out = np.zeros((len(starts), BLOCK), np.uint32)
+    for width in {h[2] for h in heads}:
+        rows = [i for i, h in enumerate(heads) if h[2] == width]
+        words = bytearray(len(rows) * BLOCK * width // 8)
+        for k, i in enumerate(rows):
+            at, size = starts[i] + HEAD_BYTES, (heads[i][1] * width + 7) // 8
+            words[k * BLOCK * width // 8 : k * BLOCK * width // 8 + size] = data[at : at + size]
+        table = np.frombuffer(words, "<u8").reshape(len(rows) * BLOCK // 64, width)
+        out[rows] = unpacked(table, width).reshape(len(rows), BLOCK)
+    for i, (base, m, width, n_out) in enumerate(heads):
+        at = starts[i] + HEAD_BYTES + (m * width + 7) // 8
+        places = np.frombuffer(data, "<u2", n_out, at)
+        out[i, places] |= np.frombuffer(data, "<u4", n_out, at + 2 * n_out) << np.uint32(width % 32)
+        out[i] += np.uint32(base)
+    short = [h[1] for h in heads]
+    if all(m == BLOCK for m in short):
+        return out.ravel()
+    return np.concatenate([out[i, :m] for i, m in enumerate(short)])
 
 
 class Writer:
@@ -91,9 +147,9 @@ class Writer:
         self.at += len(data)
 
     def _blocks(self, ids: np.ndarray) -> None:
-        for i in range(0, len(ids), BLOCK):
+        for block in pack_blocks(ids, self.percentile):
             self.starts.append(self.at)
-            self._put(pack_block(ids[i : i + BLOCK], self.percentile))
+            self._put(block)
 
     def add(self, doc_ids: list, ids: list[bytes]) -> None:
         """Documents with their ids as little-endian unsigned 32-bit integers."""
@@ -139,8 +195,9 @@ class Reader:
         lo, hi = int(self.starts[first]), int(self.starts[last])
         self.stream.seek(lo)
         data = self.stream.read(hi - lo)
-        found = [unpack_block(data, int(self.starts[i]) - lo) for i in range(first, last)]
-        return np.concatenate(found) if found else np.zeros(0, np.uint32)
+        if first == last:
+            return np.zeros(0, np.uint32)
+        return unpack_blocks(data, [int(self.starts[i]) - lo for i in range(first, last)])
 
     def documents(self, step: int = 256):
         """(doc_id, place of its first id, ids) of each document, in order."""
@@ -205,14 +262,14 @@ def write(
     """Encode every text, write the files, return their manifest in file order.
 
     Defined cases: a null or empty text is the end id alone; rows with a null
-    id come first; rows that repeat an id stand side by side, ordered by text;
-    an empty table writes no file.
+    id come first; rows that repeat an id stand side by side, ordered by a hash
+    of the text; an empty table writes no file; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     folder = folder or scratch(docs.sparkSession, "ids")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    n = max(1, docs.rdd.getNumPartitions())
-    files = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", F.xxhash64("text"))  # a frequent id falls into several files
+    files = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return written(files.mapInArrow(_write(folder, tokenizer, end_id), MANIFEST), "ids-manifest")
 
 

@@ -1,11 +1,12 @@
 """Token ids of whole texts, with the tokenizers library, made fast by a cache.
 
 Byte-level BPE never joins a word to the next one: a blank between two other
-characters starts the next word's token. Texts are therefore cut there, each
-distinct piece of a batch is encoded by the library once, and pieces that come
-again stay in a cache of bounded size, which a worker process keeps between
-tasks. Texts with runs of white space are cut by a stricter rule; the ids always
-equal those of the whole text (tests hold this against the library).
+characters starts the next word's token, and a line end is a token of its own.
+Texts are therefore cut before blanks and line ends, each distinct piece is
+encoded by the library once, and pieces that come again stay in a cache of
+bounded bytes, which a worker process keeps between tasks. Texts with runs of
+white space, or white space of other kinds, are cut by a stricter rule; the ids
+always equal those of the whole text (tests hold this against the library).
 """
 
 from __future__ import annotations
@@ -13,22 +14,16 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import chain
 
-#: Pieces that a worker keeps, about 200 bytes each.
-PIECES = 400_000
+#: Bytes of pieces and ids that a worker keeps, with what Python adds to each.
+CACHE_BYTES, OVERHEAD = 96 << 20, 150
+#: Longer pieces are not kept.
+LONG = 64
 #: Characters of text that are looked up together.
 CHARS = 4 << 20
 
 
-class Known(dict):
-    """Pieces kept for long, and behind them those of the current batch."""
-
-    others: dict[str, bytes]
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.others[piece]
-
-
 class Encoder:
     """batch(texts): their token ids as little-endian unsigned 32-bit integers."""
 
@@ -37,11 +32,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.runs = re.compile(r"\s\s|\A\s|\s\Z")
         self.cut = re.compile(r"(?<=\S)(?= \S)")
-        #: By what stands before the piece: nothing, or a blank.
-        self.caches = {"": Known(), " ": Known()}
-        self.newline = self._encode(["\n"])[0]
+        #: By piece, as _pieces gives it: the ids.
+        self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -57,41 +51,42 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _learn(self, before: str, pieces: set[str]) -> "Known":
-        """The cache, with what it lacks of pieces."""
-        cache = self.caches[before]
-        cache.others = {}
-        new = [p for p in pieces if p not in cache]
-        ids = dict(zip(new, self._encode([before + p for p in new])))
-        if len(cache) < PIECES:
-            cache.update(ids)
-        else:
-            cache.others = ids
-        return cache
+    def _pieces(self, text: str) -> list[str]:
+        """A text's pieces. A blank before a piece is left out, and a line end
+        stands for itself; a piece that stands for no blank has a 0 before it."""
+        n = text.count(" ") + text.count("\n")
+        words = text.split()
+        # as many words as separators and one, and nothing else between them
+        if len(words) == n + 1 and len(text) - sum(map(len, words)) == n:
+            pieces = text.replace("\n", " \n").split(" ")
+            pieces[0] = "\0" + pieces[0]
+            return pieces
+        return ["\0" + p for p in self.cut.split(text)]
+
+    @staticmethod
+    def _full(piece: str) -> str:
+        """The stretch of text that a piece stands for."""
+        first = piece[:1]
+        return piece[1:] if first == "\0" else piece if first == "\n" else " " + piece
 
     def _chunk(self, texts: list[str]) -> list[bytes]:
-        first: set[str] = set()
-        rest: set[str] = set()
-        parts = []
-        for t in texts:
-            if self.runs.search(t):
-                pieces = self.cut.split(t)
-                first.update(pieces)
-                parts.append((pieces, None))
-            else:
-                lines = [x.split(" ") for x in t.split("\n")]
-                heads = [x.pop(0) for x in lines]
-                first.update(heads)
-                rest.update(*lines)
-                parts.append((heads, lines))
-        plain, spaced = self._learn("", first), self._learn(" ", rest)
-        out = []
-        for heads, lines in parts:
-            if lines is None:
-                out.append(b"".join([plain[p] for p in heads]))
-            else:
-                whole = [plain[h] + b"".join([spaced[p] for p in x]) for h, x in zip(heads, lines)]
-                out.append(self.newline.join(whole))
+        parts = [self._pieces(t) for t in texts]
+        ids = list(map(self.cache.get, chain.from_iterable(parts)))
+        if None in ids:
+            pieces = list(chain.from_iterable(parts))
+            lacking = list({p for p, x in zip(pieces, ids) if x is None})
+            new = dict(zip(lacking, self._encode([self._full(p) for p in lacking])))
+            ids = [new[p] if x is None else x for p, x in zip(pieces, ids)]
+            for p, x in new.items():
+                if self.held >= CACHE_BYTES:
+                    break
+                if len(p) <= LONG:
+                    self.cache[p] = x
+                    self.held += len(p) + len(x) + OVERHEAD
+        out, at = [], 0
+        for p in parts:
+            out.append(b"".join(ids[at : at + len(p)]))
+            at += len(p)
         return out
 
     def batch(self, texts: list[str]) -> list[bytes]:
