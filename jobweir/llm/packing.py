@@ -10,11 +10,13 @@ piece its rank among the pieces of its length, and placing it.
 Search: best-fit decreasing gives a start. Then moves between underfull bins
 that raise the sum of squared fills: move a piece into a fuller bin, exchange
 one for one, or two for one. Emptied bins vanish. It ends at the lower bound
-ceil(tokens / max_tokens), or when no move is left for any bin.
+ceil(tokens / max_tokens), or when no move is left for any bin; nothing else
+stops it.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 
@@ -27,31 +29,48 @@ from .common import small_batches, whole, written
 from .tokens import Encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Effort of the local search; at its end the packing is valid, only not improved further.
-MAX_MOVES = 4000
 
 
 # --- the search, on lengths and counts --------------------------------------
 
 
 class Bins:
-    """Groups of equal bins: pattern (lengths, descending) -> number of bins."""
+    """Groups of equal bins: pattern (lengths, descending) -> number of bins.
+
+    Underfull groups are indexed by free room and by the lengths that they hold;
+    each holds length 0 too, so that a move is an exchange with nothing.
+    """
 
     def __init__(self, room: int):
         self.room = room
         self.groups: dict[tuple[int, ...], int] = {}
+        self.having: dict[tuple[int, int], dict[tuple[int, ...], None]] = {}
+        self.n_having = np.zeros((room + 1, room + 1), np.int32)
+        self.n_bins = 0
 
     def put(self, pattern: tuple[int, ...], n: int) -> None:
-        if pattern and n:
-            self.groups[pattern] = self.groups.get(pattern, 0) + n
+        if not pattern or not n:
+            return
+        self.n_bins += n
+        if pattern not in self.groups:
+            free = self.room - sum(pattern)
+            for x in {0, *pattern} if free else ():
+                self.having.setdefault((x, free), {})[pattern] = None
+                self.n_having[x, free] += 1
+        self.groups[pattern] = self.groups.get(pattern, 0) + n
 
     def take(self, pattern: tuple[int, ...], n: int) -> None:
+        self.n_bins -= n
         self.groups[pattern] -= n
         if not self.groups[pattern]:
             del self.groups[pattern]
+            free = self.room - sum(pattern)
+            for x in {0, *pattern} if free else ():
+                del self.having[x, free][pattern]
+                self.n_having[x, free] -= 1
 
     def count(self) -> int:
-        return sum(self.groups.values())
+        return self.n_bins
 
 
 def best_fit(counts: dict[int, int], room: int) -> Bins:
@@ -83,30 +102,38 @@ def best_fit(counts: dict[int, int], room: int) -> Bins:
     return bins
 
 
-def _swap(a: tuple[int, ...], b: tuple[int, ...], free: int):
-    """The best change between a and an emptier b: (pieces a gives, pieces it gets).
+def _swap(bins: Bins, b: tuple[int, ...]):
+    """The change that raises the sum of squared fills most, between a bin of
+    pattern b and one as full or fuller: (a, pieces a gives, pieces it gets).
 
-    A move, an exchange one for one, or two of b for one of a; what a gains
-    must be positive and fit in its free room.
+    A move, an exchange one for one, or two of b for one of a; None if none is left.
     """
-    best, gain = None, 0
+    free_b = bins.room - sum(b)
+    frees = np.flatnonzero(bins.n_having[0, : free_b + 1])
+    if not len(frees):
+        return None
     ones = sorted(set(b), reverse=True)
-    for x in ones:
-        if gain < x <= free:
-            best, gain = ((), (x,)), x
-    if gain == free:
-        return best
-    pairs = {x + y: (x, y) for i, x in enumerate(ones) for y in ones[i:] if x != y or b.count(x) > 1}
-    for y in set(a):
-        for x in ones:
-            if gain < x - y <= free:
-                best, gain = ((y,), (x,)), x - y
-        for total, two in pairs.items():
-            if gain < total - y <= free:
-                best, gain = ((y,), two), total - y
-        if gain == free:
-            break
-    return best
+    gets = {x + y: (x, y) for i, x in enumerate(ones) for y in ones[i:] if x != y or b.count(x) > 1}
+    gets |= {x: (x,) for x in ones}
+    # a gains d and b loses it: the squares grow by 2 d (fill a - fill b + d)
+    found = []
+    for total, pieces in gets.items():
+        least = max(0, total - free_b)
+        ys = np.arange(least, min(total, bins.room + 1))
+        d = (total - ys)[:, None]
+        gain = np.where(
+            (bins.n_having[least : least + len(ys), frees] > 0) & (frees[None, :] >= d), d * (free_b - frees + d), 0
+        )
+        if gain.any():
+            found.append((int(gain.max()), total, pieces, ys, gain))
+    for _, _, pieces, ys, gain in sorted(found, key=lambda x: (-x[0], x[1])):
+        for at in np.argsort(-gain, axis=None, kind="stable")[: np.count_nonzero(gain)]:
+            i, j = divmod(int(at), gain.shape[1])
+            y = int(ys[i])
+            for a in bins.having[y, int(frees[j])]:
+                if a != b or bins.groups[a] > 1:
+                    return a, (y,) if y else (), pieces
+    return None
 
 
 def _changed(pattern: tuple[int, ...], out, in_) -> tuple[int, ...]:
@@ -116,35 +143,35 @@ def _changed(pattern: tuple[int, ...], out, in_) -> tuple[int, ...]:
     return tuple(sorted(left + list(in_), reverse=True))
 
 
-def local_search(bins: Bins, max_moves: int = MAX_MOVES) -> Bins:
-    """Empties bins by moves that raise the sum of squared fills."""
+def local_search(bins: Bins) -> Bins:
+    """Empties bins by changes that raise the sum of squared fills, the emptiest
+    bins first, until the lower bound is reached or no change is left.
+
+    A change is made for as many bins of the two patterns as there are.
+    """
     room = bins.room
     bound = math.ceil(sum(sum(p) * n for p, n in bins.groups.items()) / room)
-    stuck: set[tuple[int, ...]] = set()
-    for _ in range(max_moves):
-        if bins.count() <= bound:
-            break
-        under = sorted((p for p in bins.groups if sum(p) < room), key=sum)
-        donor = next((p for p in under if p not in stuck), None)
-        if donor is None:
-            break
-        for fuller in reversed(under):
-            same = fuller == donor
-            if sum(fuller) < sum(donor) or same and bins.groups[donor] < 2:
-                continue
-            found = _swap(fuller, donor, room - sum(fuller))
+    moved = True
+    while moved and bins.count() > bound:
+        moved = False
+        waiting = [(sum(p), p) for p in bins.groups if sum(p) < room]
+        heapq.heapify(waiting)
+        while waiting and bins.count() > bound:
+            donor = heapq.heappop(waiting)[1]
+            found = _swap(bins, donor) if donor in bins.groups else None
             if not found:
                 continue
-            gives, gets = found
+            fuller, gives, gets = found
+            same = fuller == donor
             n = bins.groups[donor] // 2 if same else min(bins.groups[donor], bins.groups[fuller])
             bins.take(fuller, n)
             bins.take(donor, n)
-            bins.put(_changed(fuller, gives, gets), n)
-            bins.put(_changed(donor, gets, gives), n)
-            stuck.clear()
-            break
-        else:
-            stuck.add(donor)
+            for p in (_changed(fuller, gives, gets), _changed(donor, gets, gives), donor):
+                if p is not donor:
+                    bins.put(p, n)
+                if p in bins.groups and sum(p) < room:
+                    heapq.heappush(waiting, (sum(p), p))
+            moved = True
     return bins
 
 
