@@ -2,22 +2,25 @@
 
 State of a corpus:
 
-* ``refs``: an exact table (h, g, n_refs, keeper), one row for each line key;
-  (h, g) are 128 hash bits of the key, n_refs the rows of documents that hold it.
-* ``filters``: one cuckoo filter for each shard, holding the keys whose
+* ``lines``: (h, g, doc_id, n), how many rows of a document hold a line key;
+  (h, g) are 128 hash bits of the key. Documents are counted in and out here.
+* ``refs``: (h, g, n_docs, keeper), the exact reference counts: how many
+  documents hold a key, and the largest id among them.
+* ``filters``: one cuckoo filter for each shard of keys, holding those whose
   reference count has reached ``min_docs``. Unlike a Bloom filter it supports
   deletion, so when documents leave, keys that fall below the threshold leave
   the filter, and lines come back.
 
-``insert`` and ``delete`` take a batch of documents and touch only the counts
-of its keys and the filters of their shards. ``dedup`` sends each line of the
-corpus past the filters inside the map task; only lines that may repeat are
-shuffled, counted exactly by distinct document and dropped. A filter thus saves
-work but never decides.
+``insert`` and ``delete`` take a batch of documents and change the counts of its
+keys and the filters of their shards; a shard that fills up is built anew, and
+all are dealt to more shards when they hold too many keys. ``dedup`` cuts any
+documents, the corpus or a batch of it, by the state: each line goes past the
+filters, and what they let through meets ``refs``, which decide. A filter thus
+saves work but never decides.
 
 Skew: counts are combined before the shuffle; a key in a third of all documents
 is spread by (key, doc_id) for its exact count, and the join that marks its
-lines is an equi join of two shuffles, which adaptive execution splits.
+lines is an equi join of two tables, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -31,20 +34,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from .common import small_batches, whole, written
+from .common import fresh, small_batches, whole, written
 
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLOTS = 4
 SHARD_KEYS = 50_000
-#: Largest filters that are sent to every task; beyond it, lines go to the
-#: exact join without the filters' help.
+#: Largest filters that are sent to every task; beyond it, lines are dealt to the
+#: filters' shards, in groups of about GROUP_LINES.
 FILTER_BYTES = 32 << 20
+GROUP_LINES = 200_000
+#: A filter fuller than this is built anew, with room for twice its keys.
+FULL = 0.8
 
-FILTER_SCHEMA = "shard long, n_buckets long, slots binary, stash binary"
+FILTER_SCHEMA = "shard long, n_buckets long, held long, slots binary, stash binary"
+HIT = "doc_id long, th long, pos int, h long, g long"
 
 
 class LineState(NamedTuple):
+    lines: DataFrame
     refs: DataFrame
     filters: DataFrame
     n_shards: int
@@ -86,18 +94,25 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     )
 
 
-def count_refs(
+def held_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20
 ) -> DataFrame:
-    """(h, g, n_refs, keeper) of the line keys of docs; a row counts once."""
+    """(h, g, doc_id, n): n rows of the document hold the key; null ids are left out."""
     once = F.array_distinct(
         F.transform(F.col("keys"), lambda s: F.struct(s["h"].alias("h"), s["g"].alias("g")))
     )
     return (
         _lines(docs, id_col, text_col, min_chars)
+        .where("doc_id is not null")
         .select("doc_id", F.explode(once).alias("k"))
-        .groupBy(F.col("k.h").alias("h"), F.col("k.g").alias("g"))
-        .agg(F.count(F.lit(1)).alias("n_refs"), F.max("doc_id").alias("keeper"))
+        .groupBy(F.col("k.h").alias("h"), F.col("k.g").alias("g"), "doc_id")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def _counted(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("h", "g").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")
     )
 
 
@@ -131,8 +146,40 @@ class Cuckoo:
         self.stash = set(np.frombuffer(stash, np.int64).tolist())
 
     @classmethod
-    def sized(cls, n_keys: int) -> "Cuckoo":
-        return cls(1 << max(2, math.ceil(math.log2(max(1, n_keys) / (0.8 * SLOTS)))))
+    def of(cls, keys: np.ndarray) -> "Cuckoo":
+        """A filter of distinct keys, at most half full, all placed together."""
+        f = cls(1 << max(2, math.ceil(math.log2(max(1, len(keys)) / (0.5 * SLOTS)))))
+        fp = _fingerprints(keys)
+        owner = np.full((f.n, SLOTS), -1)
+        at = (keys.view(np.uint64) & np.uint64(f.n - 1)).astype(np.int64)
+        left = np.arange(len(keys))
+        for turn in range(500):
+            if not len(left):
+                break
+            left = left[np.argsort(at[left], kind="stable")]
+            bucket = at[left]
+            rank = np.arange(len(left)) - np.searchsorted(bucket, bucket)
+            free = np.argsort(owner[bucket] >= 0, axis=1, kind="stable")
+            room = (owner[bucket] < 0).sum(axis=1)
+            fits = rank < room
+            owner[bucket[fits], free[np.flatnonzero(fits), rank[fits]]] = left[fits]
+            # of those left over in a bucket, one puts out a key, which goes to its other bucket
+            over = ~fits & (rank == room)
+            slot = (left[over] + turn) % SLOTS
+            out = owner[bucket[over], slot]
+            owner[bucket[over], slot] = left[over]
+            rest = left[~fits & (rank > room)]
+            both = np.concatenate([out, rest])
+            at[both] ^= _jump(fp[both], f.n - 1).astype(np.int64)
+            left = both
+        f.stash = set(keys[left].tolist())
+        placed = owner >= 0
+        f.slots[placed] = fp[owner[placed]]
+        return f
+
+    @property
+    def held(self) -> int:
+        return int(np.count_nonzero(self.slots)) + len(self.stash)
 
     def _places(self, h: int) -> tuple[int, int, int]:
         one = np.array([h], np.int64)
@@ -175,16 +222,14 @@ class Cuckoo:
 
     def row(self, shard: int) -> dict:
         stash = np.array(sorted(self.stash), np.int64).tobytes()
-        return {"shard": shard, "n_buckets": self.n, "slots": self.slots.tobytes(), "stash": stash}
+        return {
+            "shard": shard, "n_buckets": self.n, "held": self.held, "slots": self.slots.tobytes(), "stash": stash
+        }
 
 
 def _change_filter(key, old: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
-    """One shard: its filter (if any) with keys added (sign 1) or removed (-1)."""
-    f = (
-        Cuckoo(int(old.n_buckets[0]), old.slots[0], old.stash[0])
-        if len(old)
-        else Cuckoo.sized(max(2 * len(change), 64))
-    )
+    """One shard's filter with keys added (sign 1) or removed (-1)."""
+    f = Cuckoo(int(old.n_buckets[0]), old.slots[0], old.stash[0])
     for h in change.h[change.sign < 0]:
         f.remove(int(h))
     for h in change.h[change.sign > 0]:
@@ -192,55 +237,81 @@ def _change_filter(key, old: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame
     return pd.DataFrame([f.row(int(key[0]))])
 
 
+def _build_filter(key, keys: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame([Cuckoo.of(np.unique(keys.h.to_numpy(np.int64))).row(int(key[0]))])
+
+
 def _shard(n_shards: int) -> Column:
     return F.pmod(F.col("g"), F.lit(n_shards)).cast("long").alias("shard")
 
 
-def _changed(state: LineState, change: DataFrame) -> DataFrame:
-    """Filters after change (h, g, sign). A shard holds about SHARD_KEYS
-    distinct keys, so no group grows with the corpus."""
-    rows = change.select(_shard(state.n_shards), "h", "sign")
-    return (
-        state.filters.groupBy("shard")
-        .cogroup(rows.groupBy("shard"))
-        .applyInPandas(_change_filter, FILTER_SCHEMA)
-    )
+def _built(keys: DataFrame, n_shards: int) -> DataFrame:
+    """Filters of keys (h, g). A shard has about SHARD_KEYS keys, so no group
+    grows with the corpus."""
+    return keys.select(_shard(n_shards), "h").groupBy("shard").applyInPandas(_build_filter, FILTER_SCHEMA)
 
 
 def empty_state(docs: DataFrame, n_shards: int = 1) -> LineState:
     spark = docs.sparkSession
     return LineState(
-        spark.createDataFrame([], "h long, g long, n_refs long, keeper long"),
+        spark.createDataFrame([], "h long, g long, doc_id long, n long"),
+        spark.createDataFrame([], "h long, g long, n_docs long, keeper long"),
         spark.createDataFrame([], FILTER_SCHEMA),
         n_shards,
     )
 
 
-def _merge(state: LineState, batch: DataFrame, sign: int, min_docs: int) -> LineState:
-    was, new = F.coalesce("old.n_refs", F.lit(0)), F.coalesce("new.n_refs", F.lit(0))
-    both = written(
-        state.refs.alias("old")
-        .join(batch.alias("new"), ["h", "g"], "full_outer")
-        .select(
-            "h",
-            "g",
-            was.alias("was"),
-            (was + sign * new).alias("n_refs"),
-            F.greatest("old.keeper", "new.keeper").alias("keeper"),
-        ),
-        "line-refs",
-    )
-    refs = both.where("n_refs > 0").select("h", "g", "n_refs", "keeper")
-    crossed = (
-        F.when((F.col("was") < min_docs) & (F.col("n_refs") >= min_docs), 1)
-        .when((F.col("was") >= min_docs) & (F.col("n_refs") < min_docs), -1)
+def _changed(state: LineState, keys: DataFrame, change: DataFrame) -> DataFrame:
+    """Filters after change (h, g, sign); keys (h, g) is all that they then hold.
+    Shards that would be too full, or whose keys change by half or more, are
+    built anew; those without a change stay."""
+    rows = written(change.select(_shard(state.n_shards), "h", "sign"), "filter-change")
+    room = F.col("n_buckets") * SLOTS
+    loads = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("sign").alias("more")).join(
+        state.filters.select("shard", "n_buckets", "held"), "shard", "left"
+    )
+    anew = F.col("held").isNull() | (F.col("held") + F.col("more") > FULL * room) | (2 * F.col("n") > F.col("held"))
+    loads = written(loads.select("shard", anew.alias("anew")), "filter-loads")
+    same = state.filters.join(loads, "shard", "left_anti")
+    little = loads.where("not anew").select("shard")
+    edited = (
+        state.filters.join(little, "shard").groupBy("shard")
+        .cogroup(rows.join(little, "shard").groupBy("shard"))
+        .applyInPandas(_change_filter, FILTER_SCHEMA)
+    )
+    built = _built(
+        keys.withColumn("shard", _shard(state.n_shards)).join(loads.where("anew").select("shard"), "shard"),
+        state.n_shards,
     )
-    change = both.select("h", "g", crossed.alias("sign")).where("sign is not null")
-    n_shards = state.n_shards
-    if state.filters.isEmpty():  # the first batch sets the number of shards
-        n_shards = max(1, math.ceil(change.count() / SHARD_KEYS))
-    state = state._replace(refs=refs, n_shards=n_shards)
-    return state._replace(filters=written(_changed(state, change), "line-filters"))
+    return same.unionByName(edited).unionByName(built)
+
+
+def _merge(state: LineState, batch: DataFrame, sign: int, min_docs: int) -> LineState:
+    first = state.lines.isEmpty()
+    if first:
+        lines = written(batch, "lines")
+        refs = written(_counted(lines), "line-refs")
+        repeated = refs.where(F.col("n_docs") >= min_docs).select("h", "g")
+        change = None
+    else:
+        batch = written(batch.withColumn("n", F.col("n") * sign), "line-batch")
+        lines = written(
+            state.lines.unionByName(batch).groupBy("h", "g", "doc_id").agg(F.sum("n").alias("n")).where("n > 0"),
+            "lines",
+        )
+        touched = written(batch.select("h", "g").distinct(), "line-touched")
+        now = _counted(lines.join(touched, ["h", "g"], "left_semi"))
+        refs = written(state.refs.join(touched, ["h", "g"], "left_anti").unionByName(now), "line-refs")
+        repeated = refs.where(F.col("n_docs") >= min_docs).select("h", "g")
+        here = touched.join(repeated.withColumn("is", F.lit(1)), ["h", "g"], "left")
+        was = state.refs.where(F.col("n_docs") >= min_docs).select("h", "g", F.lit(1).alias("was"))
+        step = F.coalesce("is", F.lit(0)) - F.coalesce("was", F.lit(0))
+        change = here.join(was, ["h", "g"], "left").select("h", "g", step.alias("sign")).where("sign <> 0")
+    n_shards = max(state.n_shards, math.ceil(repeated.count() / SHARD_KEYS))
+    if n_shards > state.n_shards:  # twice as many at least, so that this is rare
+        n_shards = max(n_shards, 1 if first else 2 * state.n_shards)
+    filters = _built(repeated, n_shards) if first or n_shards > state.n_shards else _changed(state, repeated, change)
+    return LineState(lines, refs, written(filters, "line-filters"), n_shards)
 
 
 def insert(
@@ -252,7 +323,7 @@ def insert(
     min_docs: int = 3,
 ) -> LineState:
     """state with docs counted in."""
-    return _merge(state, count_refs(docs, id_col, text_col, min_chars), 1, min_docs)
+    return _merge(state, held_lines(docs, id_col, text_col, min_chars), 1, min_docs)
 
 
 def delete(
@@ -263,28 +334,31 @@ def delete(
     min_chars: int = 20,
     min_docs: int = 3,
 ) -> LineState:
-    """state with docs, which must have been inserted, counted out again.
-
-    ``keeper`` stays an upper bound; ``dedup`` finds the true one among the
-    documents it is given.
-    """
-    return _merge(state, count_refs(docs, id_col, text_col, min_chars), -1, min_docs)
+    """state with docs, which must have been inserted, counted out again. Counts
+    and keepers are then those of the documents that are left."""
+    return _merge(state, held_lines(docs, id_col, text_col, min_chars), -1, min_docs)
 
 
 class Filters:
-    """All shards as flat arrays, probed without Python loops."""
+    """Shards as flat arrays, probed without Python loops."""
+
+    def __init__(self, n_shards: int, start: np.ndarray, n: np.ndarray, slots: np.ndarray, stash: np.ndarray):
+        self.n_shards, self.start, self.n, self.slots, self.stash = n_shards, start, n, slots, stash
 
-    def __init__(self, rows: list, n_shards: int):
-        self.n_shards = n_shards
-        self.start, self.n = np.zeros(n_shards, np.int64), np.zeros(n_shards, np.int64)
-        parts, at, stash = [], 0, []
+    def plain(self) -> tuple:
+        """What Filters(*plain) makes again: workers get no class of this package."""
+        return self.n_shards, self.start, self.n, self.slots, self.stash
+
+    @classmethod
+    def of(cls, rows: list, n_shards: int) -> "Filters":
+        start, n = np.zeros(n_shards, np.int64), np.zeros(n_shards, np.int64)
+        parts, at, stash = [np.zeros((1, SLOTS), np.uint16)], 1, [np.zeros(0, np.int64)]
         for r in rows:
-            self.start[r["shard"]], self.n[r["shard"]] = at, r["n_buckets"]
+            start[r["shard"]], n[r["shard"]] = at, r["n_buckets"]
             parts.append(np.frombuffer(r["slots"], np.uint16).reshape(-1, SLOTS))
             at += r["n_buckets"]
             stash.append(np.frombuffer(r["stash"], np.int64))
-        self.slots = np.concatenate(parts) if parts else np.zeros((1, SLOTS), np.uint16)
-        self.stash = np.unique(np.concatenate(stash)) if stash else np.zeros(0, np.int64)
+        return cls(n_shards, start, n, np.concatenate(parts), np.unique(np.concatenate(stash)))
 
     def hold(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
         shard = np.mod(g, self.n_shards)
@@ -298,14 +372,15 @@ class Filters:
         return (found & (n > 0)) | np.isin(h, self.stash)
 
 
-def _probe(filters):
+def _probe(sent):
     def run(batches):
+        filters = Filters(*sent.value)
         for b in batches:
             keys = b.column(2)
             n = np.asarray(keys.value_lengths().fill_null(0))
             flat = keys.flatten()
             h, g = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("h", "g"))
-            keep = np.flatnonzero(filters.value.hold(h, g)) if len(h) else np.zeros(0, np.int64)
+            keep = np.flatnonzero(filters.hold(h, g)) if len(h) else np.zeros(0, np.int64)
             row = pa.array(np.repeat(np.arange(len(n)), n)[keep])
             at = pa.array(keep)
             yield pa.RecordBatch.from_arrays(
@@ -317,6 +392,34 @@ def _probe(filters):
     return run
 
 
+def _probe_shard(key, filters: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+    columns = ["doc_id", "th", "pos", "h", "g"]
+    if not len(filters) or not len(lines):
+        return lines.iloc[:0][columns] if len(lines) else pd.DataFrame(columns=columns)
+    one = Filters.of([{**filters.iloc[0], "shard": 0}], 1)
+    return lines[columns][one.hold(lines.h.to_numpy(np.int64), np.zeros(len(lines), np.int64))]
+
+
+def _probed_by_shard(lines: DataFrame, state: LineState) -> DataFrame:
+    """Lines that the filters let through, for filters that are too large to
+    send: lines are dealt to the filters' shards, and a shard with many lines
+    (a frequent line may have a third of all) to several groups, each of which
+    gets the shard's filter."""
+    rows = lines.select("doc_id", "th", F.inline("keys")).withColumn("shard", _shard(state.n_shards))
+    groups = written(
+        rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / GROUP_LINES).cast("int").alias("groups")), "shard-groups"
+    )
+    part = F.pmod(F.xxhash64("doc_id", "th", "pos"), F.col("groups")).cast("int")
+    filters = state.filters.join(groups, "shard").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
+    )
+    return (
+        filters.drop("groups").groupBy("shard", "part")
+        .cogroup(rows.join(groups, "shard").withColumn("part", part).drop("groups").groupBy("shard", "part"))
+        .applyInPandas(_probe_shard, HIT)
+    )
+
+
 def repeated_lines(
     docs: DataFrame,
     state: LineState,
@@ -332,21 +435,15 @@ def repeated_lines(
         F.sum(F.octet_length("slots") + F.octet_length("stash") + 64)
     ).first()[0]
     if (size or 0) <= FILTER_BYTES:
-        sent = spark.sparkContext.broadcast(Filters(state.filters.collect(), state.n_shards))
-        maybe = lines.mapInArrow(_probe(sent), "doc_id long, th long, pos int, h long, g long")
+        sent = spark.sparkContext.broadcast(Filters.of(state.filters.collect(), state.n_shards).plain())
+        maybe = lines.mapInArrow(_probe(sent), HIT)
     else:
-        maybe = lines.select("doc_id", "th", F.inline("keys"))
-    maybe = written(maybe, "line-maybe")
-    held = (
-        maybe.groupBy("h", "g", "doc_id")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("h", "g")
-        .agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n_docs") >= min_docs)
-    )
-    # as a table of its own, so that the join can be split where a key is frequent
+        maybe = _probed_by_shard(lines, state)
+    # tables on both sides, so that the join can be split where a key is frequent
+    held = written(state.refs.where(F.col("n_docs") >= min_docs).select("h", "g", "keeper"), "line-held")
     return (
-        maybe.join(written(held, "line-held"), ["h", "g"])
+        written(maybe, "line-maybe")
+        .join(held, ["h", "g"])
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .select("doc_id", "th", "pos")
     )
@@ -375,36 +472,37 @@ def dedup(
     """docs with ``text_col`` cut to its kept lines, and n_lines, n_dropped.
 
     A key of at least min_chars code points found in at least min_docs
-    documents (distinct non-null ids) loses all its lines except those in the
-    largest id that holds it. Defined cases: a null text counts as one empty
-    line and becomes ''; rows that repeat an id count as one document and are
-    each cut; rows with a null id lose such lines but never count or keep; an
-    empty table gives an empty result. Other columns pass through (columns
-    called n_lines or n_dropped are replaced).
+    documents (distinct non-null ids) of the state's corpus loses all its lines
+    except those in the largest id that holds it. Without a state, docs are the
+    corpus. Defined cases: a null text counts as one empty line and becomes '';
+    rows that repeat an id count as one document and are each cut; rows with a
+    null id lose such lines but never count or keep; an empty table gives an
+    empty result; texts and lines of any length are cut whole. Other columns
+    pass through (columns called n_lines or n_dropped are replaced).
     """
     small_batches(docs.sparkSession)
     if state is None:
         state = insert(empty_state(docs), docs, id_col, text_col, min_chars, min_docs)
+    i, th, drop = (fresh(docs, c) for c in ("gone_id", "gone_th", "gone"))
     drops = (
         repeated_lines(docs, state, id_col, text_col, min_chars, min_docs)
         .groupBy("doc_id", "th")
-        .agg(F.collect_set("pos").alias("_drop"))
-        .select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_drop")
+        .agg(F.collect_set("pos").alias(drop))
+        .select(F.col("doc_id").alias(i), F.col("th").alias(th), drop)
     )
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     whole_docs = docs.select(*rest).withColumn(text_col, whole(text_col))
     return (
         whole_docs.join(
             drops,
-            F.col(id_col).cast("long").eqNullSafe(F.col("_id"))
-            & (F.xxhash64(F.col(text_col)) == F.col("_th")),
+            F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(text_col)) == F.col(th)),
             "left",
         )
         .select(
             *[c for c in rest if c != text_col],
             F.size(F.split(F.col(text_col), "\n", -1)).cast("long").alias("n_lines"),
-            F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
-            _without(F.col(text_col), F.col("_drop")).alias(text_col),
+            F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"),
+            _without(F.col(text_col), F.col(drop)).alias(text_col),
         )
         .select(*rest, "n_lines", "n_dropped")
     )
