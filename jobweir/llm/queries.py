@@ -173,36 +173,51 @@ WITH d AS (
   SELECT doc_id, n, next_id, t,
          substring(t, 1, n - n // 3) || substring(coalesce(after, top), 1, n // 3) AS edited
   FROM d
+), both_ AS (SELECT doc_id, 0 AS which, t AS x FROM e UNION ALL SELECT doc_id, 1, edited FROM e
 ), p AS (
-  SELECT doc_id, which, sha256(piece) AS h FROM (
+  SELECT doc_id, which, sha256(piece) AS ha, sha256('1' || piece) AS hb FROM (
+    SELECT doc_id, which, unnest(string_split(x, chr(10))) AS piece FROM both_)
+), own AS (
+  SELECT doc_id, which, lane AS no,
+         (sum(('0x' || substring(CASE WHEN lane < 4 THEN ha ELSE hb END, (15 * (lane % 4) + 1)::INT, 15))::BIGINT)
+          % 1152921504606846976)::BIGINT AS v
+  FROM p, range(8) r(lane) GROUP BY ALL
+), s AS (
+  SELECT doc_id, which, md5(piece) AS h FROM (
     SELECT doc_id, which,
            unnest(string_split(regexp_replace(x, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10))) AS piece
-    FROM (SELECT doc_id, 0 AS which, t AS x FROM e UNION ALL SELECT doc_id, 1, edited FROM e)
-  ) WHERE piece <> ''
-), lanes AS (
-  SELECT doc_id, which, lane,
-         sum(2 * ((('0x' || substring(h, (8 * (lane // 32) + 1)::INT, 8))::BIGINT >> (lane % 32)::INT) & 1) - 1)::BIGINT AS v
-  FROM p, range(256) r(lane) GROUP BY ALL
-), v AS (
-  SELECT doc_id, which, list(v ORDER BY lane) AS v FROM lanes GROUP BY ALL
+    FROM both_) WHERE piece <> ''
+), number_ AS (SELECT doc_id, which, 8 AS no, count(h) AS v FROM both_ LEFT JOIN s USING (doc_id, which) GROUP BY ALL
+), counts AS (
+  SELECT doc_id, which, 9 + 30 * word + bit AS no,
+         sum((('0x' || substring(h, (15 * word + 1)::INT, 15))::BIGINT >> bit::INT) & 1073741825)::BIGINT AS v
+  FROM s, range(2) w(word), range(30) b(bit) GROUP BY ALL
+), every AS (
+  SELECT doc_id, which, no, coalesce(v, 0) AS v FROM both_ CROSS JOIN range(69) r(no)
+  LEFT JOIN (FROM own UNION ALL FROM number_ UNION ALL FROM counts) USING (doc_id, which, no)
 ), f AS (
-  SELECT e.doc_id, n, next_id, edited, which, coalesce(v.v, list_transform(range(256), lambda i: 0::BIGINT)) AS v
-  FROM e CROSS JOIN (VALUES (0), (1)) w(which) LEFT JOIN v USING (doc_id, which)
+  SELECT doc_id, which, list(v ORDER BY no) AS v FROM every GROUP BY ALL
 ), j AS (
-  SELECT a.doc_id, a.n, a.edited, a.v AS va, b.v AS vb, c.v AS vc
-  FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.which = 0 AND b.which = 1
-  JOIN f c ON c.doc_id = a.next_id AND c.which = 0
-), dots AS (
-  SELECT *, list_sum(list_transform(va, lambda x: x * x))::DOUBLE AS aa,
-         list_sum(list_transform(vb, lambda x: x * x))::DOUBLE AS bb,
-         list_sum(list_transform(vc, lambda x: x * x))::DOUBLE AS cc,
-         list_sum(list_transform(range(1, 257), lambda i: va[i] * vb[i]))::DOUBLE AS ab,
-         list_sum(list_transform(range(1, 257), lambda i: va[i] * vc[i]))::DOUBLE AS ac
+  SELECT e.doc_id, e.n, e.edited, a.v AS va, b.v AS vb, c.v AS vc
+  FROM e JOIN f a ON a.doc_id = e.doc_id AND a.which = 0 JOIN f b ON b.doc_id = e.doc_id AND b.which = 1
+  JOIN f c ON c.doc_id = e.next_id AND c.which = 0
+), lanes AS (
+  SELECT doc_id, n, edited, va, vb, vc,
+         list_transform(range(120), lambda i: 2 * ((va[10 + i // 2] >> (30 * (i % 2))::INT) & 1073741823) - va[9]) AS xa,
+         list_transform(range(120), lambda i: 2 * ((vb[10 + i // 2] >> (30 * (i % 2))::INT) & 1073741823) - vb[9]) AS xb,
+         list_transform(range(120), lambda i: 2 * ((vc[10 + i // 2] >> (30 * (i % 2))::INT) & 1073741823) - vc[9]) AS xc
   FROM j
+), dots AS (
+  SELECT *, list_sum(list_transform(xa, lambda x: x * x))::DOUBLE AS aa,
+         list_sum(list_transform(xb, lambda x: x * x))::DOUBLE AS bb,
+         list_sum(list_transform(xc, lambda x: x * x))::DOUBLE AS cc,
+         list_sum(list_transform(range(1, 121), lambda i: xa[i] * xb[i]))::DOUBLE AS ab,
+         list_sum(list_transform(range(1, 121), lambda i: xa[i] * xc[i]))::DOUBLE AS ac
+  FROM lanes
 )
 SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256,
-       list_aggregate(list_transform(va, lambda x: format('{:04x}', (x + 65536) % 65536)), 'string_agg', '') AS fingerprint,
-       list_aggregate(list_transform(vb, lambda x: format('{:04x}', (x + 65536) % 65536)), 'string_agg', '') AS edited_fingerprint,
+       list_aggregate(list_transform(va, lambda x: format('{:015x}', x)), 'string_agg', '') AS fingerprint,
+       list_aggregate(list_transform(vb, lambda x: format('{:015x}', x)), 'string_agg', '') AS edited_fingerprint,
        round(CASE WHEN va = vb THEN 1.0::DOUBLE WHEN aa * bb > 0 THEN greatest(0, least(1, ab / (sqrt(aa) * sqrt(bb)))) ELSE 0 END, 6) AS near_edited,
        round(CASE WHEN va = vc THEN 1.0::DOUBLE WHEN aa * cc > 0 THEN greatest(0, least(1, ac / (sqrt(aa) * sqrt(cc)))) ELSE 0 END, 6) AS near_next
 FROM dots

@@ -79,22 +79,27 @@ def test_trigram_queries():
 
 
 def vector(text):
-    v = [0] * fp.LANES
+    own, low = [0] * fp.LANES, (1 << 60) - 1
+    for p in text.split("\n"):
+        a, b = hashlib.sha256(p.encode()).hexdigest(), hashlib.sha256(b"1" + p.encode()).hexdigest()
+        for i in range(8):
+            own[i] = own[i] + int((a if i < 4 else b)[15 * (i % 4) :][:15], 16) & low
+    n, counts = 0, [0] * 60
     for p in re.sub(r"([.!?])[ \t]+", r"\1\n", text).split("\n"):
         if p:
-            h = hashlib.sha256(p.encode()).hexdigest()
-            for w in range(8):
-                x = int(h[8 * w : 8 * w + 8], 16)
-                for b in range(32):
-                    v[32 * w + b] += 2 * (x >> b & 1) - 1
-    return "".join(f"{x % 65536:04x}" for x in v)
-
-
-@pytest.mark.parametrize("block", [fp.BLOCK_CHARS, 40])
-def test_fingerprints(docs_of, monkeypatch, block):
-    monkeypatch.setattr(fp, "BLOCK_CHARS", block)
-    rows = [(7, "One. Two. Three."), (3, "Three. One. Two."), (12, "a\nb\nc\nd\ne\nf"), (5, None), (9, "x"), (20, "é. ü! ñ? " * 9), (21, "")]
-    got = {r.doc_id: r for r in fp.compared(docs_of(rows)).collect()}
+            n, h = n + 1, hashlib.md5(p.encode()).hexdigest()
+            for w in range(2):
+                x = int(h[15 * w : 15 * w + 15], 16)
+                for b in range(30):
+                    counts[30 * w + b] += (x >> b & 1) + ((x >> b + 30 & 1) << 30)
+    return "".join(f"{x:015x}" for x in [*own, n, *counts])
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_fingerprints(docs_of, parts):
+    long = "x" * 100_000 + "\n" + "A line. Another one!\n" * 3000
+    rows = [(7, "One.\nTwo. Three."), (3, "Two. Three.\nOne."), (12, "a\nb\nc\nd\ne\nf"), (5, None), (9, "x"), (20, "é. ü! ñ? " * 9), (21, ""), (2, long)]
+    got = {r.doc_id: r for r in fp.compared(docs_of(rows).repartition(parts)).collect()}
     order = sorted(rows, reverse=True)
     for k, (i, t) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
@@ -106,15 +111,42 @@ def test_fingerprints(docs_of, monkeypatch, block):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         assert r.near_edited == 1 or edit != t
     assert got[7].fingerprint == got[3].fingerprint  # order does not count
+    assert got[2].near_edited > 0.9
     assert fp.compared(docs_of([])).collect() == []
     one = fp.compared(docs_of([(1, "abc")])).first()
     assert one.near_next == 1
 
 
+def test_very_many_copies_and_blanks_still_differ(docs_of):
+    n = 70_000
+    texts = ["a\n" * n, "b\n" * n, "a\n" * (n + 1), "a\n" * (n + 65_536), "", "\n", "One. Two.", "One.  Two.", "One. Two.\n"]
+    got = sorted(fp.compared(docs_of(list(enumerate(texts)))).collect(), key=lambda r: r.doc_id)
+    assert len({r.fingerprint for r in got}) == len(texts)
+    assert got[2].near_next < 0.5 and got[3].near_edited > 0.99 and got[3].near_next > 0.99
+
+
 def test_repeated_and_null_ids(docs_of):
     rows = [(4, "b b"), (4, "a a"), (4, "a a"), (None, "n n n"), (1, "z")]
     got = fp.compared(docs_of(rows)).collect()
     assert len(got) == 5 and sorted((r.n_chars for r in got)) == [1, 3, 3, 3, 5]
+    # of equal rows, all but the last are followed by one of themselves
+    assert sorted(r.near_next for r in got if r.fingerprint == vector("a a"))[-1] == 1
+    equal = fp.compared(docs_of([(1, "same text"), (1, "same text"), (1, "same text")])).collect()
+    assert len(equal) == 3 and all(r.near_next == 1 for r in equal)
+
+
+def test_fingerprints_add_and_subtract(spark):
+    """Paragraphs put in and taken out, in any order, without reading the rest."""
+    from pyspark.sql import functions as F
+
+    def v(text):
+        return fp.vector(fp.paragraphs(F.lit(text)), fp.sentences(F.lit(text)))
+
+    row = spark.range(1).select(
+        fp.printed(fp.minus(fp.plus(v("One. Two\nb"), v("c")), v("b"))).alias("a"),
+        fp.printed(fp.plus(v("c"), v("One. Two"))).alias("b"),
+    ).first()
+    assert row.a == row.b
 
 
 def test_decontaminate(docs_of, spark):
