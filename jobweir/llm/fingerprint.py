@@ -176,10 +176,12 @@ def with_next(rows: DataFrame, derive) -> DataFrame:
 
     Rows meet their place in the order by an equi join, and send their start to
     the row before by another; a frequent id falls apart by its texts' hashes,
-    and equal rows are one until the end.
+    and equal rows are one until the end. Both sides of the second join read the
+    columns of rows that the first has dealt out, so Spark deals them out once.
     """
-    rows = rows.withColumns({"h": F.xxhash64("text"), "size": F.char_length("text")})
-    order = written(in_order(rows.select("doc_id", "h", "size")), "order-prev")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    size = F.char_length("text").alias("size")
+    order = written(in_order(rows.select("doc_id", "h", size)), "order-prev")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
     keyed = derive(rows).join(
         order.withColumnsRenamed({"doc_id": "_id", "h": "_h"}), same
@@ -198,7 +200,7 @@ def with_next(rows: DataFrame, derive) -> DataFrame:
     if repeated:  # all copies but the last are followed by one of themselves
         again = keyed.where("copies > 1").withColumns(
             {
-                "head": F.substring("text", F.lit(1), F.floor(F.col("size") / 3).cast("int")),
+                "head": F.substring("text", F.lit(1), F.floor(F.char_length("text") / 3).cast("int")),
                 "next_vector": F.col("vector"),
                 "copies": F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("copies"))),
             }
@@ -236,6 +238,7 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
     text, new = F.col("text"), F.col("edited")
     rows = with_next(rows, lambda d: d.withColumn("vector", vector(paragraphs(text), sentences(text))))
+    rows = rows.withColumn("size", F.char_length("text"))
     rows = rows.withColumn("edited", edited(text, F.col("size"), F.col("head")))
     rows = rows.withColumns(
         {"p0": paragraphs(text), "p1": paragraphs(new), "s0": sentences(text), "s1": sentences(new)}
