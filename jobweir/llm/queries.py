@@ -234,17 +234,20 @@ WITH i AS (
   SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda w: w <> '') AS ws
   FROM benchmark
 ), si AS (
-  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' '))) AS s
-  FROM i WHERE len(ws) >= 5
-), q AS (SELECT item_id, count(*) AS n_item FROM si GROUP BY item_id), d AS (
+  SELECT DISTINCT item_id, least(len(ws), 5) AS k,
+         unnest(list_transform(range(1, len(ws) - least(len(ws), 5) + 2),
+                               lambda p: array_to_string(ws[p:p + least(len(ws), 5) - 1], ' '))) AS s
+  FROM i WHERE len(ws) > 0
+), q AS (SELECT item_id, k, count(*) AS n_item FROM si GROUP BY item_id, k), sizes AS (SELECT DISTINCT k FROM si), d AS (
   SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda w: w <> '') AS ws
   FROM documents
 ), sd AS (
-  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' '))) AS s
-  FROM d WHERE len(ws) >= 5
+  SELECT DISTINCT doc_id, k,
+         unnest(list_transform(range(1, len(ws) - k + 2), lambda p: array_to_string(ws[p:p + k - 1], ' '))) AS s
+  FROM d, sizes WHERE len(ws) >= k
 )
 SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
-FROM sd JOIN si USING (s) JOIN q USING (item_id)
+FROM sd JOIN si USING (s, k) JOIN q USING (item_id, k)
 GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
 """
 

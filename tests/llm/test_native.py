@@ -1,6 +1,7 @@
 """WARC, secrets, fingerprints and decontamination on small tables."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -149,25 +150,65 @@ def test_fingerprints_add_and_subtract(spark):
     assert row.a == row.b
 
 
+def contained(rows, items, threshold=0.8):
+    """(doc_id, item_id, n_shared) by plain sets."""
+    def words_of(t):
+        return [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").lower()) if w]
+
+    def grams(ws, n):
+        return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)}
+
+    best = {}
+    for i, t in rows:
+        for j, x in items:
+            ws = words_of(x)
+            if j is None or not ws:
+                continue
+            want = grams(ws, min(5, len(ws)))
+            n = len(want & grams(words_of(t), min(5, len(ws))))
+            if n >= threshold * len(want) - 1e-9 and n:
+                best[i, j] = max(best.get((i, j), 0), n)
+    return sorted(((i, j, n) for (i, j), n in best.items()), key=repr)
+
+
 def test_decontaminate(docs_of, spark):
     item = " ".join(f"w{i}" for i in range(20))
-    items = spark.createDataFrame(
-        [(1, item, 0), (2, "too short here", 0), (3, None, 0), (None, item, 0), (4, "aa bb cc dd ee", 0)],
-        "item_id long, text string, doc_id int",
-    )
+    items = [(1, item), (2, "too short here"), (3, None), (None, item), (4, "aa bb cc dd ee"), (5, "solo"), (6, "?!")]
+    table = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, doc_id int")
     half = " ".join(f"w{i}" for i in range(10))
     near = item.replace("w0 ", "v0 ").replace("w19", "v19")
     rows = [
         (1, f"before {item.upper()}, after"), (2, half), (3, None), (4, near), (5, "Aa? bb! cc; dd: ee."), (5, "else"),
-        (None, item), (6, "x " * 50_000 + item), (7, "too short here"),
+        (None, item), (None, "clean"), (6, "x " * 50_000 + item), (7, "too short here"), (8, "one SOLO word"), (9, "too; short - HERE it is"),
+        (10, ""),
     ]
-    got = sorted(((r.doc_id, r.item_id, r.n_shared) for r in dc.matches(docs_of(rows), items).collect()), key=repr)
-    assert got == sorted([(1, 1, 16), (4, 1, 14), (5, 4, 1), (None, 1, 16), (6, 1, 16)], key=repr)
-    kept = dc.keep_clean(docs_of(rows), items)
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 7]
-    assert kept.columns == docs_of(rows).columns
-    assert dc.matches(docs_of([]), items).collect() == []
-    assert dc.matches(docs_of(rows), items.limit(0)).collect() == []
+    got = sorted(((r.doc_id, r.item_id, r.n_shared) for r in dc.matches(docs_of(rows), table).collect()), key=repr)
+    assert got == contained(rows, items) and len(got) == 8
+    clashing = docs_of(rows).withColumnsRenamed({"th": "gone_id", "pos": "_gone"})
+    kept = dc.keep_clean(clashing, table)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(2, half), (3, None), (5, "else"), (None, "clean"), (10, "")], key=repr)
+    assert kept.columns == clashing.columns
+    assert dc.matches(docs_of([]), table).collect() == []
+    assert dc.matches(docs_of(rows), table.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("sent", [1_000_000, -1])
+def test_decontaminate_against_plain_sets(docs_of, spark, monkeypatch, sent):
+    """Random short and long items, a phrase that most of them share, edited copies."""
+    monkeypatch.setattr(dc, "SENT", sent)
+    g, phrase = random.Random(9), "what is the right answer to this"
+    prose = lambda n: " ".join(g.choice("abcdefgh") + g.choice("ijklm") for _ in range(n))
+    items = [(i, f"{phrase} {prose(g.randint(3, 30))}" if i % 2 else prose(g.randint(1, 12))) for i in range(40)]
+    rows = []
+    for i in range(120):
+        body = [prose(g.randint(0, 60)), g.choice(items)[1] if i % 3 else phrase, prose(g.randint(0, 60))]
+        ws = " ".join(body).split()
+        for _ in range(g.randint(0, 2)):
+            ws[g.randrange(len(ws))] = "zz"
+        rows.append((i, " ".join(ws)))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.n_shared) for r in dc.matches(docs_of(rows), table).collect()), key=repr)
+    assert got == contained(rows, items) and len(got) > 60
 
 
 def test_sketch_by_join(docs_of, spark, monkeypatch):
