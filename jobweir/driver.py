@@ -349,3 +349,4 @@ query(
 
 from . import driver_more  # noqa: E402, F401  it registers its queries here
 from . import driver_state  # noqa: E402, F401
+from . import driver_sync  # noqa: E402, F401

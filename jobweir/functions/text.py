@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 #: Entities decoded in descriptions, in this order (fixed values).
@@ -28,6 +31,44 @@ def entities(x: Column) -> Column:
     return replaced(x, BASIC_ENTITIES)
 
 
+def _decoded(name: Column) -> Column:
+    """What an entity, without & and ;, stands for; null if it is none."""
+    digits = F.regexp_extract(name, "^#(?:([0-9]{1,8})|[xX][0-9A-Fa-f]{1,6})$", 1)
+    hexed = F.upper(F.regexp_extract(name, "^#[xX]([0-9A-Fa-f]{1,6})$", 1))
+    code = F.when(digits != "", F.hex(digits.cast("bigint"))).when(hexed != "", hexed)
+    number = F.conv(code, 16, 10).cast("bigint")
+    legal = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.when(legal, code), 8, "0")), "UTF-32")
+    # the names of HTML 5, from the standard library's table
+    names = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+    table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    return F.when(name.startswith("#"), char).otherwise(F.try_element_at(table, name))
+
+
+def unescape(x: Column) -> Column:
+    """Each named or numeric entity that ends in a semicolon decoded once; what
+    is no entity stays."""
+    found = F.array_distinct(F.regexp_extract_all(x, F.lit("&(#?[0-9A-Za-z]+);"), F.lit(1)))
+    pairs = F.transform(found, lambda e: F.struct(e.alias("name"), _decoded(e).alias("value")))
+    pairs = F.filter(pairs, lambda p: p["value"].isNotNull())
+
+    def replace(pairs: Column, text: Column) -> Column:
+        return F.aggregate(
+            pairs, text, lambda t, p: F.replace(t, F.concat(F.lit("&"), p["name"], F.lit(";")), p["value"])
+        )
+
+    # those that make an ampersand come last, so that none is decoded twice
+    ampersand = lambda p: p["value"] == "&"
+    several = F.get(
+        F.transform(
+            F.array(pairs),
+            lambda ps: replace(F.filter(ps, ampersand), replace(F.filter(ps, lambda p: ~ampersand(p)), x)),
+        ),
+        0,
+    )
+    return F.when(F.contains(x, F.lit("&")), several).otherwise(x)
+
+
 def collapse(x: Column) -> Column:
     """Runs of Unicode white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
@@ -48,13 +89,14 @@ def strip_tags(x: Column) -> Column:
 
 
 def html_to_text(x: Column) -> Column:
-    """Entities, then tags, then what entities the tags had hidden; collapsed.
+    """The listed entities, then tags, then all entities that are left; collapsed.
 
-    Text of script and style elements stays; comments go.
+    Text of script and style elements stays; comments go. Entities without a
+    semicolon stay.
     """
     x = replaced(x, ENTITIES)
     x = F.regexp_replace(F.regexp_replace(x, r"(?s)<!--.*?-->", " "), TAG, " ")
-    return collapse(replaced(x, ENTITIES))
+    return collapse(unescape(x))
 
 
 def comment_title(x: Column) -> Column:
@@ -83,10 +125,13 @@ def split_at(title: Column) -> Column:
 
 
 def tag_payload(block: Column, tag: str) -> Column:
-    """Text of the first such tag, CDATA or plain, trimmed; empty is null."""
-    pattern = rf"(?s)<{tag}>\s*(?:<!\[CDATA\[(.*?)\]\]>|([^<]*))\s*</{tag}>"
-    cdata, plain = F.regexp_extract(block, pattern, 1), F.regexp_extract(block, pattern, 2)
-    return trim_null(F.concat(cdata, plain))
+    """Text of the first such tag, CDATA or plain, trimmed; empty is null, and so
+    is a tag that holds other tags."""
+    inner = trimmed(F.substring_index(F.substring_index(block, f"</{tag}>", 1), f"<{tag}>", -1))
+    whole = F.contains(block, F.lit(f"<{tag}>")) & F.contains(block, F.lit(f"</{tag}>"))
+    cdata = inner.startswith("<![CDATA[") & inner.endswith("]]>")
+    text = F.when(cdata, F.substring(inner, F.lit(10), F.char_length(inner) - 12))
+    return F.when(whole, trim_null(F.when(cdata, text).when(~F.contains(inner, F.lit("<")), inner)))
 
 
 def hrefs(x: Column) -> Column:

@@ -104,6 +104,14 @@ def of_kind(companies: DataFrame, kind: str) -> DataFrame:
     return companies.where(F.col("ats_kind") == kind).select("id", "name", "ats_slug").orderBy("ats_slug", "id")
 
 
+def by_kind(companies: DataFrame) -> DataFrame:
+    """Companies grouped by kind, in order of kind, then id: (ats_kind, n, id,
+    ats_slug), n the companies of the kind. Groups stay rows, whatever their size."""
+    sizes = companies.groupBy("ats_kind").agg(F.count(F.lit(1)).alias("n"))
+    rows = companies.select("ats_kind", "id", "ats_slug").join(sizes, "ats_kind")
+    return rows.select("ats_kind", "n", "id", "ats_slug").orderBy("ats_kind", "id")
+
+
 def find_slug(companies: DataFrame, slug: str, kind: str | None = None) -> DataFrame:
     rows = companies.where(F.col("ats_slug") == slug)
     return rows if kind is None else rows.where(F.col("ats_kind") == kind)

@@ -90,11 +90,12 @@ def upsert_companies(
 def sweep(jobs: DataFrame, synced: DataFrame, now: Column) -> DataFrame:
     """jobs with those closed that a successful sync did not see.
 
-    synced has (company_id, ats_kind, started_at), one row for each company
-    whose fetch succeeded, also if it was empty; others are not touched.
+    synced has (company_id, ats_kind, started_at) of each company whose fetch
+    succeeded, also if it was empty; others are not touched. Of rows that repeat
+    a company the latest start counts.
     """
     gone = F.col("closed_at").isNull() & (F.col("last_seen") < F.col("_started"))
-    s = synced.select("company_id", "ats_kind", F.col("started_at").alias("_started"))
+    s = synced.groupBy("company_id", "ats_kind").agg(F.max("started_at").alias("_started"))
     return (
         jobs.join(s, ["company_id", "ats_kind"], "left")
         .withColumn("closed_at", F.when(gone, now).otherwise(F.col("closed_at")))
@@ -161,9 +162,13 @@ def parse_ids(text: str) -> list[int]:
     return [int(x) for x in (p.strip() for p in text.split(",")) if x]
 
 
-def mark(jobs: DataFrame, marks: DataFrame, now: Column) -> DataFrame:
-    """jobs with the status and note of marks (id, status, note), one row an id."""
-    m = marks.select("id", F.col("status").alias("_status"), F.col("note").alias("_note"))
+def mark(jobs: DataFrame, marks: DataFrame, now: Column, seq: Column | None = None) -> DataFrame:
+    """jobs with the status and note of marks (id, status, note). Of marks that
+    repeat an id the last by seq counts; without a seq, the greatest."""
+    order = F.struct("status", "note") if seq is None else F.struct(seq, "status", "note")
+    m = marks.groupBy("id").agg(F.max_by(F.struct("status", "note"), order).alias("m")).select(
+        "id", F.col("m.status").alias("_status"), F.col("m.note").alias("_note")
+    )
     hit = F.col("_status").isNotNull()
     status = F.when(F.col("_status") == "reset", "new").otherwise(F.col("_status"))
     return (
