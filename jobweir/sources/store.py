@@ -1,12 +1,15 @@
-"""Versioned table snapshots in Parquet.
+"""Table snapshots as plain Parquet, read and written by Spark alone.
 
-Parquet has no update in place, so each merge writes the next version and then
-points to it. A writer that dies leaves an unused folder, never half a table.
+jobs are partitioned by kind and by a bucket of the key, so that a merge
+rewrites only the partitions its batch touches (dynamic partition overwrite).
+Readers that must not see a merge under way, and histories of versions, are
+what table formats are for; these functions keep to folders of Parquet.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schemas import COMPANIES, DISCOVERIES, JOBS, META, REQUIRED, RUNS
 
@@ -14,25 +17,25 @@ TABLES = {
     "companies": COMPANIES, "company_discoveries": DISCOVERIES, "jobs": JOBS, "crawl_runs": RUNS,
     "meta": META,
 }
-PARTITIONED = {"jobs": ["ats_kind"]}
+#: Buckets of each kind's jobs. It is part of the layout: a table keeps its own.
+BUCKETS = 64
+PARTITIONED = {"jobs": ["ats_kind", "bucket"]}
 
 
-def _versions(spark: SparkSession, root: str, name: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = [s.getPath() for s in fs.listStatus(path)]
-    done = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName()[1:]) for p in done if p.getName().startswith("v"))
+def bucket() -> Column:
+    return F.pmod(F.xxhash64("ats_kind", "external_id"), F.lit(BUCKETS)).cast("int")
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The newest version of a table; an empty one if there is none."""
-    versions = _versions(spark, root, name)
-    if not versions:
+def read_table(spark: SparkSession, root: str, name: str, only: Column | None = None) -> DataFrame:
+    """A table, or those of its partitions that only chooses; empty if there is none."""
+    extra = ", bucket int" * ("bucket" in PARTITIONED.get(name, []))
+    try:
+        table = spark.read.schema(TABLES[name] + extra).parquet(f"{root}/{name}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], TABLES[name])
-    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}/v{versions[-1]:08d}")
+    return (table if only is None else table.where(only)).select(*[x.split()[0] for x in TABLES[name].split(", ")])
 
 
 def rejected(df: DataFrame, name: str) -> DataFrame:
@@ -43,18 +46,13 @@ def rejected(df: DataFrame, name: str) -> DataFrame:
     return df.where(missing)
 
 
-def write_snapshot(df: DataFrame, root: str, name: str) -> str:
-    """Write the next version of a table; returns its path. Rows with a null
-    where the table allows none are an error."""
-    spark = df.sparkSession
+def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
+    """Write a table. mode "overwrite" replaces the partitions that df has, or
+    the whole table where it has no partitions; "append" adds to a log. Rows
+    with a null where the table allows none are an error."""
     if not rejected(df, name).isEmpty():
         raise ValueError(f"{name}: null in one of {REQUIRED[name]}")
-    versions = _versions(spark, root, name)
-    path = f"{root}/{name}/v{(versions[-1] if versions else 0) + 1:08d}"
-    df.write.mode("overwrite").partitionBy(*PARTITIONED.get(name, [])).parquet(path)
-    return path
-
-
-def append(df: DataFrame, root: str, name: str) -> None:
-    """Append rows to a log table (discoveries, runs), kept as one version."""
-    df.write.mode("append").parquet(f"{root}/{name}/v00000001")
+    by = PARTITIONED.get(name, [])
+    if "bucket" in by:
+        df = df.withColumn("bucket", bucket()).repartition(*by)
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{root}/{name}")

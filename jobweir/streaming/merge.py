@@ -1,29 +1,41 @@
-"""Merges as a stream: each micro-batch of postings makes the next snapshot."""
+"""Merges as a stream: each micro-batch of postings changes the partitions it touches."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.merge import assign_ids, upsert_jobs
-from ..sources.store import read_table, write_snapshot
+from ..sources.store import bucket, read_table, write_table
+
+
+def _touched(batch: DataFrame) -> Column:
+    """A predicate on kind and bucket; there are at most kinds * BUCKETS pairs."""
+    kinds = batch.groupBy("ats_kind").agg(F.collect_set(bucket()).alias("buckets")).collect()
+    found = [(F.col("ats_kind") == r["ats_kind"]) & F.col("bucket").isin(r["buckets"]) for r in kinds]
+    return reduce(lambda a, b: a | b, found, F.lit(False))
 
 
 def apply_postings(root: str, seq: Column, now):
     """A function for writeStream.foreachBatch that merges batches of the job
     columns (ats_kind, external_id, company_id, title, ...) into root/jobs.
 
-    now(epoch) gives the time of a batch, so a batch that is repeated after a
-    failure merges to the same state.
+    Only partitions with a key of the batch are read, merged and replaced. now
+    (epoch) gives the time of a batch, so a batch that is repeated after a
+    failure merges to the same state. One stream writes a table.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        jobs = read_table(spark, root, "jobs")
+        batch = batch.persist()
+        jobs = read_table(spark, root, "jobs", _touched(batch))
         out = upsert_jobs(jobs, batch, seq, now(epoch)).drop("change")
         known, new = out.where("id is not null"), out.where("id is null").drop("id")
-        start = jobs.agg(F.max("id")).first()[0] or 0
+        start = read_table(spark, root, "jobs").agg(F.max("id")).first()[0] or 0
         block = F.pmod(F.xxhash64("ats_kind", "external_id"), F.lit(64))
         numbered = assign_ids(new, start, ["ats_kind", "external_id"], block)
-        write_snapshot(known.unionByName(numbered).select(*jobs.columns), root, "jobs")
+        write_table(known.unionByName(numbered).select(*jobs.columns), root, "jobs")
+        batch.unpersist()
 
     return run

@@ -112,3 +112,16 @@ def test_search(spark):
     assert ids(match.term("zurich")) == [2] and ids(match.prefix("trust")) == [2]
     assert ids(match.phrase(["a", "b"])) == [1] and ids(match.near("b", "a", 0)) == [1, 2]
     assert ids(match.near("a", "c", 0)) == [] and ids(match.near("a", "c", 1)) == [1]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Don&rsquo;t &#8211; caf&eacute; &#x20ac;", "Don\u2019t \u2013 caf\u00e9 \u20ac"),
+        ("&amp;lt; &lt; &#38;gt;", "&lt; < &gt;"),
+        ("&nosuch; &#0; &#xD800; &#99999999; & &;", "&nosuch; &#0; &#xD800; &#99999999; & &;"),
+        ("&#128512;", "\U0001f600"), ("plain", "plain"), ("", ""), (None, None),
+    ],
+)
+def test_unescape(spark, text, want):
+    assert one(spark, text, t.unescape) == want

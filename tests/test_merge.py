@@ -102,3 +102,17 @@ def test_selectors_meet_all_companies(spark):
         db.execute(f"CREATE VIEW customer AS SELECT * FROM '{d}/customer.parquet'")
         want = db.execute(e.oracle_sql()["resolve_selector_all"]).fetchall()
     assert sorted(map(tuple, got.select("selector", "outcome", "company_id", "matches").collect())) == sorted(want)
+
+
+def test_repeated_marks_and_companies_keep_one_row_a_job(spark):
+    jobs = spark.createDataFrame(
+        [(1, 5, "lever", "new", None, None, 1, None), (2, 5, "lever", "new", None, None, 9, None)],
+        "id int, company_id int, ats_kind string, status string, status_changed_at int, status_note string, last_seen int, closed_at int",
+    )
+    marks = spark.createDataFrame([(1, "applied", "a", 1), (1, "dismissed", "b", 2), (1, "applied", "c", 0)], "id int, status string, note string, seq int")
+    got = sorted(tuple(r) for r in merge.mark(jobs, marks, F.lit(7), F.col("seq")).select("id", "status", "status_note").collect())
+    assert got == [(1, "dismissed", "b"), (2, "new", None)]
+    assert merge.mark(jobs, marks, F.lit(7)).count() == 2
+    synced = spark.createDataFrame([(5, "lever", 3), (5, "lever", 4)], "company_id int, ats_kind string, started_at int")
+    got = sorted(tuple(r) for r in merge.sweep(jobs, synced, F.lit(7)).select("id", "closed_at").collect())
+    assert got == [(1, 7), (2, None)]

@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from jobweir.operators import merge
 from jobweir.schemas import JOBS
+import glob
+import os
+
 from jobweir.sources import adapters, landed, store
 from jobweir.streaming.merge import apply_postings
 
@@ -53,12 +56,16 @@ def test_snapshots_and_stream(spark, tmp_path):
     batch = batch.withColumn("remote", F.lit(None).cast("boolean"))
     run = apply_postings(root, F.col("seq"), lambda epoch: F.lit(f"2024-01-0{epoch + 1} 00:00:00").cast("timestamp"))
     run(batch, 0)
+    before = {f: os.path.getmtime(f) for f in glob.glob(f"{tmp_path}/jobs/*/*/*.parquet")}
     run(batch.where("external_id = '2'").withColumn("title", F.lit("C")), 1)
     got = {r.external_id: r for r in store.read_table(spark, root, "jobs").collect()}
     assert got["2"].title == "C" and got["1"].title == "A" and got["2"].last_seen > got["1"].last_seen
     assert sorted(r.id for r in got.values()) == [1, 2]
+    # only the partition of the second batch was written again
+    after = {f: os.path.getmtime(f) for f in glob.glob(f"{tmp_path}/jobs/*/*/*.parquet")}
+    assert len(before) == len(after) == 2 and len(before.items() & after.items()) == 1
     try:
-        store.write_snapshot(spark.createDataFrame([], JOBS).union(store.read_table(spark, root, "jobs").withColumn("title", F.lit(None).cast("string"))), root, "jobs")
+        store.write_table(spark.createDataFrame([], JOBS).union(store.read_table(spark, root, "jobs").withColumn("title", F.lit(None).cast("string"))), root, "jobs")
         raise AssertionError
     except ValueError:
         pass
