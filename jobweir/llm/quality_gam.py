@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import small_batches, whole
+from .common import fresh, small_batches, whole
 
 MAX_ROWS = 20_000
 
@@ -245,8 +245,11 @@ def train(
 ) -> Model:
     """A model of label_col from the labelled documents that are not held out.
 
-    Labels that are null, or whose id has no document, are ignored; without any
-    label, every score is 0.5.
+    Defined cases: labels that are null, or whose id is null or has no document,
+    are ignored; a label or a document that repeats an id teaches once for each
+    pair of rows; a null text is an empty one; other columns are ignored; without
+    any label, or on empty tables, every score is 0.5. The chosen ids, max_rows
+    at most, are sent to every task, so that no other text is moved.
     """
     small_batches(docs.sparkSession)
     chosen = (
@@ -257,7 +260,7 @@ def train(
     )
     rows = (
         docs.select(F.col(id_col).alias("_doc"), whole(text_col).alias("text"))
-        .join(chosen, F.col("_doc") == F.col("_id"))
+        .join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
         .select("y", "text")
         .mapInArrow(_feature_rows, "y double, x array<double>")
         .collect()
@@ -270,14 +273,19 @@ def train(
 def scored(
     docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score"
 ) -> DataFrame:
-    """docs with score_col, 0 to 1, from the text alone; a null text is empty."""
+    """docs with score_col, 0 to 1, from the text alone.
+
+    Defined cases: a null text is scored as an empty one; every row is scored, so
+    rows that repeat an id or a text have equal scores for equal texts; an empty
+    table stays empty; a column called score_col is replaced, all others pass.
+    """
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))  # plain: workers lack this package
 
     @F.pandas_udf(DoubleType())
     def score(text: pd.Series) -> pd.Series:
         x = np.array([features(t) for t in text]).reshape(len(text), len(FEATURES))
-        return pd.Series(sent.value.score(x))
+        return pd.Series(Model(*sent.value).score(x))
 
     return docs.withColumn(score_col, score(whole(text_col)))
 
@@ -285,8 +293,7 @@ def scored(
 def keep_good(
     docs: DataFrame, model: Model, text_col: str = "text", at_least: float = 0.5
 ) -> DataFrame:
-    """The rows of docs whose text scores at_least or more, columns unchanged."""
-    name = "_score"
-    while name in docs.columns:
-        name += "_"
+    """The rows of docs whose text scores at_least or more, columns unchanged;
+    cases as in scored()."""
+    name = fresh(docs, "score")
     return scored(docs, model, text_col, name).where(F.col(name) >= at_least).drop(name)
