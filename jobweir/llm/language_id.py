@@ -27,19 +27,39 @@ from .quality_gam import held_out
 SAMPLE_CHARS = 20_000
 SAMPLE_DOCS = 100
 STRETCH = 512
-#: Letters with a symbol of their own; rarer ones share one.
+#: Letters whose transitions are dense tables; those of rarer letters are kept
+#: sparse, as (state, symbol) keys, so that alphabets of any size keep all letters.
 SYMBOLS = 62
+#: More than the symbols there can be.
+MANY = 1 << 21
 
 
 class Model(NamedTuple):
     languages: list[str]
     letters: str
-    """Symbol 0 is any other letter, 1 a blank, then these."""
+    """Symbol 0 is a letter that no sample holds, 1 a blank, then these."""
     next: np.ndarray
     """next[state + symbol] is the following state (a multiple of width), or -1.
     State 0 has no way out: after it, a phrase begins."""
     roots: np.ndarray
     width: int
+    keys: np.ndarray
+    """Sorted state * MANY + symbol of the transitions by symbols from width on,"""
+    to: np.ndarray
+    """and where they lead."""
+
+    def follow(self, state: np.ndarray, s: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """The states after symbols s (a column each), -1 without a transition;
+        rare: the places of symbols from width on."""
+        if not len(rare):
+            return self.next[state + s].astype(np.int64)
+        out = self.next[state + np.where(s < self.width, s, 0)].astype(np.int64)
+        if len(self.keys):
+            at_rare = np.broadcast_to(state, out.shape)[:, rare]
+            wanted = at_rare // self.width * MANY + s[rare]
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            out[:, rare] = np.where(self.keys[at] == wanted, self.to[at], -1)
+        return out
 
 
 def normalised(text: str) -> str:
@@ -47,8 +67,9 @@ def normalised(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions of the automaton of all substrings, -1 where there is none."""
+def suffix_automaton(symbols: list[int], width: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Transitions of the automaton of all substrings: a table for symbols below
+    width, -1 where there is none, and (state, symbol, next) for the others."""
     follow: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -74,11 +95,14 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.full((len(follow), width), -1, np.int32)
+    table, others = np.full((len(follow), width), -1, np.int32), []
     for s, row in enumerate(follow):
         for c, t in row.items():
-            table[s, c] = t
-    return table
+            if c < width:
+                table[s, c] = t
+            else:
+                others.append((s, c, t))
+    return table, others
 
 
 def build(samples: dict[str, str], symbols: int = SYMBOLS) -> Model:
@@ -89,7 +113,8 @@ def build(samples: dict[str, str], symbols: int = SYMBOLS) -> Model:
     """
     samples = {k: v for k, v in sorted(samples.items()) if v}
     if not samples:
-        return Model([], "", np.full(1, -1, np.int32), np.zeros(0, np.int64), 1)
+        none = np.zeros(0, np.int64)
+        return Model([], "", np.full(1, -1, np.int32), none, 1, none, none)
     sizes = sorted(map(len, samples.values()))
     size = min(n for n in sizes if n >= sizes[len(sizes) // 2] / 2)
     samples = {k: v[:size] for k, v in samples.items()}
@@ -98,17 +123,20 @@ def build(samples: dict[str, str], symbols: int = SYMBOLS) -> Model:
         for c in v:
             counts[c] = counts.get(c, 0) + 1
     counts.pop(" ", None)
-    letters = "".join(sorted(counts, key=lambda c: (-counts[c], c))[:symbols])
-    width = len(letters) + 2
+    letters = "".join(sorted(counts, key=lambda c: (-counts[c], c)))
+    width = min(len(letters), symbols) + 2
     code = {" ": 1} | {c: i + 2 for i, c in enumerate(letters)}
-    tables, roots, at = [np.full((1, width), -1, np.int32)], [], 1
+    tables, roots, at, sparse = [np.full((1, width), -1, np.int32)], [], 1, []
     for v in samples.values():
-        t = suffix_automaton([code.get(c, 0) for c in v], width)
+        t, others = suffix_automaton([code[c] for c in v], width)
+        sparse += [((s + at) * MANY + c, (n + at) * width) for s, c, n in others]
         t = np.where(t >= 0, (t + at) * width, -1).astype(np.int32)
         tables.append(t)
         roots.append(at * width)
         at += len(t)
-    return Model(list(samples), letters, np.concatenate(tables).ravel(), np.array(roots), width)
+    sparse.sort()
+    keys, to = (np.array([x[i] for x in sparse], np.int64) for i in (0, 1))
+    return Model(list(samples), letters, np.concatenate(tables).ravel(), np.array(roots), width, keys, to)
 
 
 def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +147,7 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if not n_lang or not size.sum():
         return count, size
     point = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    codes = np.zeros(int(point.max()) + 1, np.uint8)
+    codes = np.zeros(int(point.max()) + 1, np.int32 if len(model.letters) > 250 else np.uint8)
     for c, i in [(" ", 1), *((c, i + 2) for i, c in enumerate(model.letters))]:
         if ord(c) < len(codes):
             codes[ord(c)] = i
@@ -134,14 +162,16 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     state = np.zeros((n_lang, len(owner)), np.int64)
     found = np.zeros((n_lang, len(owner)), np.int64)
     root = model.roots[:, None]
+    any_rare, none = bool((symbols >= model.width).any()), np.zeros(0, np.int64)
     for step in range(int(length[0])):
         live = int(np.searchsorted(-length, -step, "left"))  # stretches longer than step
         s = symbols[start[:live] + step].astype(np.int64)
-        to = model.next[state[:, :live] + s].astype(np.int64)
+        rare = np.flatnonzero(s >= model.width) if any_rare else none
+        to = model.follow(state[:, :live], s, rare)
         ended = to < 0
         found[:, :live] += ended
         # a new phrase starts with this character; one that the sample lacks is a phrase
-        again = np.maximum(model.next[root + s].astype(np.int64), 0)
+        again = np.maximum(model.follow(root, s, rare), 0)
         state[:, :live] = np.where(ended, again, to)
     np.add.at(count, owner, found.T)
     return count, size
@@ -193,15 +223,18 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """STRUCT<lang_pred, score> of a text: the language that needs the fewest
     phrases for a character, and how many fewer than the next best, 0 to 1.
 
-    A null text, one without letters, and any text when nothing was learned
-    give ("und", 0).
+    Defined cases: a null text, one without letters, and any text when nothing
+    was learned give ("und", 0); of languages that need equally few phrases the
+    alphabetically first wins, with score 0; equal texts have equal results, so
+    rows may repeat; texts of any length are read whole; an empty table stays
+    empty; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))  # plain: workers lack this package
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
-        model = sent.value
+        model = Model(*sent.value)
         texts = [normalised(t) for t in text]
         count, size = phrases(model, texts)
         if not model.languages:
