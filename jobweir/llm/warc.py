@@ -16,6 +16,7 @@ them; what a lost task wrote is never looked at.
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 import zlib
 
@@ -30,6 +31,8 @@ from .token_file import open_store
 DATE = "2024-01-01T00:00:00Z"
 GAP = 64 << 10
 RANGE = 4 << 20
+#: Bytes of archives that one task reads.
+TASK = 16 << 20
 
 INDEX = (
     "page_id long, archive string, offset long, length long, url string, "
@@ -230,7 +233,13 @@ def _read(with_payload: bool):
 
 
 def read(index: DataFrame, with_payload: bool = False, gap: int = GAP) -> DataFrame:
-    """The records of a selection of index rows, read from the archives."""
+    """The records of a selection of index rows, read from the archives.
+
+    Ranges are dealt to tasks by their bytes, not by the size of the index. An
+    empty selection gives no rows; a row that repeats in it is read each time.
+    """
     columns = "page_id long, url string, " + "payload string, " * with_payload
     columns += "payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return ranges(index, gap).mapInArrow(_read(with_payload), columns)
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, math.ceil(total / TASK))
+    return ranges(index, gap).repartition(tasks, "archive", "lo").mapInArrow(_read(with_payload), columns)
