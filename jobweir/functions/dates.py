@@ -30,40 +30,54 @@ def _seconds(posted_at: Column) -> Column:
 
 def age_days(posted_at: Column, now_seconds: Column) -> Column:
     """Whole days since, 0 at least; from phrases too; null where unknown."""
-    phrase = _phrase(posted_at)
-    low = ascii_lower(phrase)
-    said = F.regexp_extract(phrase, r"^(\d+)\+? Days? Ago$", 1).try_cast("int")
-    return (
-        F.when(_seconds(posted_at).isNotNull(), _days(posted_at, now_seconds))
-        .when(low == "today", 0)
-        .when(low == "yesterday", 1)
-        .otherwise(said)
-    ).cast("int")
+
+    def days(p: Column) -> Column:
+        low = ascii_lower(p["phrase"])
+        said = F.regexp_extract(p["phrase"], r"^(\d+)\+? Days? Ago$", 1).try_cast("int")
+        return (
+            F.when(p["seconds"].isNotNull(), _days(p["seconds"], now_seconds))
+            .when(low == "today", 0)
+            .when(low == "yesterday", 1)
+            .otherwise(said)
+        ).cast("int")
+
+    return _once(_parsed(posted_at), days)
+
+
+def _days(seconds: Column, now_seconds: Column) -> Column:
+    return F.greatest(F.lit(0), F.floor((now_seconds - seconds) / 86400)).cast("bigint")
 
 
-def _days(posted_at: Column, now_seconds: Column) -> Column:
-    return F.greatest(F.lit(0), F.floor((now_seconds - _seconds(posted_at)) / 86400)).cast("bigint")
+def _once(value: Column, use) -> Column:
+    """use(value), with value worked out once for a row."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def _phrase(posted_at: Column) -> Column:
     return trimmed(F.regexp_replace(posted_at, r"^(Posted )+", ""))
 
 
+def _parsed(posted_at: Column) -> Column:
+    return F.struct(_seconds(posted_at).alias("seconds"), _phrase(posted_at).alias("phrase"))
+
+
 def age_text(posted_at: Column, now_seconds: Column) -> Column:
     """"12d", ">30d", or the phrase itself; "?" for null."""
-    phrase = _phrase(posted_at)
-    low = ascii_lower(phrase)
-    number = F.regexp_extract(phrase, r"^(\d+) Days? Ago$", 1)
-    more = F.regexp_extract(phrase, r"^(.*)\+ Days? Ago$", 1)
-    return (
-        F.when(posted_at.isNull(), "?")
-        .when(_seconds(posted_at).isNotNull(), F.concat(_days(posted_at, now_seconds).cast("string"), F.lit("d")))
-        .when(low == "today", "0d")
-        .when(low == "yesterday", "1d")
-        .when(phrase.rlike(r"\+ Days? Ago$"), F.concat(F.lit(">"), more, F.lit("d")))
-        .when(number != "", F.concat(number, F.lit("d")))
-        .otherwise(phrase)
-    )
+
+    def text(p: Column) -> Column:
+        low = ascii_lower(p["phrase"])
+        number = F.regexp_extract(p["phrase"], r"^(\d+) Days? Ago$", 1)
+        more = F.regexp_extract(p["phrase"], r"^(.*)\+ Days? Ago$", 1)
+        return (
+            F.when(p["seconds"].isNotNull(), F.concat(_days(p["seconds"], now_seconds).cast("string"), F.lit("d")))
+            .when(low == "today", "0d")
+            .when(low == "yesterday", "1d")
+            .when(p["phrase"].rlike(r"\+ Days? Ago$"), F.concat(F.lit(">"), more, F.lit("d")))
+            .when(number != "", F.concat(number, F.lit("d")))
+            .otherwise(p["phrase"])
+        )
+
+    return F.when(posted_at.isNull(), "?").otherwise(_once(_parsed(posted_at), text))
 
 
 def duration_text(ms: Column) -> Column:

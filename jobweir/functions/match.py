@@ -52,11 +52,14 @@ def prefix(start: str, columns=COLUMNS) -> Column:
 
 def phrase(words: list[str], columns=COLUMNS) -> Column:
     """The words in a row within one column."""
-    k, wanted = len(words), F.array(*[F.lit(w) for w in words])
+    k = len(words)
 
     def found(t: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(t) - (k - 1))
-        return F.when(F.size(t) >= k, F.exists(starts, lambda i: F.slice(t, i, k) == wanted)).otherwise(False)
+        def here(i: Column) -> Column:
+            return reduce(lambda x, y: x & y, [F.get(t, i + j) == w for j, w in enumerate(words)])
+
+        starts = F.sequence(F.lit(0), F.size(t) - k)
+        return F.when(F.size(t) >= k, F.exists(starts, here)).otherwise(False)
 
     return _any(columns, found)
 
@@ -64,14 +67,18 @@ def phrase(words: list[str], columns=COLUMNS) -> Column:
 def near(a: str, b: str, within: int, columns=COLUMNS) -> Column:
     """Both words in one column with at most ``within`` tokens between them."""
 
-    def places(t: Column, word: str) -> Column:
-        return F.filter(F.transform(t, lambda x, i: F.when(x == word, i)), lambda i: i.isNotNull())
-
     def found(t: Column) -> Column:
-        return F.exists(
-            places(t, a),
-            lambda i: F.exists(places(t, b), lambda j: (j != i) & (F.abs(j - i) - 1 <= within)),
+        # the closest two are neighbours among all places of the words
+        marked = F.transform(
+            t, lambda x, i: F.when(x.isin(a, b), F.struct(i.alias("at"), (x == a).alias("first")))
+        )
+        here = F.array_compact(marked)
+        pairs = F.zip_with(
+            F.slice(here, 1, F.greatest(F.size(here) - 1, F.lit(0))),
+            F.slice(here, 2, F.greatest(F.size(here) - 1, F.lit(0))),
+            lambda x, y: (F.lit(a == b) | (x["first"] != y["first"])) & (y["at"] - x["at"] - 1 <= within),
         )
+        return F.exists(pairs, lambda p: p)
 
     return _any(columns, found)
 
