@@ -82,7 +82,7 @@ FROM orders""",
     "v_url": f"SELECT o_orderkey AS id, {_url('o_orderkey')} AS url FROM orders",
     "v_text": """
 SELECT doc_id AS id, text AS description, source AS location, lang AS department,
-       substr(text, 1, 60) AS title FROM documents""",
+       split_part(text, chr(10), 1) AS title FROM documents""",
     "v_html": """
 SELECT page_id AS id, html, url,
        '<p>Acme ' || CAST(page_id AS STRING) || ' | SWE &amp;lt; Remote</p> <b>x</b>&nbsp;&amp; &quot;y&quot; &#39;z&#39; &apos;' || ' <!-- c --> <a href="https:&#x2F;&#x2F;boards.greenhouse.io&#x2F;acme&#x2F;jobs&#x2F;' || CAST(page_id AS STRING) || '">go</a>' AS bit

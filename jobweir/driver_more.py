@@ -42,8 +42,8 @@ query(
     )
 )
 VIEWS["v_title"] = """
-SELECT doc_id AS id, text, CASE doc_id % 5 WHEN 0 THEN substr(text, 1, 40) || ' at ' || source WHEN 1 THEN ' | ' || lang
-  WHEN 2 THEN source || ' at here at ' || lang || ' ' WHEN 3 THEN ' at ' || source ELSE substr(text, 1, 90) || ' | x' END AS title,
+SELECT doc_id AS id, text, CASE doc_id % 5 WHEN 0 THEN split_part(text, chr(10), 1) || ' at ' || source WHEN 1 THEN ' | ' || lang
+  WHEN 2 THEN source || ' at here at ' || lang || ' ' WHEN 3 THEN ' at ' || source ELSE split_part(text, chr(10), 1) || ' | x' END AS title,
   'Acme ' || source || ' | SWE &amp; more<p>' || text AS comment, CASE WHEN doc_id % 3 = 0 THEN '  ' WHEN doc_id % 3 = 1 THEN ' ' || source || ' ' END AS maybe
 FROM documents"""
 query(

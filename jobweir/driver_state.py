@@ -205,7 +205,7 @@ SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN 'company:lever/s' || CAST(c_custk
   WHEN 2 THEN 'company:none' || CAST(c_custkey % 5 AS STRING) ELSE 'company:workday/t/wd5/S' END AS selector FROM customer"""
 VIEWS["v_cos"] = """
 SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'lever' WHEN 1 THEN 'greenhouse' ELSE 'workday' END AS ats_kind,
-  CASE WHEN c_custkey = 2 THEN 't/wd5/S' ELSE 's' || CAST(c_custkey % 60 AS STRING) END AS ats_slug FROM customer WHERE c_custkey <= 120"""
+  CASE WHEN c_custkey = 2 THEN 't/wd5/S' ELSE 's' || CAST(c_custkey % 60 AS STRING) END AS ats_slug FROM customer"""
 query(
     "resolve_selector", ("v_sel", "v_cos"),
     """WITH p AS (SELECT selector, substr(selector, 9) AS r FROM v_sel), q AS (SELECT selector, CASE WHEN contains(r, '/') THEN split_part(r, '/', 1) END AS kind,
@@ -400,7 +400,7 @@ def _site(v: DataFrame) -> tuple[DataFrame, DataFrame]:
 )
 def crawl_listing(v):
     n = F.col("id").cast("string")
-    details = v.where("id < 3").select(
+    details = v.select(
         F.concat(F.lit("https://own.io/jobs/abcdef0123456789"), n).alias("url"),
         F.concat(F.lit('<title>x</title><h1>T</h1><a href="https://acme.example/careers?p='), n, F.lit('">go</a>')).alias("html"),
     )

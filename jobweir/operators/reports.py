@@ -93,7 +93,7 @@ def batch_outcome(runs: DataFrame, stop_at_first: bool) -> DataFrame:
 
 
 def source_health(runs: DataFrame) -> DataFrame:
-    """By source: runs, share that went well, the last state, mean items."""
+    """By source: runs, how many went well, the last state, items seen and new."""
     return runs.groupBy("source").agg(
         F.count(F.lit(1)).alias("runs"),
         F.count_if(F.col("ok")).alias("ok_runs"),
