@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet before the next stage reads it. All but the last return the columns
 of documents.
+
+Defined cases, in every stage: a null text is an empty one (line dedup writes it
+as such); rows without an id stay until their text is rejected or holds a
+benchmark item, and are never near-duplicates; of rows that repeat an id each is
+judged by its own text, and of those that repeat id and text near-dedup keeps
+one; other columns are dropped before the first stage; on an empty table every
+stage gives no rows.
 """
 
 from __future__ import annotations

@@ -60,5 +60,29 @@ def test_stages(spark, tmp_path):
 
 def test_stage_on_no_documents(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").limit(0).select(*cp.COLUMNS)
-    for name, stage in cp.STAGES[1:]:
+    for name, stage in cp.STAGES:
         assert stage(spark, none, SF).collect() == [], name
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows without an id, rows that repeat one, null and very long texts."""
+    real = spark.read.parquet(f"{SF}/documents.parquet").select(*cp.COLUMNS).where("n_chars > 400").orderBy("doc_id").limit(6).collect()
+    texts = [r.text for r in real]
+    rows = [
+        (1, texts[0]), (1, texts[0]), (1, texts[1]), (2, texts[0]), (None, texts[2]), (None, texts[2]), (3, None), (4, ""),
+        (5, " ".join(texts) * 30), (6, texts[3]),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, SF).collect()
+        ids = [r.doc_id for r in out]
+        if name == "near_dedup":
+            assert sorted(((r.doc_id, r.text) for r in out), key=repr) == sorted(
+                [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[2]), (3, None), (5, rows[8][1]), (6, texts[3])], key=repr
+            )
+        elif name == "line_dedup":
+            assert sorted(map(repr, ids)) == sorted(repr(i) for i, _ in rows) and all(r.text is not None for r in out)
+        elif name == "packing":
+            assert Counter(ids).keys() == {1, 2, 3, 4, 5, 6, None} and sum(i == 1 for i in ids) >= 3
+        else:
+            assert set(ids) <= {i for i, _ in rows}
