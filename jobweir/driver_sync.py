@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .driver import NOW, VIEWS, query
 from .functions import match, text as t
 from .operators import listing, merge, reports
-from .plans import sync
+from .plans import pipelines, sync
 
 # --- syncs --------------------------------------------------------------------
 # Every customer is a company; even ones publish one list, odd ones pages. A
@@ -97,10 +97,7 @@ SELECT DISTINCT n.ats_kind, n.ats_slug, g.code FROM n JOIN g ON n.ats_kind = g.k
 
 
 def _imported(lines, landed, old):
-    none = landed.sparkSession.createDataFrame([], "id bigint, ats_kind string, external_id string, title string, location string, "
-        "department string, apply_url string, description string, remote boolean, posted_at string, raw_json string, company_id bigint, "
-        "first_seen timestamp_ntz, last_seen timestamp_ntz, closed_at timestamp_ntz, status string")
-    return sync.import_then_sync(lines, _ntz(landed), _ntz(old), none, _at())
+    return sync.import_then_sync(lines, _ntz(landed), _ntz(old), _none(landed), _at())
 
 
 query(
@@ -125,6 +122,40 @@ SELECT u AS source_url, 'import:manual' AS discovered_via, regexp_extract(u, '/(
     ).select("source_url", "discovered_via", "ats_slug")
 )
 
+# --- crawls to state ------------------------------------------------------------
+
+
+def _none(v: DataFrame) -> DataFrame:
+    return v.sparkSession.createDataFrame([], "id bigint, ats_kind string, external_id string, title string, location string, "
+        "department string, apply_url string, description string, remote boolean, posted_at string, raw_json string, company_id bigint, "
+        "first_seen timestamp_ntz, last_seen timestamp_ntz, closed_at timestamp_ntz, status string")
+
+
+def _crawled(feed: DataFrame, old: DataFrame) -> sync.Crawled:
+    batch = pipelines.thread(feed.select("source", F.col("thread").alias("body")))
+    return sync.merge_crawl(batch, _ntz(old.where("ats_kind = 'lever'")), _none(feed), "crawl:thread", _at())
+
+
+_THREAD = "'https://boards.greenhouse.io/acme/jobs/' || CAST(k AS STRING)"
+query(
+    "crawl_to_jobs", ("v_feed", "v_old"),
+    f"""SELECT 'greenhouse' AS ats_kind, CAST(k AS STRING) AS external_id, 'Acme ' || CAST(k AS STRING) || ' | SWE | Remote | link' AS title, {_THREAD} AS apply_url,
+  (SELECT max(id) FROM v_old WHERE ats_kind = 'lever') + 1 AS company_id, 'new' AS status, 'new' AS change FROM (SELECT DISTINCT k FROM v_feed)""",
+)(lambda v, old: _crawled(v, old).jobs.select("ats_kind", "external_id", "title", "apply_url", "company_id", "status", "change"))
+query(
+    "crawl_to_companies", ("v_feed", "v_old"),
+    """SELECT ats_kind, ats_slug, name, NULL AS change FROM v_old WHERE ats_kind = 'lever' UNION ALL
+SELECT 'greenhouse', 'acme', arg_max('Acme ' || CAST(k AS STRING), source), 'new' FROM v_feed""",
+)(lambda v, old: _crawled(v, old).companies.select("ats_kind", "ats_slug", "name", "change"))
+query(
+    "crawl_to_log", ("v_feed", "v_old"),
+    f"""SELECT {_THREAD} AS source_url, 'crawl:thread' AS discovered_via, (SELECT max(id) FROM v_old WHERE ats_kind = 'lever') + 1 AS company_id FROM v_feed""",
+)(lambda v, old: _crawled(v, old).discoveries.select("source_url", "discovered_via", "company_id"))
+query(
+    "crawl_to_run", ("v_feed", "v_old"),
+    "SELECT 'crawl:thread' AS source, TRUE AS ok, count(*) AS items_seen, count(DISTINCT k) AS items_new FROM v_feed",
+)(lambda v, old: _crawled(v, old).run.select("source", "ok", "items_seen", "items_new"))
+
 # --- listings -------------------------------------------------------------------
 VIEWS["v_mix"] = """
 SELECT o_orderkey AS id, o_custkey AS company_id, 'Rust dev ' || o_orderpriority AS title, CASE o_orderkey % 3 WHEN 0 THEN 'Zürich' ELSE 'Berlin' END AS location,

@@ -42,6 +42,13 @@ class Imported(NamedTuple):
     sync_report: DataFrame
 
 
+class Crawled(NamedTuple):
+    companies: DataFrame
+    discoveries: DataFrame
+    jobs: DataFrame
+    run: DataFrame
+
+
 def page_total(field: str) -> Column:
     """The total that a page's body states; null if it states none."""
     return F.from_json("body", f"{field} bigint")[field]
@@ -94,6 +101,32 @@ def sync(landed: DataFrame, companies: DataFrame, jobs: DataFrame, now: Column)
     return Synced(swept.drop("was_open"), report)
 
 
+def _companies(companies: DataFrame, named: DataFrame, seq: Column, now: Column) -> DataFrame:
+    """companies with a batch merged in, new ones numbered on, and change."""
+    merged = merge.upsert_companies(companies, named, seq, now)
+    last = companies.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    block = F.pmod(F.xxhash64("ats_kind", "ats_slug"), F.lit(64))
+    fresh = merge.assign_ids(merged.where("change = 'new'").drop("id"), last, ["ats_kind", "ats_slug"], block)
+    return merged.where("change is null or change <> 'new'").unionByName(fresh)
+
+
+def merge_crawl(batch: DataFrame, companies: DataFrame, jobs: DataFrame, via: str, now: Column) -> Crawled:
+    """Merge the batch of a crawl (plans.pipelines): its companies, a log row for
+    each posting, its jobs, and the row of the run. companies and jobs come back
+    with change. A crawl sees no company's whole list, so it closes nothing."""
+    seq = F.struct("source", "pos")
+    state = _companies(companies, batch, seq, now)
+    ids = state.select(F.col("id").alias("company_id"), "ats_kind", "ats_slug")
+    rows = batch.join(ids, ["ats_kind", "ats_slug"])
+    merged = merge.upsert_jobs(jobs, rows, seq, now)
+    each = batch.select(F.lit(1).alias("seen"), F.lit(0).alias("new")).unionByName(
+        merged.select(F.lit(0).alias("seen"), F.coalesce(F.col("change") == "new", F.lit(False)).cast("int").alias("new"))
+    )
+    counted = each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("seen", "new")])
+    run = merge.run_row(counted, F.lit(via), now, now, F.lit(True), F.col("seen"), F.col("new"))
+    return Crawled(state, merge.discoveries(batch, state, F.lit(via), now), merged, run)
+
+
 def import_then_sync(
     lines: DataFrame, landed: DataFrame, companies: DataFrame, jobs: DataFrame, now: Column, via: str = "import:manual"
 ) -> Imported:
@@ -104,11 +137,8 @@ def import_then_sync(
         F.col("ref.kind").alias("ats_kind"), F.col("ref.slug").alias("ats_slug"),
         F.lit(None).cast("string").alias("name_hint"), F.col("url").alias("source_url"),
     )
-    merged = merge.upsert_companies(companies, named, F.col("source_url"), now)
-    last = companies.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    block = F.pmod(F.xxhash64("ats_kind", "ats_slug"), F.lit(64))
-    fresh = merge.assign_ids(merged.where("change = 'new'").drop("id"), last, ["ats_kind", "ats_slug"], block)
-    state = merged.where("change is null or change <> 'new'").unionByName(fresh)
+    state = _companies(companies, named, F.col("source_url"), now)
+    fresh = state.where("change = 'new'")
     own = landed.join(
         fresh.select(F.col("ats_kind").alias("kind"), F.col("ats_slug").alias("slug")), ["kind", "slug"], "left_semi"
     )
