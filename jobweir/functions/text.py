@@ -175,13 +175,29 @@ def millis_text(ms: Column) -> Column:
     return F.concat(whole, fraction, F.lit("+00:00"))
 
 
+SITE = "site:"
+
+
+def _words(query: Column) -> Column:
+    return F.split(query, r"\s+")
+
+
 def site_includes(query: Column) -> Column:
     """Domains of site: tokens, without those of -site:."""
-    return F.regexp_extract_all(query, F.lit(r"(?:^|\s)site:([^\s]+)"), F.lit(1))
+    named = F.filter(_words(query), lambda w: w.startswith(SITE) & (F.char_length(w) > len(SITE)))
+    return F.transform(named, lambda w: F.substring(w, F.lit(len(SITE) + 1), F.char_length(w)))
 
 
 def without_sites(query: Column) -> Column:
-    return collapse(F.regexp_replace(query, r"-?site:[^\s]+", ""))
+    """The query without what site: and -site: stand for, up to the next blank."""
+
+    def kept(w: Column) -> Column:
+        before = F.substring_index(w, SITE, 1)
+        before = F.when(before.endswith("-"), F.left(before, F.char_length(before) - 1)).otherwise(before)
+        has_domain = F.instr(w, SITE).between(1, F.char_length(w) - len(SITE))
+        return F.when(has_domain, before).otherwise(w)
+
+    return collapse(F.array_join(F.transform(_words(query), kept), " "))
 
 
 def keyword_or_default(query: Column) -> Column:
