@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: workers hold a few batches at a time, so this and the longest text bound them.
 ARROW = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": 1000,
-    "spark.sql.execution.arrow.maxBytesPerBatch": 32 << 20,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20,
 }
 
 

@@ -17,11 +17,11 @@ from array import array
 from itertools import chain
 
 #: Bytes of pieces and ids that a worker keeps, with what Python adds to each.
-CACHE_BYTES, OVERHEAD = 96 << 20, 150
+CACHE_BYTES, OVERHEAD = 64 << 20, 150
 #: Longer pieces are not kept.
 LONG = 64
 #: Characters of text that are looked up together.
-CHARS = 4 << 20
+CHARS = 1 << 20
 
 
 class Encoder:
