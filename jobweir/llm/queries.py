@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
 from . import (
+    ball_search,
     decontaminate,
     fingerprint,
     language_id,
@@ -252,6 +253,37 @@ GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
 """
 
 
+def op13_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ball_search.ranked(_table(spark, sf_dir, "benchmark"), docs)
+
+
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), size AS (SELECT count(*) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d WHERE len(ws) > 0
+), i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), it AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL
+), tf AS (
+  SELECT doc_id, n, term, count(*) AS tf
+  FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) SEMI JOIN it USING (term) GROUP BY ALL
+), w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, size GROUP BY term
+), s AS (
+  SELECT item_id, doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM it JOIN tf USING (term) JOIN w USING (term), size GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+""".replace("\\\\", "\\")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_gam": op2_quality_gam,
@@ -263,6 +295,7 @@ QUERIES = {
     "op8_fingerprint": op8_fingerprint,
     "op9_token_file": op9_token_file,
     "op10_decontaminate": op10_decontaminate,
+    "op13_ball_search": op13_ball_search,
 }
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
@@ -270,4 +303,5 @@ ORACLES = {
     "op7_secret_scan": _op7_sql(),
     "op8_fingerprint": OP8_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op13_ball_search": OP13_SQL,
 }
