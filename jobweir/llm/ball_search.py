@@ -5,11 +5,12 @@ weight of each of its terms, times its repeats, and the document's side the
 saturated term counts, both as whole numbers. Documents are projected onto the
 items' terms as their texts are read; all that follows works on these short
 vectors. Each task builds trees over its documents: a node halves its documents
-along the line between two that lie far apart, and keeps their centroid and
-radius. An item's products with a node's documents are at most its product with
-the centroid plus its length times the radius, so subtrees are visited best
-bound first and left when the bound is under the score that an item's k-th
-document already has. Bounds are doubles, widened by far more than their
+along the line between two that lie far apart, and keeps their centroid, their radius and, for every term, how far they reach beyond the
+centroid along its axis. An item's products with a node's documents are at most
+its product with the centroid plus its length times the radius, and plus its
+product with the reaches, which is the closer bound where documents are unlike
+each other. Subtrees are visited best bound first and left when the bound is
+under the score that an item's k-th document already has. Bounds are doubles, widened by far more than their
 rounding errors; leaves are scored in 64-bit integers, so results are exact.
 
 Items are searched in blocks of bounded size. Before all documents are searched,
@@ -36,9 +37,9 @@ from .common import small_batches, whole, written
 #: tasks is bounded by them.
 ITEMS, ITEM_BYTES = 2000, 1 << 20
 #: Terms of documents in a tree, at most, and documents in a leaf.
-TREE_TERMS, LEAF = 2_000_000, 48
+TREE_TERMS, LEAF = 500_000, 16
 #: Numbers in a tree's centroids, at most: leaves grow with the items' terms.
-CENTROIDS = 1 << 24
+CENTROIDS = 1 << 23
 #: One in so many documents gives the scores that the search begins from.
 SEED = 32
 #: Added to bounds, as a share: doubles err by less than 1e-12 here.
@@ -85,13 +86,14 @@ class Tree(NamedTuple):
     children: list[tuple[int, int] | None]
     centroids: np.ndarray
     radii: np.ndarray
+    tops: np.ndarray  # centroids plus reaches
 
 
 def build(docs: Docs, scale: np.ndarray, leaf: int = LEAF) -> Tree:
     """A ball tree over docs, whose columns count scale times as much."""
     n_terms = len(scale)
     order = np.arange(len(docs.ids))
-    first, last, children, centroids, radii = [0], [len(order)], [None], [], []
+    first, last, children, centroids, radii, tops = [0], [len(order)], [None], [], [], []
     at = 0
     while at < len(first):
         a, b = first[at], last[at]
@@ -104,6 +106,9 @@ def build(docs: Docs, scale: np.ndarray, leaf: int = LEAF) -> Tree:
         # squares may cancel: the radius is widened by their rounding error
         radii.append(math.sqrt(max(float((apart + SLACK * SLACK * 1e3 * (squares + here)).max()), 0.0)))
         centroids.append(center)
+        reach = np.zeros(n_terms)
+        np.maximum.at(reach, part.at, y - center[part.at])
+        tops.append(center + reach)
         if b - a > leaf and radii[-1] > 0:
             one = int(apart.argmax())
 
@@ -121,7 +126,7 @@ def build(docs: Docs, scale: np.ndarray, leaf: int = LEAF) -> Tree:
             last += [a + half, b]
             children += [None, None]
         at += 1
-    return Tree(docs.taken(order), first, last, children, np.array(centroids), np.array(radii))
+    return Tree(docs.taken(order), first, last, children, np.array(centroids), np.array(radii), np.array(tops))
 
 
 class Found:
@@ -146,7 +151,8 @@ def search(tree: Tree, query: np.ndarray, used: np.ndarray, scale: np.ndarray, f
     in used are not 0); how many leaves were scored."""
     scaled = query[used] / scale[used]
     length = math.sqrt(float(scaled @ scaled))
-    bounds = (tree.centroids[:, used] @ scaled + length * tree.radii) * (1 + SLACK) + 1
+    balls = tree.centroids[:, used] @ scaled + length * tree.radii
+    bounds = np.minimum(balls, tree.tops[:, used] @ scaled) * (1 + SLACK) + 1
     queue, scored = [(-bounds[0], 0)], 0
     docs = tree.docs
     while queue:
