@@ -8,6 +8,7 @@ import public_tokenizers
 
 from . import (
     ball_search,
+    collocations,
     decontaminate,
     fingerprint,
     language_id,
@@ -253,6 +254,44 @@ GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP11_SQL = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM w, range(1, 6) r(k) WHERE len(ws) >= k
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL
+), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE f >= 100 AND k >= 2
+), parts AS (
+  SELECT lang, a, unnest(list_transform(range(1, k - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase
+  FROM c, range(2, 5) r(size) WHERE size < k
+), kept AS (
+  SELECT c.* FROM c LEFT JOIN (SELECT lang, phrase, max(a) AS longer FROM parts GROUP BY ALL) USING (lang, phrase)
+  WHERE longer IS NULL OR 100 * longer < 100 * a
+), cuts AS (
+  SELECT lang, phrase, a, cut, array_to_string(ws[1:cut], ' ') AS x, array_to_string(ws[cut + 1:], ' ') AS y
+  FROM kept, range(1, 5) r(cut) WHERE cut < k
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, cut, x.f AS l, y.f AS r, n,
+         ((1000 * a)::HUGEINT * n // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = cuts.x JOIN f y ON y.lang = cuts.lang AND y.phrase = cuts.y
+  JOIN totals ON totals.lang = cuts.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
+
 def op13_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return ball_search.ranked(_table(spark, sf_dir, "benchmark"), docs)
@@ -295,6 +334,7 @@ QUERIES = {
     "op8_fingerprint": op8_fingerprint,
     "op9_token_file": op9_token_file,
     "op10_decontaminate": op10_decontaminate,
+    "op11_collocations": op11_collocations,
     "op13_ball_search": op13_ball_search,
 }
 ORACLES = {
@@ -303,5 +343,6 @@ ORACLES = {
     "op7_secret_scan": _op7_sql(),
     "op8_fingerprint": OP8_SQL,
     "op10_decontaminate": OP10_SQL,
+    "op11_collocations": OP11_SQL,
     "op13_ball_search": OP13_SQL,
 }
