@@ -99,8 +99,8 @@ class Words:
         """Hashes of n words from each word on; the last n - 1 mean nothing."""
         word = self.hashes[which]
         h = word.copy()
-        for k in range(1, n):
-            h[: len(h) - k] = h[: len(h) - k] * _TIMES[which] + word[k:]
+        for k in range(1, min(n, len(h))):
+            h[:-k] = h[:-k] * _TIMES[which] + word[k:]
         return h
 
     def slices(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
@@ -206,7 +206,7 @@ def _counted(chunks: DataFrame, n: int, known: tuple[bytes, int] | None) -> Data
             langs = np.array([_lang_hash(x) for x in listed], np.uint64)[lang]
             index = np.arange(len(w.start))
             inside = index < (w.last - shared)[w.text]
-            for k in range(n - 1):
+            for k in range(min(n - 1, len(index))):  # the last word is never joined
                 inside[: len(inside) - k] &= w.joined[k:]
                 inside[len(inside) - k :] = False
             if bits is not None:

@@ -18,6 +18,7 @@ from . import (
     quality_gam,
     secrets,
     token_file,
+    toxicity,
     warc,
 )
 
@@ -292,6 +293,17 @@ FROM best QUALIFY rank <= 2000
 """
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id",
+        quality_gam.held_out("doc_id", 4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op13_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return ball_search.ranked(_table(spark, sf_dir, "benchmark"), docs)
@@ -335,6 +347,7 @@ QUERIES = {
     "op9_token_file": op9_token_file,
     "op10_decontaminate": op10_decontaminate,
     "op11_collocations": op11_collocations,
+    "op12_toxicity": op12_toxicity,
     "op13_ball_search": op13_ball_search,
 }
 ORACLES = {
