@@ -34,7 +34,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cut = re.compile(r"(?<=\S)(?= \S)")
         #: By piece, as _pieces gives it: the ids.
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str | bytes, bytes] = {}
         self.held = 0
 
     @classmethod
@@ -51,23 +51,25 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _pieces(self, text: str) -> list[str]:
+    def _pieces(self, text: str) -> list[str | bytes]:
         """A text's pieces. A blank before a piece is left out, and a line end
-        stands for itself; a piece that stands for no blank has a 0 before it."""
+        stands for itself; a piece that has no blank before it is UTF-8 bytes,
+        so that no character of a text can be taken for a mark."""
         n = text.count(" ") + text.count("\n")
         words = text.split()
         # as many words as separators and one, and nothing else between them
         if len(words) == n + 1 and len(text) - sum(map(len, words)) == n:
-            pieces = text.replace("\n", " \n").split(" ")
-            pieces[0] = "\0" + pieces[0]
+            pieces: list[str | bytes] = text.replace("\n", " \n").split(" ")
+            pieces[0] = pieces[0].encode()
             return pieces
-        return ["\0" + p for p in self.cut.split(text)]
+        return [p.encode() for p in self.cut.split(text)]
 
     @staticmethod
-    def _full(piece: str) -> str:
+    def _full(piece: str | bytes) -> str:
         """The stretch of text that a piece stands for."""
-        first = piece[:1]
-        return piece[1:] if first == "\0" else piece if first == "\n" else " " + piece
+        if isinstance(piece, bytes):
+            return piece.decode()
+        return piece if piece[:1] == "\n" else " " + piece
 
     def _chunk(self, texts: list[str]) -> list[bytes]:
         parts = [self._pieces(t) for t in texts]

@@ -13,7 +13,7 @@ from jobweir.llm import packing, token_file as tf
 from jobweir.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-PARTS = ["a", "B", " ", "\n", "  ", " \n", "\t", " ", "é", "'s", "!", "12", "<|endoftext|>", "\r\n", "。", "x" * 70, "\x1c"]
+PARTS = ["a", "B", " ", "\n", "  ", " \n", "\t", " ", "é", "'s", "!", "12", "<|endoftext|>", "\r\n", "。", "x" * 70, "\x1c", "\0", " \0abc"]
 CASES = [(1, "Hello world. " * 700), (2, None), (3, ""), (4, "a b"), (4, "a b"), (4, "other"), (None, "no id"), (9, "x\n" * 3000)]
 
 
