@@ -12,7 +12,8 @@ from .plans import pipelines, sync
 # --- syncs --------------------------------------------------------------------
 # Every customer is a company; even ones publish one list, odd ones pages. A
 # seventh of the lists is gone, an eleventh fails; the third page lies beyond the
-# total, and failing there does no harm.
+# total, and failing there does no harm. Some lists were fetched again: a later
+# answer replaces a failure, and the list that an earlier one held.
 
 _K = "CAST(c_custkey AS STRING)"
 _CODE = "CASE WHEN c_custkey % 7 = 0 THEN 404 WHEN c_custkey % 11 = 0 THEN 500 ELSE 200 END"
@@ -33,7 +34,10 @@ SELECT 'lever' AS kind, 's' || {_K} AS slug, TIMESTAMP '2029-12-31 00:00:00' AS
 FROM customer WHERE c_custkey % 2 = 0
 UNION ALL SELECT 'smartrecruiters', 's' || {_K}, TIMESTAMP '2029-12-31 00:00:00', {_CODE}, 0, {_page('a', 150)} FROM customer WHERE c_custkey % 2 = 1
 UNION ALL SELECT 'smartrecruiters', 's' || {_K}, TIMESTAMP '2029-12-31 00:00:00', 200, 100, {_page('b', 150)} FROM customer WHERE c_custkey % 2 = 1
-UNION ALL SELECT 'smartrecruiters', 's' || {_K}, TIMESTAMP '2029-12-31 00:00:00', 500, 200, {_page('c', 150)} FROM customer WHERE c_custkey % 2 = 1"""
+UNION ALL SELECT 'smartrecruiters', 's' || {_K}, TIMESTAMP '2029-12-31 00:00:00', 500, 200, {_page('c', 150)} FROM customer WHERE c_custkey % 2 = 1
+UNION ALL SELECT 'lever', 's' || {_K}, TIMESTAMP '2029-12-31 00:05:00', 200, 0, {_LEVER} FROM customer WHERE c_custkey % 22 = 0
+UNION ALL SELECT 'smartrecruiters', 's' || {_K}, TIMESTAMP '2029-12-31 00:05:00', 200, 0, {_page('a', 150)} FROM customer WHERE c_custkey % 66 = 33
+UNION ALL SELECT 'lever', 's' || {_K}, TIMESTAMP '2029-12-30 23:00:00', 200, 0, '[{{"id":"q' || {_K} || '","text":"Gone"}}]' FROM customer WHERE c_custkey % 26 = 0"""
 # a third of the companies has one known job that is still listed, closed for some, and one that is not
 VIEWS["v_posts"] = f"""
 SELECT c_custkey * 2 + n AS id, c_custkey AS company_id, CASE c_custkey % 2 WHEN 0 THEN 'lever' ELSE 'smartrecruiters' END AS ats_kind,
@@ -51,7 +55,8 @@ def _ntz(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.col(f.name).cast("timestamp_ntz") for f in df.schema.fields if f.dataType.typeName() == "timestamp"})
 
 
-_GOT = """g AS (SELECT *, http_status AS code FROM (SELECT slug, kind, http_status FROM v_lists WHERE page_offset = 0)),
+_LAST = "g AS (SELECT slug, kind, arg_max(http_status, fetched_at) AS code FROM v_lists WHERE page_offset = 0 GROUP BY slug, kind)"
+_GOT = _LAST + """,
 f AS (SELECT id AS company_id, ats_kind, ats_slug, substr(ats_slug, 2) AS k, code FROM v_firms JOIN g ON ats_kind = kind AND ats_slug = slug),
 e AS (SELECT company_id, ats_kind, p || k AS external_id, CASE p WHEN 'a' THEN 'Dev ' || k ELSE 'Ops' END AS title, CASE p WHEN 'b' THEN 'Berlin' END AS location,
   CASE WHEN p = 'a' AND ats_kind = 'lever' THEN 'Eng' END AS department, CASE WHEN p = 'a' AND ats_kind = 'lever' THEN 'New' END AS description,
@@ -80,6 +85,22 @@ query(
   (SELECT count(*) FROM r WHERE r.ats_kind = f.ats_kind AND swept) AS jobs_closed FROM f GROUP BY ats_kind""",
 )(lambda landed, firms, posts: sync.sync(_ntz(landed), firms, _ntz(posts), _at()).report)
 
+query(
+    "sync_ids", ("v_lists", "v_firms", "v_posts"),
+    _SYNC + """SELECT change, count(*) AS n, count(DISTINCT id) AS n_ids, min(id) AS least, max(id) AS greatest FROM (
+SELECT change, CASE WHEN change = 'new' THEN (SELECT max(id) FROM v_posts) + row_number() OVER (PARTITION BY change ORDER BY r.external_id) ELSE s.id END AS id
+FROM r LEFT JOIN v_posts s ON r.ats_kind = s.ats_kind AND r.external_id = s.external_id) GROUP BY change""",
+)(
+    lambda landed, firms, posts: sync.sync(_ntz(landed), firms, _ntz(posts), _at()).jobs.groupBy("change").agg(
+        F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.min("id").alias("least"), F.max("id").alias("greatest")
+    )
+)
+query(
+    "sync_runs", ("v_lists", "v_firms", "v_posts"),
+    _SYNC + """SELECT 'sync:' || ats_kind AS source, TRUE AS ok, 2 * count(*) FILTER (WHERE code = 200) AS items_seen,
+  (SELECT count(*) FROM r WHERE r.ats_kind = f.ats_kind AND change = 'new') AS items_new FROM f GROUP BY ats_kind""",
+)(lambda landed, firms, posts: sync.sync(_ntz(landed), firms, _ntz(posts), _at()).runs.select("source", "ok", "items_seen", "items_new"))
+
 # --- imports --------------------------------------------------------------------
 # One line a customer, comments and unknown hosts between them; a fifth of the
 # companies is known.
@@ -102,13 +123,13 @@ def _imported(lines, landed, old):
 
 query(
     "import_then_sync", ("v_lines", "v_lists", "v_old"),
-    f"""WITH g AS (SELECT slug, kind, http_status AS code FROM v_lists WHERE page_offset = 0), {_FRESH}
+    f"""WITH {_LAST}, {_FRESH}
 SELECT ats_kind, p || substr(ats_slug, 2) AS external_id, CASE p WHEN 'a' THEN 'Dev ' || substr(ats_slug, 2) ELSE 'Ops' END AS title, 'new' AS change
 FROM c, (VALUES ('a'), ('b')) x(p) WHERE code = 200""",
 )(lambda lines, landed, old: _imported(lines, landed, old).jobs.select("ats_kind", "external_id", "title", "change"))
 query(
     "import_companies", ("v_lines", "v_lists", "v_old"),
-    f"""WITH g AS (SELECT slug, kind, http_status AS code FROM v_lists WHERE page_offset = 0), {_FRESH}
+    f"""WITH {_LAST}, {_FRESH}
 SELECT ats_kind, ats_slug, ats_slug AS name, 'new' AS change FROM c UNION ALL
 SELECT o.ats_kind, o.ats_slug, name, CASE WHEN n.ats_slug IS NOT NULL THEN 'known' END FROM v_old o LEFT JOIN n ON o.ats_kind = n.ats_kind AND o.ats_slug = n.ats_slug""",
 )(lambda lines, landed, old: _imported(lines, landed, old).companies.select("ats_kind", "ats_slug", "name", "change"))
@@ -122,6 +143,12 @@ SELECT u AS source_url, 'import:manual' AS discovered_via, regexp_extract(u, '/(
     ).select("source_url", "discovered_via", "ats_slug")
 )
 
+query(
+    "import_to_run", ("v_lines", "v_lists", "v_old"),
+    f"""WITH {_LAST}, {_FRESH} SELECT 'import:manual' AS source, TRUE AS ok, (SELECT count(*) FROM n) AS items_seen,
+  (SELECT count(*) FROM (SELECT DISTINCT ats_kind, ats_slug FROM n) x LEFT JOIN v_old o ON x.ats_kind = o.ats_kind AND x.ats_slug = o.ats_slug WHERE o.id IS NULL) AS items_new""",
+)(lambda lines, landed, old: _imported(lines, landed, old).run.select("source", "ok", "items_seen", "items_new"))
+
 # --- crawls to state ------------------------------------------------------------
 
 

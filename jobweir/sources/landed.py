@@ -72,24 +72,37 @@ def _marked(landed, total, n_entries, limit, total_from, run) -> DataFrame:
     )
 
 
+def listed() -> Column:
+    """The list in body, as each row's kind has it: an array of JSON texts."""
+    paths = sorted({path for path, _ in ENTRIES.values() if path})
+    inner = F.from_json("body", ", ".join(f"{p} array<string>" for p in paths))
+    out = F
+    for kind, (path, _) in ENTRIES.items():
+        out = out.when(F.col("kind") == kind, F.from_json("body", "array<string>") if path is None else inner[path])
+    return out
+
+
+def entry_of(kind: str) -> Column:
+    """entry by the schema of a kind; its field _corrupt is not null if it does not fit."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    return F.from_json("entry", ENTRIES[kind][1] + ", _corrupt string", options)
+
+
 def entries(landed: DataFrame, kind: str) -> DataFrame:
     """(slug, fetched_at, page_offset, pos, e, raw_json): each entry of the list
     in a body, typed, with its JSON text; entries that do not fit the schema are
     dropped. A body without the list counts as empty."""
-    path, schema = ENTRIES[kind]
-    listed = (
+    path = ENTRIES[kind][0]
+    found = (
         F.from_json("body", "array<string>")
         if path is None
         else F.from_json("body", f"{path} array<string>")[path]
     )
     rows = landed.where(F.col("kind") == kind).select(
-        "slug", "fetched_at", "page_offset", F.posexplode(listed).alias("pos", "entry")
-    )
-    typed = F.from_json(
-        "entry", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+        "slug", "fetched_at", "page_offset", F.posexplode(found).alias("pos", "entry")
     )
     return (
-        rows.withColumn("e", typed)
+        rows.withColumn("e", entry_of(kind))
         .where(F.col("e._corrupt").isNull())
         .withColumn("raw_json", F.to_json(F.try_parse_json("entry")))
         .drop("entry")

@@ -116,3 +116,56 @@ def test_repeated_marks_and_companies_keep_one_row_a_job(spark):
     synced = spark.createDataFrame([(5, "lever", 3), (5, "lever", 4)], "company_id int, ats_kind string, started_at int")
     got = sorted(tuple(r) for r in merge.sweep(jobs, synced, F.lit(7)).select("id", "closed_at").collect())
     assert got == [(1, 7), (2, None)]
+
+
+LANDED = "kind string, slug string, fetched_at int, http_status int, page_offset int, body string"
+
+
+def a_list(*ids):
+    return "[" + ",".join(f'{{"id":"{i}","text":"T {i}"}}' for i in ids) + "]"
+
+
+def a_page(total, *ids):
+    return f'{{"totalFound":{total},"content":[' + ",".join(f'{{"id":"{i}","name":"N"}}' for i in ids) + "]}"
+
+
+def test_syncs_merge_no_failed_company_and_heed_retries(spark):
+    landed = [
+        ("lever", "mended", 1, 500, 0, None), ("lever", "mended", 6, 200, 0, a_list("m")),
+        ("lever", "broken", 1, 200, 0, a_list("x")), ("lever", "broken", 6, 500, 0, None),
+        ("lever", "twice", 1, 200, 0, a_list("t", "gone")), ("lever", "twice", 6, 200, None, a_list("t")),
+        ("lever", "empty", 1, 200, 0, "[]"), ("lever", "stranger", 1, 200, 0, a_list("s")), ("lever", "lost", 1, 404, 0, None),
+        ("smartrecruiters", "paged", 1, 200, 0, a_page(150, "p")), ("smartrecruiters", "paged", 1, 500, 100, None),
+        ("smartrecruiters", "paged", 2, 200, 100, a_page(150, "q")), ("smartrecruiters", "paged", 1, 500, 200, None),
+        ("smartrecruiters", "half", 1, 200, 0, a_page(150, "h")), ("smartrecruiters", "half", 1, 500, 100, None),
+    ]
+    slugs = sorted({r[1] for r in landed} - {"stranger"})
+    kinds = {r[1]: r[0] for r in landed}
+    firms = spark.createDataFrame([(i, kinds[s], s) for i, s in enumerate(slugs)], "id long, ats_kind string, ats_slug string")
+    old = [(7 + i, i, kinds[s], f"old-{s}", "T", 0, None, "applied") for i, s in enumerate(slugs)]
+    old[0] = old[0][:3] + ("m",) + old[0][4:]  # a known job of another company under the same id
+    jobs = spark.createDataFrame(old, "id long, company_id long, ats_kind string, external_id string, title string, last_seen int, closed_at int, status string")
+    for c in ("location", "department", "apply_url", "description", "posted_at", "raw_json"):
+        jobs = jobs.withColumn(c, F.lit(None).cast("string"))
+    jobs = jobs.withColumns({"remote": F.lit(None).cast("boolean"), "first_seen": F.lit(0)})
+    from jobweir.plans import sync
+
+    got = sync.sync(spark.createDataFrame(landed, LANDED), firms, jobs, F.lit(9))
+    rows = {r.external_id: r for r in got.jobs.collect()}
+    assert len(rows) == len(old) + 3 and {k for k, r in rows.items() if r.change == "new"} == {"t", "p", "q"}
+    assert sorted(r.id for r in rows.values()) == list(range(7, 7 + len(rows)))
+    closed = {k for k, r in rows.items() if r.closed_at}
+    assert closed == {f"old-{s}" for s in ("mended", "twice", "empty", "paged")} - {f"old-{slugs[0]}"}
+    report = {r.kind: r for r in got.report.collect()}
+    assert (report["lever"].companies_synced, report["lever"].companies_404, report["lever"].jobs_seen) == (3, 1, 2)
+    assert (report["smartrecruiters"].companies_synced, report["smartrecruiters"].jobs_new) == (1, 2)
+    assert {r.source: r.items_new for r in got.runs.collect()} == {"sync:lever": 1, "sync:smartrecruiters": 2}
+
+
+def test_numbers_have_no_gaps(spark):
+    from jobweir.operators import merge as m
+
+    got = m.numbered(spark.range(1000).repartition(7).withColumnRenamed("id", "k"), 50)
+    rows = got.collect()
+    assert sorted(r.id for r in rows) == list(range(51, 1051)) and len({r.k for r in rows}) == 1000
+    assert rows == got.collect() and m.numbered(spark.range(0).withColumnRenamed("id", "k"), 5).collect() == []

@@ -40,7 +40,7 @@ def test_bad_entries_are_dropped(spark):
     body = '{"jobs":[{"id":7,"title":"A","absolute_url":"u","x":1},{"id":8,"title":null,"absolute_url":"u"},"s",{"id":9,"title":"B","absolute_url":"u","offices":5}]}'
     rows = [("greenhouse", "a", None, 200, 0, body), ("greenhouse", "b", None, 200, 0, "{}"), ("greenhouse", "c", None, 200, 0, None)]
     df = spark.createDataFrame(rows, "kind string, slug string, fetched_at timestamp, http_status int, page_offset int, body string")
-    got = adapters.greenhouse(df).collect()
+    got = adapters.NORMALISERS["greenhouse"](df).collect()
     assert [(r.external_id, r.remote, r.raw_json) for r in got] == [("7", False, '{"absolute_url":"u","id":7,"title":"A","x":1}')]
 
 
