@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .driver import NOW, VIEWS, query
 from .functions import match, text as t
-from .operators import listing, merge, reports
+from .operators import listing, merge, reports, textindex
 from .plans import pipelines, sync
 
 # --- syncs --------------------------------------------------------------------
@@ -197,14 +197,24 @@ query("list_jobs_combined", ("v_mix", "v_co"), f"SELECT j.id, c.name AS company,
     ).select("id", "company", "title", "location")
 )
 VIEWS["v_rank"] = """
-SELECT o_orderkey AS id, o_custkey AS company_id, CASE o_orderkey % 9 WHEN 0 THEN 'rust rust rust' WHEN 4 THEN 'rust rust' ELSE 'rust' END AS title, 'x' AS location,
-  'y' AS department, 'z z z z' AS description, 'u' AS apply_url, CAST(NULL AS BOOLEAN) AS remote, 'new' AS status, CAST(NULL AS STRING) AS posted_at,
-  CAST(NULL AS TIMESTAMP) AS closed_at, o_orderdate AS last_seen FROM orders"""
-query(
-    "list_jobs_by_rank", ("v_rank", "v_co"),
-    """SELECT j.id, title FROM v_rank j JOIN v_co c ON j.company_id = c.id ORDER BY CASE title WHEN 'rust rust rust' THEN 0 WHEN 'rust rust' THEN 1 ELSE 2 END, j.id LIMIT 300 OFFSET 25""",
-)(
-    lambda j, c: listing.list_jobs(match.with_tokens(j), c, F.lit(NOW), words=["rust"], limit=300, start=25).select("id", "title")
+SELECT o_orderkey AS id, o_custkey AS company_id, CASE o_orderkey % 9 WHEN 0 THEN 'rust rust rust' WHEN 4 THEN 'rust zig' WHEN 5 THEN 'zig' ELSE 'rust' END AS title, 'x' AS location,
+  'y' AS department, CASE WHEN o_orderkey % 4 = 0 THEN 'z z z z zig' ELSE 'z z z z' END AS description, 'u' AS apply_url, o_orderkey % 5 <> 0 AS remote, 'new' AS status, CAST(NULL AS STRING) AS posted_at,
+  CASE WHEN o_orderkey % 9 IN (5, 7) THEN o_orderdate END AS closed_at, o_orderdate AS last_seen FROM orders"""
+_SCORED = """, a AS (SELECT *, len(title) - len(replace(title, 'rust', 'rus')) AS tf0, CASE WHEN title LIKE '%zig%' THEN 1 ELSE 0 END + CASE WHEN description LIKE '%zig%' THEN 1 ELSE 0 END AS tf1,
+  len(string_split(title || ' x y ' || description, ' ')) AS len FROM v_rank),
+s AS (SELECT count(*) AS n, avg(len) AS mean, count(*) FILTER (WHERE tf0 > 0) AS df0, count(*) FILTER (WHERE tf1 > 0) AS df1 FROM a),
+k AS (SELECT a.*, -round(""" + " + ".join(
+    f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (1 - 0.75 + 0.75 * len / mean))" for i in (0, 1)
+) + """, 6) AS rank FROM a, s)
+SELECT k.id, title, rank FROM k JOIN v_co c ON k.company_id = c.id WHERE closed_at IS NULL AND remote ORDER BY rank, k.id"""
+query("list_jobs_by_rank", ("v_rank", "v_co"), "WITH " + _SCORED[2:])(
+    lambda j, c: listing.list_jobs(match.with_tokens(j), c, F.lit(NOW), remote=True, words=["rust", "zig"]).select("id", "title", F.round("rank", 6).alias("rank"))
+)
+query("list_jobs_by_rank_page", ("v_rank", "v_co"), "WITH " + _SCORED[2:] + " LIMIT 300 OFFSET 25")(
+    lambda j, c: (lambda t: listing.list_jobs(
+        t, c, F.lit(NOW), remote=True, words=["rust", "zig"], limit=300, start=25,
+        corpus=textindex.corpus(textindex.statistics(textindex.entries(j)), ["rust", "zig"]),
+    ))(match.with_tokens(j)).select("id", "title", F.round("rank", 6).alias("rank"))
 )
 query("list_companies_page", ("v_co",), "SELECT ats_kind, ats_slug, name, last_seen, id FROM v_co ORDER BY last_seen DESC, id LIMIT 40")(
     lambda c: listing.list_companies(c, 40)

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Accented Latin letters and what they fold to, one for one (fixed values).
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _latin() -> dict[str, str]:
+    """Latin letters of one mark by the letter without it: those that Unicode
+    decomposes into an ASCII letter and a single mark."""
+    found = {}
+    for c in map(chr, range(0xC0, 0x1F00)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) == 2 and parts[0].isascii() and parts[0].islower() and unicodedata.combining(parts[1]):
+            found[c] = parts[0]
+    return found
+
+
+#: Combining marks that stand by themselves; they are dropped.
+MARKS = "".join(map(chr, range(0x300, 0x332)))
+ACCENTED = "".join(_latin())
+FOLDED = "".join(_latin().values())
 TOKEN = r"[\p{L}\p{N}\p{Co}+#.]+"
 COLUMNS = ("title", "location", "department", "description")
 
@@ -16,9 +31,10 @@ COLUMNS = ("title", "location", "department", "description")
 def tokens(x: Column) -> Column:
     """Runs of letters, digits and + # . in lower case without Latin accents.
 
-    A full stop belongs to its word: "Rust." is the token "rust.".
+    A full stop belongs to its word: "Rust." is the token "rust.". Letters that
+    are no accented ones in Unicode (ł, ø) stay, and so do those of two marks.
     """
-    low = F.translate(F.lower(F.coalesce(x, F.lit(""))), ACCENTED, FOLDED)
+    low = F.translate(F.lower(F.coalesce(x, F.lit(""))), ACCENTED + MARKS, FOLDED)
     return F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
 
 
@@ -83,7 +99,39 @@ def near(a: str, b: str, within: int, columns=COLUMNS) -> Column:
     return _any(columns, found)
 
 
-def _equals(word: str):
+def near_all(phrases: list[list[str]], within: int, columns=COLUMNS) -> Column:
+    """All phrases (lists of words) in one column, with at most ``within`` tokens
+    from the end of each to the start of the last.
+
+    One pass over the places of the phrases, in order: of each phrase the latest
+    place counts, as an earlier one is only farther away.
+    """
+    firsts = sorted({p[0] for p in phrases})
+
+    def found(t: Column) -> Column:
+        def at(i: Column, k: int) -> Column:
+            here = reduce(lambda a, b: a & b, [F.get(t, i + j) == w for j, w in enumerate(phrases[k])])
+            return F.when(here, F.struct(i.alias("at"), F.lit(k).alias("k")))
+
+        starts = F.array_compact(F.transform(t, lambda x, i: F.when(x.isin(firsts), i)))
+        places = F.flatten(F.transform(starts, lambda i: F.array_compact(F.array(*[at(i, k) for k in range(len(phrases))]))))
+        none = F.array(*[F.lit(None).cast("int") for _ in phrases])
+
+        def step(state: Column, e: Column) -> Column:
+            last = F.transform(state["last"], lambda old, k: F.when(k == e["k"], e["at"]).otherwise(old))
+            close = reduce(
+                lambda a, b: a & b,
+                [F.coalesce(e["at"] - F.get(last, k) - len(p) <= within, F.lit(False)) for k, p in enumerate(phrases)],
+            )
+            return F.struct(last.alias("last"), (state["hit"] | close).alias("hit"))
+
+        first = F.struct(none.alias("last"), F.lit(False).alias("hit"))
+        return F.aggregate(places, first, step, lambda state: state["hit"])
+
+    return _any(columns, found)
+
+
+def equals(word: str):
     return lambda x: x == word
 
 
@@ -94,7 +142,7 @@ def bm25(df: DataFrame, words: list[str], columns=COLUMNS, k1: float = 1.2, b: f
     hold each word: a single row, which is broadcast.
     """
     all_ = F.flatten(F.array(*[F.col(f"{c}_tokens") for c in columns]))
-    tf = [F.size(F.filter("_all", _equals(w))) for w in words]
+    tf = [F.size(F.filter("_all", equals(w))) for w in words]
     rows = df.withColumn("_all", all_).withColumns(
         {"_len": F.size("_all"), **{f"_tf{i}": x for i, x in enumerate(tf)}}
     ).drop("_all")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.dates import age_text, tags_text
 from ..functions.match import bm25
 from ..functions.text import ascii_lower
+from . import textindex
 
 
 def open_jobs(jobs: DataFrame) -> DataFrame:
@@ -35,15 +36,20 @@ def list_jobs(
     show: str = "active",
     match: Column | None = None,
     words: list[str] | None = None,
+    corpus: textindex.Corpus | None = None,
     limit: int | None = None,
     start: int = 0,
 ) -> DataFrame:
     """Open jobs with their company, oldest posting first, unknown dates last.
 
     match is a predicate on token columns (functions.match); with words the
-    third key is their relevance instead of last_seen. Order: posted_at as
+    third key is their relevance instead of last_seen. Relevance is that within
+    all of jobs, closed and hidden ones included: of corpus, the statistics kept
+    for the words (textindex.corpus), or else counted here. Order: posted_at as
     text, then last_seen, the newest first, then id.
     """
+    if words:
+        jobs = bm25(jobs, words) if corpus is None else textindex.ranked(jobs, corpus, words)
     rows = by_status(open_jobs(jobs), show)
     if remote:
         rows = rows.where("remote")
@@ -51,7 +57,6 @@ def list_jobs(
     if match is not None:
         rows = rows.where(match)
     if words:
-        rows = bm25(rows, words)
         keys.append(F.col("rank").asc())
     else:
         keys.append(F.col("last_seen").desc())
