@@ -18,7 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import small_batches, whole
 from .quality_gam import held_out
@@ -26,6 +26,8 @@ from .quality_gam import held_out
 #: Characters of sample text for each language, and documents they come from.
 SAMPLE_CHARS = 20_000
 SAMPLE_DOCS = 100
+#: Languages, the most frequent ones, that are learned at most.
+LANGUAGES = 256
 STRETCH = 512
 #: Letters whose transitions are dense tables; those of rarer letters are kept
 #: sparse, as (state, symbol) keys, so that alphabets of any size keep all letters.
@@ -177,20 +179,23 @@ def phrases(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return count, size
 
 
-def _samples(texts: DataFrame, docs: int, chars: int) -> dict[str, str]:
-    """Sample text of each language, from about ``docs`` documents chosen by hash."""
-    n = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}
-    if not n:
-        return {}
-    share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, docs / v)])
-    rank = (F.xxhash64("doc_id", F.lit("sample")) / F.lit(2.0**63) + 1) / 2
-    rows = (
-        texts.where(rank < share[F.col("lang")])
-        .select("lang", "doc_id", F.substring("text", 1, chars).alias("text"))
-        .collect()
-    )
+def _samples(texts: DataFrame, docs: int, chars: int, languages: int = LANGUAGES) -> dict[str, str]:
+    """Sample text of each language, from the ``docs`` documents whose hash of id
+    and text is least; rows that repeat both count as one."""
+    by_size = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    rows = texts.join(F.broadcast(by_size), "lang").withColumn("h", F.xxhash64("doc_id", "text", F.lit("sample")))
+    order = Window.partitionBy("lang").orderBy("h")
+    chosen = (
+        rows.select("lang", "h").distinct().withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= docs).select("lang", "h")
+    )
     found: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] or 0, r["text"])):
+    sampled = (
+        rows.join(F.broadcast(chosen), ["lang", "h"])
+        .groupBy("lang", "h")
+        .agg(F.min(F.substring("text", 1, chars)).alias("text"))
+    )
+    for r in sorted(sampled.collect()):
         held = found.setdefault(r["lang"], "")
         if len(held) < chars:
             found[r["lang"]] = (held + " " + normalised(r["text"])).strip()[:chars]
@@ -207,8 +212,10 @@ def train(
 ) -> Model:
     """A model from the documents with a language that are not held out.
 
-    It reads about sample_docs documents and sample_chars characters of each
-    language; null texts and null languages teach nothing.
+    It reads sample_docs documents and sample_chars characters of each language,
+    of LANGUAGES languages at most, the most frequent ones; rows are chosen by a
+    hash of id and text, so rows that share an id, or have none, are sampled like
+    others; null texts and null languages teach nothing.
     """
     usable = ~held_out(id_col, 4, 2) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
     texts = docs.where(usable).select(

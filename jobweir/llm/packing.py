@@ -9,7 +9,7 @@ piece its rank among the pieces of its length, and placing it.
 
 Search: best-fit decreasing gives a start. Then moves between underfull bins
 that raise the sum of squared fills: move a piece into a fuller bin, exchange
-one for one, or two for one. Emptied bins vanish. It ends at the lower bound
+one for one, two for one, or one for two. Emptied bins vanish. It ends at the lower bound
 ceil(tokens / max_tokens), or when no move is left for any bin; nothing else
 stops it.
 """
@@ -34,11 +34,18 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # --- the search, on lengths and counts --------------------------------------
 
 
+def twos(pattern: tuple[int, ...]) -> dict[int, tuple[int, int]]:
+    """Two lengths of a pattern by their sum."""
+    ones = sorted(set(pattern), reverse=True)
+    return {x + y: (x, y) for i, x in enumerate(ones) for y in ones[i:] if x != y or pattern.count(x) > 1}
+
+
 class Bins:
     """Groups of equal bins: pattern (lengths, descending) -> number of bins.
 
     Underfull groups are indexed by free room and by the lengths that they hold;
-    each holds length 0 too, so that a move is an exchange with nothing.
+    each holds length 0 too, so that a move is an exchange with nothing. A second
+    index has the sums of two of their lengths.
     """
 
     def __init__(self, room: int):
@@ -46,6 +53,8 @@ class Bins:
         self.groups: dict[tuple[int, ...], int] = {}
         self.having: dict[tuple[int, int], dict[tuple[int, ...], None]] = {}
         self.n_having = np.zeros((room + 1, room + 1), np.int32)
+        self.pairs: dict[tuple[int, int], dict[tuple[int, ...], tuple[int, int]]] = {}
+        self.n_pairs = np.zeros((room + 1, room + 1), np.int32)
         self.n_bins = 0
 
     def put(self, pattern: tuple[int, ...], n: int) -> None:
@@ -57,6 +66,9 @@ class Bins:
             for x in {0, *pattern} if free else ():
                 self.having.setdefault((x, free), {})[pattern] = None
                 self.n_having[x, free] += 1
+            for x, two in twos(pattern).items() if free else ():
+                self.pairs.setdefault((x, free), {})[pattern] = two
+                self.n_pairs[x, free] += 1
         self.groups[pattern] = self.groups.get(pattern, 0) + n
 
     def take(self, pattern: tuple[int, ...], n: int) -> None:
@@ -68,6 +80,9 @@ class Bins:
             for x in {0, *pattern} if free else ():
                 del self.having[x, free][pattern]
                 self.n_having[x, free] -= 1
+            for x in twos(pattern) if free else ():
+                del self.pairs[x, free][pattern]
+                self.n_pairs[x, free] -= 1
 
     def count(self) -> int:
         return self.n_bins
@@ -106,33 +121,33 @@ def _swap(bins: Bins, b: tuple[int, ...]):
     """The change that raises the sum of squared fills most, between a bin of
     pattern b and one as full or fuller: (a, pieces a gives, pieces it gets).
 
-    A move, an exchange one for one, or two of b for one of a; None if none is left.
+    A move, an exchange one for one, two of b for one of a, or one for two; None
+    if none is left.
     """
     free_b = bins.room - sum(b)
     frees = np.flatnonzero(bins.n_having[0, : free_b + 1])
     if not len(frees):
         return None
-    ones = sorted(set(b), reverse=True)
-    gets = {x + y: (x, y) for i, x in enumerate(ones) for y in ones[i:] if x != y or b.count(x) > 1}
-    gets |= {x: (x,) for x in ones}
+    ones = {x: (x,) for x in set(b)}
     # a gains d and b loses it: the squares grow by 2 d (fill a - fill b + d)
     found = []
-    for total, pieces in gets.items():
-        least = max(0, total - free_b)
-        ys = np.arange(least, min(total, bins.room + 1))
-        d = (total - ys)[:, None]
-        gain = np.where(
-            (bins.n_having[least : least + len(ys), frees] > 0) & (frees[None, :] >= d), d * (free_b - frees + d), 0
-        )
-        if gain.any():
-            found.append((int(gain.max()), total, pieces, ys, gain))
-    for _, _, pieces, ys, gain in sorted(found, key=lambda x: (-x[0], x[1])):
+    for two, held, gets in ((False, bins.n_having, twos(b) | ones), (True, bins.n_pairs, ones)):
+        for total, pieces in gets.items():
+            least = max(0, total - free_b)
+            ys = np.arange(least, min(total, bins.room + 1))
+            d = (total - ys)[:, None]
+            gain = np.where(
+                (held[least : least + len(ys), frees] > 0) & (frees[None, :] >= d), d * (free_b - frees + d), 0
+            )
+            if gain.any():
+                found.append((int(gain.max()), total, two, pieces, ys, gain))
+    for _, _, two, pieces, ys, gain in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
         for at in np.argsort(-gain, axis=None, kind="stable")[: np.count_nonzero(gain)]:
             i, j = divmod(int(at), gain.shape[1])
             y = int(ys[i])
-            for a in bins.having[y, int(frees[j])]:
+            for a in (bins.pairs if two else bins.having)[y, int(frees[j])]:
                 if a != b or bins.groups[a] > 1:
-                    return a, (y,) if y else (), pieces
+                    return a, bins.pairs[y, int(frees[j])][a] if two else (y,) if y else (), pieces
     return None
 
 

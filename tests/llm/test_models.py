@@ -153,3 +153,15 @@ def test_language_edges(spark):
 @pytest.mark.parametrize("text", ["", "x" * 100_000, "é " * 5000])
 def test_features_of_odd_texts(text):
     assert len(qg.features(text)) == len(qg.FEATURES) and all(np.isfinite(qg.features(text)))
+
+
+def test_samples_of_rows_without_ids_and_of_many_languages(spark):
+    g = random.Random(8)
+    alphabets = {f"l{k:03d}": [chr(0x4E00 + 40 * k + i) for i in range(30)] for k in range(300)}
+    rows = [(None, lang, "".join(g.choices(a, k=60))) for lang, a in alphabets.items() for _ in range(1 + (lang < "l256"))]
+    rows += [(None, "many", "abc def ghi " + str(i % 50)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = li.train(docs, sample_docs=20)
+    assert len(model.languages) == li.LANGUAGES and "many" in model.languages and "l299" not in model.languages
+    got = docs.where("lang in ('l003', 'l120', 'many')").select("lang", li.predicted(docs, model).alias("p")).collect()
+    assert all(r.lang == r.p.lang_pred for r in got)

@@ -123,7 +123,7 @@ def test_search_against_all_packings():
 
 
 def test_search_ends_only_when_stuck():
-    """No move, exchange or two for one is left between any two bins."""
+    """No move, exchange, two for one or one for two is left between any two bins."""
     g = random.Random(3)
     counts = {}
     for _ in range(2000):
@@ -140,6 +140,17 @@ def test_search_ends_only_when_stuck():
                 gets = {(x,) for x in b} | {(b[i], b[j]) for i in range(len(b)) for j in range(i)}
                 for y in {0, *a}:
                     assert not any(0 < sum(x) - y <= 1024 - sum(a) for x in gets)
+                for y in packing.twos(a):
+                    assert not any(0 < x - y <= 1024 - sum(a) for x in b)
+
+
+def test_one_for_two():
+    # neither a move, nor one for one, nor two for one helps these two bins
+    bins = packing.Bins(20)
+    for p in ((7, 6, 5), (9,), (3,) * 6 + (1,)):
+        bins.put(p, 1)
+    assert packing._swap(bins, (9,)) is not None
+    assert packing.twos((7, 6, 5)) == {13: (7, 6), 12: (7, 5), 11: (6, 5)} and packing.twos((4, 4)) == {8: (4, 4)}
 
 
 def test_moves():
