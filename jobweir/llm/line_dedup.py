@@ -6,6 +6,10 @@ State of a corpus:
   (h, g) are 128 hash bits of the key. Documents are counted in and out here.
 * ``refs``: (h, g, n_docs, keeper), the exact reference counts: how many
   documents hold a key, and the largest id among them.
+
+  Both are kept in runs. A batch writes a run of its own lines, signed, and one
+  of the new counts of its keys; earlier runs are read for these keys, and never
+  moved or written again until RUNS of them are merged.
 * ``filters``: one cuckoo filter for each shard of keys, holding those whose
   reference count has reached ``min_docs``. Unlike a Bloom filter it supports
   deletion, so when documents leave, keys that fall below the threshold leave
@@ -26,13 +30,13 @@ lines is an equi join of two tables, which adaptive execution splits.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
 
 from .common import fresh, small_batches, whole, written
 
@@ -44,6 +48,9 @@ SHARD_KEYS = 50_000
 #: filters' shards, in groups of about GROUP_LINES.
 FILTER_BYTES = 32 << 20
 GROUP_LINES = 200_000
+#: Runs of a state before they are merged, and keys of a batch that are sent to
+#: all tasks to find their rows in the runs (beyond it, runs are shuffled).
+RUNS, SENT_KEYS = 8, 1_000_000
 #: A filter fuller than this is built anew, with room for twice its keys.
 FULL = 0.8
 
@@ -52,10 +59,42 @@ HIT = "doc_id long, th long, pos int, h long, g long"
 
 
 class LineState(NamedTuple):
-    lines: DataFrame
-    refs: DataFrame
+    line_runs: tuple[DataFrame, ...]
+    ref_runs: tuple[DataFrame, ...]
+    """In order of their age; the newest that has a key counts."""
     filters: DataFrame
     n_shards: int
+    n_repeated: int = 0
+    """Keys that the filters hold."""
+
+    @property
+    def lines(self) -> DataFrame:
+        return _held(self.line_runs)
+
+    @property
+    def refs(self) -> DataFrame:
+        return _latest(self.ref_runs)
+
+
+def _held(runs: tuple[DataFrame, ...]) -> DataFrame:
+    if len(runs) == 1:
+        return runs[0]
+    rows = reduce(DataFrame.unionByName, runs)
+    return rows.groupBy("h", "g", "doc_id").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def _latest(runs: tuple[DataFrame, ...]) -> DataFrame:
+    if len(runs) == 1:
+        return runs[0]
+    rows = reduce(DataFrame.unionByName, [r.withColumn("run", F.lit(i)) for i, r in enumerate(runs)])
+    last = F.max_by(F.struct("n_docs", "keeper"), "run").alias("last")
+    return rows.groupBy("h", "g").agg(last).select("h", "g", "last.*").where("n_docs > 0")
+
+
+def _of(runs: tuple[DataFrame, ...], keys: DataFrame, n_keys: int) -> tuple[DataFrame, ...]:
+    """The rows of some keys (h, g), without moving the runs if these are few."""
+    keys = F.broadcast(keys) if n_keys <= SENT_KEYS else keys
+    return tuple(r.join(keys, ["h", "g"], "left_semi") for r in runs)
 
 
 def trimmed(line: Column) -> Column:
@@ -254,8 +293,8 @@ def _built(keys: DataFrame, n_shards: int) -> DataFrame:
 def empty_state(docs: DataFrame, n_shards: int = 1) -> LineState:
     spark = docs.sparkSession
     return LineState(
-        spark.createDataFrame([], "h long, g long, doc_id long, n long"),
-        spark.createDataFrame([], "h long, g long, n_docs long, keeper long"),
+        (spark.createDataFrame([], "h long, g long, doc_id long, n long"),),
+        (spark.createDataFrame([], "h long, g long, n_docs long, keeper long"),),
         spark.createDataFrame([], FILTER_SCHEMA),
         n_shards,
     )
@@ -279,39 +318,46 @@ def _changed(state: LineState, keys: DataFrame, change: DataFrame) -> DataFrame:
         .cogroup(rows.join(little, "shard").groupBy("shard"))
         .applyInPandas(_change_filter, FILTER_SCHEMA)
     )
+    out = same.unionByName(edited)
+    if loads.where("anew").isEmpty():
+        return out
     built = _built(
         keys.withColumn("shard", _shard(state.n_shards)).join(loads.where("anew").select("shard"), "shard"),
         state.n_shards,
     )
-    return same.unionByName(edited).unionByName(built)
+    return out.unionByName(built)
 
 
 def _merge(state: LineState, batch: DataFrame, sign: int, min_docs: int) -> LineState:
-    first = state.lines.isEmpty()
+    first = len(state.line_runs) == 1 and state.line_runs[0].isEmpty()
     if first:
         lines = written(batch, "lines")
-        refs = written(_counted(lines), "line-refs")
-        repeated = refs.where(F.col("n_docs") >= min_docs).select("h", "g")
-        change = None
+        line_runs, ref_runs = (lines,), (written(_counted(lines), "line-refs"),)
+        repeated = ref_runs[0].where(F.col("n_docs") >= min_docs).select("h", "g")
+        n_repeated, change = repeated.count(), None
     else:
         batch = written(batch.withColumn("n", F.col("n") * sign), "line-batch")
-        lines = written(
-            state.lines.unionByName(batch).groupBy("h", "g", "doc_id").agg(F.sum("n").alias("n")).where("n > 0"),
-            "lines",
-        )
         touched = written(batch.select("h", "g").distinct(), "line-touched")
-        now = _counted(lines.join(touched, ["h", "g"], "left_semi"))
-        refs = written(state.refs.join(touched, ["h", "g"], "left_anti").unionByName(now), "line-refs")
-        repeated = refs.where(F.col("n_docs") >= min_docs).select("h", "g")
-        here = touched.join(repeated.withColumn("is", F.lit(1)), ["h", "g"], "left")
-        was = state.refs.where(F.col("n_docs") >= min_docs).select("h", "g", F.lit(1).alias("was"))
-        step = F.coalesce("is", F.lit(0)) - F.coalesce("was", F.lit(0))
-        change = here.join(was, ["h", "g"], "left").select("h", "g", step.alias("sign")).where("sign <> 0")
-    n_shards = max(state.n_shards, math.ceil(repeated.count() / SHARD_KEYS))
+        n_touched = touched.count()
+        line_runs = (*state.line_runs, batch)
+        now = _counted(_held(_of(line_runs, touched, n_touched)))
+        now = touched.join(now, ["h", "g"], "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
+        now = written(now, "line-refs")
+        ref_runs = (*state.ref_runs, now)
+        was = _latest(_of(state.ref_runs, touched, n_touched)).where(F.col("n_docs") >= min_docs)
+        was = was.select("h", "g", F.lit(1).alias("was"))
+        step = (F.col("n_docs") >= min_docs).cast("int") - F.coalesce("was", F.lit(0))
+        change = written(now.join(was, ["h", "g"], "left").select("h", "g", step.alias("sign")).where("sign <> 0"), "line-change")
+        n_repeated = state.n_repeated + (change.agg(F.sum("sign")).first()[0] or 0)
+        repeated = _latest(ref_runs).where(F.col("n_docs") >= min_docs).select("h", "g")
+    if len(line_runs) > RUNS:
+        line_runs = (written(_held(line_runs), "lines"),)
+        ref_runs = (written(_latest(ref_runs), "line-refs"),)
+    n_shards = max(state.n_shards, math.ceil(n_repeated / SHARD_KEYS))
     if n_shards > state.n_shards:  # twice as many at least, so that this is rare
         n_shards = max(n_shards, 1 if first else 2 * state.n_shards)
     filters = _built(repeated, n_shards) if first or n_shards > state.n_shards else _changed(state, repeated, change)
-    return LineState(lines, refs, written(filters, "line-filters"), n_shards)
+    return LineState(line_runs, ref_runs, written(filters, "line-filters"), n_shards, n_repeated)
 
 
 def insert(
@@ -322,7 +368,13 @@ def insert(
     min_chars: int = 20,
     min_docs: int = 3,
 ) -> LineState:
-    """state with docs counted in."""
+    """state with docs counted in.
+
+    Defined cases, here and in delete: rows with a null id count nothing; rows
+    that repeat an id count as one document with the lines of all, also over
+    several batches; null and empty texts have no key; an empty batch changes no
+    count; texts and lines of any length are read whole; other columns are ignored.
+    """
     return _merge(state, held_lines(docs, id_col, text_col, min_chars), 1, min_docs)
 
 
@@ -440,25 +492,29 @@ def repeated_lines(
     else:
         maybe = _probed_by_shard(lines, state)
     # tables on both sides, so that the join can be split where a key is frequent
-    held = written(state.refs.where(F.col("n_docs") >= min_docs).select("h", "g", "keeper"), "line-held")
+    maybe = written(maybe, "line-maybe")
+    runs = state.ref_runs
+    if len(runs) > 1:
+        keys = written(maybe.select("h", "g").distinct(), "line-keys")
+        runs = _of(runs, keys, keys.count())
+    held = written(_latest(runs).where(F.col("n_docs") >= min_docs).select("h", "g", "keeper"), "line-held")
     return (
-        written(maybe, "line-maybe")
+        maybe
         .join(held, ["h", "g"])
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .select("doc_id", "th", "pos")
     )
 
 
-@F.pandas_udf(StringType())
-def _without(text: pd.Series, drop: pd.Series) -> pd.Series:
-    out = []
-    for t, d in zip(text, drop):
-        if d is None:
-            out.append(t)
-        else:
-            gone = set(d.tolist())
-            out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
-    return pd.Series(out, dtype=object)
+def _without(text: Column, drop: Column) -> Column:
+    """A text without the lines at some places; drop may be null."""
+    lines = F.split(text, "\n", -1)
+
+    def rest(ls: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), drop)
+        return F.array_join(F.transform(places, lambda i: F.get(ls, i)), "\n")
+
+    return F.when(drop.isNull(), text).otherwise(F.get(F.transform(F.array(lines), rest), 0))
 
 
 def dedup(

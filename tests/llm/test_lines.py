@@ -1,6 +1,7 @@
 """Line dedup: against a plain computation, and reversibility."""
 
 import hashlib
+import os
 import random
 from collections import defaultdict
 
@@ -172,3 +173,25 @@ def test_hash_of_kept_text(docs_of, spark):
     got = ld.dedup(docs_of(CASES[:3])).select("doc_id", F.sha2("text", 256).alias("s")).collect()
     want = {i: hashlib.sha256(t.encode()).hexdigest() for i, t, _, _ in plain(CASES[:3])}
     assert {r.doc_id: r.s for r in got} == want
+
+
+def test_a_batch_writes_runs_of_its_own(docs_of, monkeypatch):
+    """Earlier tables stay as they are; RUNS of them are merged."""
+    monkeypatch.setattr(ld, "RUNS", 3)
+    files = lambda df: {f: os.path.getmtime(f[7:]) for f in df.inputFiles()}
+    a = [(i, f"{LONG} {i % 40}\n{LONG} own {i}") for i in range(200)]
+    state = ld.insert(ld.empty_state(docs_of(a)), docs_of(a))
+    before = [files(r) for r in (*state.line_runs, *state.ref_runs)]
+    b = [(200 + i, f"{LONG} {i}\n{LONG} new") for i in range(3)]
+    for k in range(2):
+        state = ld.insert(state, docs_of(b[: 2 + k]))
+        assert len(state.line_runs) == len(state.ref_runs) == 2 + k
+    assert [files(state.line_runs[0]), files(state.ref_runs[0])] == before
+    assert state.line_runs[1].count() == 4 and state.ref_runs[1].count() == 3
+    state = ld.delete(ld.insert(state, docs_of([(900, None), (None, LONG), (901, "")])), docs_of(b[:2]))
+    assert len(state.line_runs) < 3
+    again = [(i, t) for i, t in a + b[2:]] + b[:2]
+    held = ld.insert(ld.empty_state(docs_of(again)), docs_of(again))
+    want = {(r.h, r.g): (r.n_docs, r.keeper) for r in held.refs.collect()}
+    assert {(r.h, r.g): (r.n_docs, r.keeper) for r in state.refs.collect()} == want
+    assert state.n_repeated == sum(n >= 3 for n, _ in want.values()) == sum(r.held for r in state.filters.collect())
