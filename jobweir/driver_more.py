@@ -23,7 +23,8 @@ def _strip(x: str) -> str:
 
 
 def _to_text(x: str) -> str:
-    inner = f"regexp_replace(regexp_replace({_SEVEN.format(x)}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+    # a < that no letter, slash, ! or ? follows begins no tag
+    inner = f"regexp_replace(regexp_replace({_SEVEN.format(x)}, '(?s)<!--.*?-->', ' ', 'g'), '<[A-Za-z/!?][^>]*>', ' ', 'g')"
     # what is left is decoded once, the ampersand last; these are the entities that the pages hold
     for name, value in (("&middot;", "·"), ("&copy;", "©"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
         inner = f"replace({inner}, '{name}', '{value}')"

@@ -249,6 +249,21 @@ query(
     # the list of the first pass decodes &amp; once, the second pass all that is left
     "SELECT id, " + _entity_sql("trim(regexp_replace(regexp_replace(replace(html, '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))") + " AS text FROM v_entity",
 )(lambda v: v.select("id", t.html_to_text(F.col("html")).alias("text")))
+#: Mark-up and what it reads as.
+_MARKUP = (
+    ("it&#146;s 5&#150;6", "it’s 5–6"), ("caf&eacute &copy 2024 &notit;", "café © 2024 ¬it;"),
+    ('<a title="x > y" rel=z>go</a>on', "go on"), ("a < b <3 <b>c</b>", "a < b <3 c "), ("x&#0;y&#xD800;", "x\ufffdy\ufffd"),
+    ("<!-- a > b --><p class='>'>t</p> &NotANameAtAll;", "t &NotANameAtAll;"), ("&#x80;&#8364;&#0128;", "€€€"),
+)
+_HTML = [html.replace("'", "''") for html, _ in _MARKUP]
+VIEWS["v_markup"] = "SELECT page_id AS id, CAST(page_id AS STRING) || ' ' || CASE page_id % 7 " + " ".join(
+    f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HTML)
+) + " END || url AS html FROM pages"
+query(
+    "html_markup", ("v_markup",),
+    "SELECT id, html LIKE '%<%' AS tags, id || ' ' || CASE id % 7 " + " ".join(f"WHEN {i} THEN '{x}'" for i, (_, x) in enumerate(_MARKUP))
+    + " END || substring(html, length(id || ' ') + 1 + CASE id % 7 " + " ".join(f"WHEN {i} THEN {len(h)}" for i, (h, _) in enumerate(_MARKUP)) + " END) AS text FROM v_markup",
+)(lambda v: v.select("id", F.contains("html", F.lit("<")).alias("tags"), t.html_to_text(F.col("html")).alias("text")))
 VIEWS["v_remarks"] = """
 SELECT l_orderkey % 997 AS id, CASE l_linenumber % 3 WHEN 0 THEN 'reset' WHEN 1 THEN 'applied' ELSE 'dismissed' END AS status, 'n' AS note, l_orderkey * 10 + l_linenumber AS seq FROM lineitem"""
 query(

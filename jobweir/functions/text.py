@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from html.entities import html5
 
 from pyspark.sql import Column, functions as F
@@ -31,42 +32,91 @@ def entities(x: Column) -> Column:
     return replaced(x, BASIC_ENTITIES)
 
 
-def _decoded(name: Column) -> Column:
-    """What an entity, without & and ;, stands for; null if it is none."""
-    digits = F.regexp_extract(name, "^#(?:([0-9]{1,8})|[xX][0-9A-Fa-f]{1,6})$", 1)
-    hexed = F.upper(F.regexp_extract(name, "^#[xX]([0-9A-Fa-f]{1,6})$", 1))
-    code = F.when(digits != "", F.hex(digits.cast("bigint"))).when(hexed != "", hexed)
-    number = F.conv(code, 16, 10).cast("bigint")
-    legal = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-    char = F.decode(F.unhex(F.lpad(F.when(legal, code), 8, "0")), "UTF-32")
-    # the names of HTML 5, from the standard library's table
-    names = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
-    table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
-    return F.when(name.startswith("#"), char).otherwise(F.try_element_at(table, name))
-
-
-def unescape(x: Column) -> Column:
-    """Each named or numeric entity that ends in a semicolon decoded once; what
-    is no entity stays."""
-    found = F.array_distinct(F.regexp_extract_all(x, F.lit("&(#?[0-9A-Za-z]+);"), F.lit(1)))
-    pairs = F.transform(found, lambda e: F.struct(e.alias("name"), _decoded(e).alias("value")))
-    pairs = F.filter(pairs, lambda p: p["value"].isNotNull())
-
-    def replace(pairs: Column, text: Column) -> Column:
-        return F.aggregate(
-            pairs, text, lambda t, p: F.replace(t, F.concat(F.lit("&"), p["name"], F.lit(";")), p["value"])
-        )
-
-    # those that make an ampersand come last, so that none is decoded twice
-    ampersand = lambda p: p["value"] == "&"
-    several = F.get(
-        F.transform(
-            F.array(pairs),
-            lambda ps: replace(F.filter(ps, ampersand), replace(F.filter(ps, lambda p: ~ampersand(p)), x)),
-        ),
-        0,
+#: What the numbers 128 to 159 stand for in pages: Windows-1252, and themselves
+#: where that has nothing.
+C1 = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160))
+BUCKETS = 64
+
+
+def _names() -> Column:
+    """The names of HTML 5 (the standard library's table), with their semicolon
+    where they need one: maps of few names, to be found by a hash of the name."""
+    found: list[dict] = [{} for _ in range(BUCKETS)]
+    for name, value in html5.items():
+        found[zlib.crc32(name.encode()) % BUCKETS][name] = value
+    return F.from_json(F.lit(json.dumps(found)), "array<map<string,string>>")
+
+
+def _number(name: Column) -> Column:
+    """The character of #123; or #x7b; with or without the semicolon."""
+    hexed = F.lower(F.substring(name, 2, 1)) == "x"
+    digits = F.ltrim(F.regexp_replace(name, "^#[xX]?|;$", ""), F.lit("0"))
+    code = F.when(hexed, F.when(F.length(digits) <= 6, F.conv(digits, 16, 10).cast("int"))).otherwise(
+        F.when(F.length(digits) <= 7, digits.cast("int"))
     )
-    return F.when(F.contains(x, F.lit("&")), several).otherwise(x)
+    code = F.when(digits == "", 0).otherwise(code)
+    legal = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    utf = F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
+    old = F.substring(F.lit(C1), code - 127, F.lit(1))
+    return F.when(legal, F.when(code.between(128, 159), old).otherwise(utf)).otherwise("\ufffd")
+
+
+def unescape(x: Column, attribute: bool = False) -> Column:
+    """Every named or numeric entity decoded once; what is no entity stays.
+
+    The older names (106 of them) need no semicolon: the longest that begins the
+    name counts, what follows it stays. In the value of an attribute they do only
+    where no letter, digit or = follows.
+    """
+    plain = {k: v for k, v in html5.items() if not k.endswith(";")}
+    longest, shortest = max(map(len, plain)), min(map(len, plain))
+
+    def named(name: Column, after: Column, names: Column, legacy: Column) -> Column:
+        def exact(n: Column) -> Column:
+            return F.try_element_at(F.get(names, F.pmod(F.crc32(n.cast("binary")), F.lit(BUCKETS)).cast("int")), n)
+
+        if attribute:
+            free = ~F.coalesce(after == "=", F.lit(False)) | name.endswith(";")
+            return F.coalesce(F.when(free, exact(name)), F.concat(F.lit("&"), name))
+        begins = [
+            F.concat(F.try_element_at(legacy, F.left(name, F.lit(k))), F.substring(name, F.lit(k + 1), F.length(name)))
+            for k in range(longest, shortest - 1, -1)
+        ]
+        return F.coalesce(exact(name), *begins, F.concat(F.lit("&"), name))
+
+    name_of = "^&(#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;?)"
+    parts = F.transform(
+        F.split(x, "(?=&)", -1), lambda s: F.struct(s.alias("s"), F.regexp_extract(s, name_of, 1).alias("name"))
+    )
+
+    def decoded(tables: Column) -> Column:
+        def one(p: Column) -> Column:
+            rest = F.substring(p["s"], F.length(p["name"]) + 2, F.length(p["s"]))
+            value = F.when(p["name"].startswith("#"), _number(p["name"])).otherwise(
+                named(p["name"], F.left(rest, F.lit(1)), tables["names"], tables["legacy"])
+            )
+            return F.when(p["name"] == "", p["s"]).otherwise(F.concat(value, rest))
+
+        return F.array_join(F.transform(parts, one), "")
+
+    legacy = F.from_json(F.lit(json.dumps(plain)), "map<string,string>")
+    tables = F.array(F.struct(_names().alias("names"), legacy.alias("legacy")))
+    return F.when(F.contains(x, F.lit("&")), F.get(F.transform(tables, decoded), 0)).otherwise(x)
+
+
+#: The parts of a tag, one after the other: its start up to a quote or its end;
+#: a quoted value and what follows up to the next; a quote that nothing closes;
+#: its end. A part other than the start must touch the one before it.
+MARKUP = (
+    r"""(?s)<!--.*?(?:-->|$)|<(?:/?[A-Za-z]|[!?/])[^>"']*"""
+    r"""|\G(?<=[^>])(?:"[^"]*"|'[^']*')[^>"']*|\G(?<=[^>])["'][^>]*|\G(?<=[^>])>"""
+)
+
+
+def without_markup(x: Column, instead: str = " ") -> Column:
+    """Tags and comments replaced; a > in a quoted value ends no tag, and a < that
+    begins none stays. There may be several replacements for a tag."""
+    return F.when(F.contains(x, F.lit("<")), F.regexp_replace(F.concat(F.lit(" "), x), MARKUP, instead)).otherwise(x)
 
 
 def collapse(x: Column) -> Column:
@@ -91,12 +141,9 @@ def strip_tags(x: Column) -> Column:
 def html_to_text(x: Column) -> Column:
     """The listed entities, then tags, then all entities that are left; collapsed.
 
-    Text of script and style elements stays; comments go. Entities without a
-    semicolon stay.
+    Text of script and style elements stays; comments go.
     """
-    x = replaced(x, ENTITIES)
-    x = F.regexp_replace(F.regexp_replace(x, r"(?s)<!--.*?-->", " "), TAG, " ")
-    return collapse(unescape(x))
+    return collapse(unescape(without_markup(replaced(x, ENTITIES))))
 
 
 def comment_title(x: Column) -> Column:

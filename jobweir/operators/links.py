@@ -9,8 +9,12 @@ from ..functions.remote import SOCIAL, SOCIAL_AND_CHAT
 from ..functions.urls import parts
 
 _NOISE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
-_ANCHOR = r"(?is)<a\s[^>]*?\bhref\s*=\s*[^>]*>.*?</a>"
-_HREF = r"""(?is)^<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+#: The rest of a start tag; a > in a quoted value does not end it. Loops are
+#: bounded, as each turn takes room on the stack.
+_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'){0,400}+>"""
+_ANCHOR = r"(?is)<a\s" + _REST + r".*?</a>"
+_OTHER = r"""(?:\s+[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?){0,200}?"""
+_HREF = r"(?is)^<a" + _OTHER + r"""\s+href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
 
 
 def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -21,11 +25,13 @@ def anchors(pages: DataFrame, html: str = "html") -> DataFrame:
         *[c for c in pages.columns if c != html],
         F.posexplode(F.regexp_extract_all(clean, F.lit(_ANCHOR), F.lit(0))).alias("pos", "a"),
     )
+    rows = rows.where(F.col("a").rlike(_HREF))
     href = F.concat(*[F.regexp_extract("a", _HREF, i) for i in (1, 2, 3)])
     return rows.select(
-        *[c for c in rows.columns if c != "a"],
-        t.entities(href).alias("href"),
-        t.collapse(t.entities(F.regexp_replace("a", t.TAG, ""))).alias("text"),
+        *[c for c in rows.columns if c not in ("a", "pos")],
+        "pos",
+        t.unescape(href, attribute=True).alias("href"),
+        t.collapse(t.unescape(t.without_markup(F.col("a"), ""))).alias("text"),
     )
 
 

@@ -65,7 +65,7 @@ def test_locale_and_composite(spark):
 
 def test_texts(spark):
     assert one(spark, "<p>Hello&nbsp;&amp; world</p>", t.strip_tags) == "Hello & world"
-    assert one(spark, "&lt;p&gt;a&lt;/p&gt;&amp;lt;b<!-- x --> c", t.html_to_text) == "a <b c"
+    assert one(spark, "&lt;p&gt;a&lt;/p&gt;&amp;lt;b<!-- x --> c", t.html_to_text) == "a c"  # as a page reads: a tag called b<!--
     assert one(spark, "Acme | SWE | Remote", t.company_hint) == "Acme"
     assert one(spark, "x" * 81, t.company_hint) is None
     assert tuple(one(spark, "Just a role", t.split_at)) == ("Just a role", None)
@@ -125,3 +125,26 @@ def test_search(spark):
 )
 def test_unescape(spark, text, want):
     assert one(spark, text, t.unescape) == want
+
+
+def test_markup_and_entities_as_a_page_reads(spark):
+    import html
+
+    cases = {
+        "it&#146;s 5&#150;6": "it’s 5–6",
+        '<a title="x > y">go</a>': "go",
+        "<b>\"q\"</b> <i>'s'</i>": "\"q\" 's'",
+        "a < b, c > d <3": "a < b, c > d <3",
+        '<a title="x>go</a> rest': "go rest",
+        "<img alt='>' src=\"a>b\">\"in\"": '"in"',
+        "<p>open <b": "open",
+        "<a " + 'x="1>" ' * 20_000 + ">long</a>": "long",
+    }
+    texts = list(cases) + ["&eacute &copy &notit; &notin; &ampx &#0; &#x110000; &#99999999999; &; &#; &nosuch; &amp;amp;", "&Aacute&lt=&hearts"]
+    rows = spark.createDataFrame([(x,) for x in texts], "h string").select(
+        "h", t.html_to_text(F.col("h")).alias("t"), t.unescape(F.col("h")).alias("u"), t.unescape(F.col("h"), True).alias("a")
+    )
+    for r in rows.collect():
+        assert r.t == cases.get(r.h, r.t) and r.u == html.unescape(r.h)
+    assert rows.collect()[-1].a == "&Aacute&lt=&hearts"
+    assert spark.createDataFrame([("a &copy b",)], "h string").select(t.unescape(F.col("h"), True)).first()[0] == "a © b"
