@@ -124,10 +124,11 @@ def query(name: str, views: tuple[str, ...], sql: str):
     def add(make):
         QUERIES[name] = lambda spark, sf_dir: make(*[view(spark, sf_dir, v) for v in views])
         if sql:
-            head = _with(*views)
-            ORACLES[name] = head + ("" if not sql.lstrip().startswith("WITH ") else ", ") + (
-                sql if not sql.lstrip().startswith("WITH ") else sql.lstrip()[5:]
-            )
+            body, start = sql.lstrip(), "WITH "
+            if body.startswith("WITH RECURSIVE "):
+                body, start = "WITH " + body[len("WITH RECURSIVE ") :], "WITH RECURSIVE "
+            head = start + _with(*views)[len("WITH ") :]
+            ORACLES[name] = head + (", " + body[5:] if body.startswith("WITH ") else body)
         return make
 
     return add
@@ -350,3 +351,4 @@ query(
 from . import driver_more  # noqa: E402, F401  it registers its queries here
 from . import driver_state  # noqa: E402, F401
 from . import driver_sync  # noqa: E402, F401
+from . import driver_runs  # noqa: E402, F401

@@ -8,6 +8,7 @@ from ..functions.dates import age_text, tags_text
 from ..functions.match import bm25
 from ..functions.text import ascii_lower
 from . import textindex
+from .merge import numbered
 
 
 def open_jobs(jobs: DataFrame) -> DataFrame:
@@ -76,6 +77,33 @@ def list_jobs(
     return page(rows.orderBy(*keys, F.col("id").asc()), limit, start)
 
 
+def after(jobs: DataFrame, limit: int, cursor: dict | None = None) -> DataFrame:
+    """The next rows of a listing in the order of list_jobs, behind the row that
+    cursor is (posted_at, last_seen, id). The rows before it are filtered out where
+    they are read, and each task keeps limit rows at most, however deep the page."""
+    order = [F.col("posted_at").asc_nulls_last(), F.col("last_seen").desc(), F.col("id").asc()]
+    if cursor is None:
+        return jobs.orderBy(*order).limit(limit)
+    posted, seen, id_ = (F.lit(cursor[c]) for c in ("posted_at", "last_seen", "id"))
+    later = (F.col("last_seen") < seen) | (F.col("last_seen") == seen) & (F.col("id") > id_)
+    if cursor["posted_at"] is None:
+        behind = F.col("posted_at").isNull() & later
+    else:
+        behind = F.col("posted_at").isNull() | (F.col("posted_at") > posted) | (F.col("posted_at") == posted) & later
+    return jobs.where(behind).orderBy(*order).limit(limit)
+
+
+def placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with place, 0 for the first in order: written once, sorted by ranges,
+    so that any page is a filter on place that reads the files that hold it."""
+    return numbered(rows.repartitionByRange(*order).sortWithinPartitions(*order), -1, "place")
+
+
+def page_at(placed_rows: DataFrame, page: int, size: int) -> DataFrame:
+    """Page number page (from 0) of placed rows."""
+    return placed_rows.where(F.col("place").between(page * size, page * size + size - 1))
+
+
 def by_company(jobs: DataFrame, companies: DataFrame, limit: int | None = None) -> DataFrame:
     """Companies with an array of their open jobs, of any status; both in
     case-blind order of name and title, then id."""

@@ -132,21 +132,21 @@ def assign_ids(new: DataFrame, start: int, order: list[str], block: Column) -> D
     )
 
 
-def numbered(new: DataFrame, start: int) -> DataFrame:
-    """new with id: start + 1, start + 2, ... without a gap.
+def numbered(new: DataFrame, start: int, name: str = "id") -> DataFrame:
+    """new with id (or name): start + 1, start + 2, ... without a gap.
 
     The rows are written first; a row's number is its place in its file and the
     rows of the files before it, so no window sees them, none is read twice for
     it, and what was numbered once stays so when a later task is repeated.
     """
-    rows = written(new.drop("id"), "numbered").select(
+    rows = written(new.drop(name), "numbered").select(
         "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
     )
     files = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
     base = base.select("_file", F.coalesce(F.sum("_n").over(files), F.lit(0)).alias("_base"))
     id_ = (F.lit(start + 1) + F.col("_base") + F.col("_row")).cast("bigint")
-    return rows.join(F.broadcast(base), "_file").withColumn("id", id_).drop("_file", "_row", "_base")
+    return rows.join(F.broadcast(base), "_file").withColumn(name, id_).drop("_file", "_row", "_base")
 
 
 def discoveries(batch: DataFrame, companies: DataFrame, via: Column, now: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def _count(x: Column, name: str) -> Column:
@@ -101,3 +101,47 @@ def source_health(runs: DataFrame) -> DataFrame:
         F.sum("items_seen").alias("items_seen"),
         F.sum("items_new").alias("items_new"),
     )
+
+
+def failure_streaks(runs: DataFrame) -> DataFrame:
+    """By source: failing_for, the failures since the last run that went well;
+    longest, the longest row of failures ever; since, when the current one began.
+
+    A day's runs are folded first, and then the days, so that no task sorts all
+    runs of a source: what is kept of a stretch of runs is its length, the
+    failures it begins and ends with, and the most in a row.
+    """
+    one = F.struct("started_at", "run_id", F.coalesce("ok", F.lit(False)).alias("ok"))
+    shape = "struct<n:bigint,head:bigint,tail:bigint,most:bigint,since:timestamp>"
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(c) for c in ("n", "head", "tail", "most")], F.lit(None).cast("timestamp").alias("since"))
+
+    def alone(r: Column) -> Column:
+        bad = F.when(r["ok"], 0).otherwise(1).cast("bigint")
+        since = F.when(~r["ok"], r["started_at"].cast("timestamp"))
+        return F.struct(F.lit(1).cast("bigint").alias("n"), bad.alias("head"), bad.alias("tail"), bad.alias("most"), since.alias("since"))
+
+    def then(a: Column, b: Column) -> Column:
+        all_a, all_b = a["head"] == a["n"], b["head"] == b["n"]
+        return F.struct(
+            (a["n"] + b["n"]).alias("n"),
+            (a["head"] + F.when(all_a, b["head"]).otherwise(0)).alias("head"),
+            (b["tail"] + F.when(all_b, a["tail"]).otherwise(0)).alias("tail"),
+            F.greatest(a["most"], b["most"], a["tail"] + b["head"]).alias("most"),
+            F.when(all_b, F.coalesce(a["since"], b["since"])).otherwise(b["since"]).alias("since"),
+        ).cast(shape)
+
+    days = runs.groupBy("source", F.to_date("started_at").alias("day")).agg(F.array_sort(F.collect_list(one)).alias("rs"))
+    days = days.select("source", "day", F.aggregate("rs", zero.cast(shape), lambda acc, r: then(acc, alone(r).cast(shape))).alias("s"))
+    whole = days.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("day", "s"))).alias("ds"))
+    folded = whole.select("source", F.aggregate("ds", zero.cast(shape), lambda acc, d: then(acc, d["s"])).alias("s"))
+    return folded.select("source", F.col("s.tail").alias("failing_for"), F.col("s.most").alias("longest"), F.col("s.since").alias("since"))
+
+
+def daily_health(runs: DataFrame, days: int = 7) -> DataFrame:
+    """(source, day, runs, ok_runs, share): runs of a day, and the share of all
+    that went well in the days up to it, days of the calendar with and without runs."""
+    by_day = runs.groupBy("source", F.to_date("started_at").alias("day")).agg(
+        F.count(F.lit(1)).alias("runs"), F.count_if(F.col("ok")).alias("ok_runs")
+    )
+    span = Window.partitionBy("source").orderBy(F.unix_date("day")).rangeBetween(-(days - 1), 0)
+    return by_day.withColumn("share", F.sum("ok_runs").over(span) / F.sum("runs").over(span))

@@ -7,6 +7,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import trimmed
 from ..schemas import ENTRIES
+from .scratch import written
 
 
 def split_outcomes(landed: DataFrame) -> DataFrame:
@@ -133,3 +134,75 @@ def resolve_redirects(df: DataFrame, redirects: DataFrame, url_col: str = "url")
     """df with final_url of redirects (url, final_url); rows without one go."""
     known = redirects.select(F.col("url").alias("_from"), "final_url").dropDuplicates(["_from"])
     return df.join(known, F.col(url_col) == F.col("_from")).drop("_from")
+
+
+def redirect_ends(hops: DataFrame, most: int = 20) -> DataFrame:
+    """(url, final_url, hops, outcome) of each url of single hops (url, next).
+
+    Pointers are doubled: each round joins the table with itself on where its
+    rows have got to, so a chain of n hops takes log2(n) rounds. outcome is "ok",
+    "too long" (more than most hops) or "loop"; final_url and hops are null for
+    loops, which are what no longer chain than there are urls can explain. Of
+    hops that repeat a url the alphabetically first counts; null ones count not.
+    """
+    rows = hops.where("url is not null and next is not null").groupBy("url").agg(F.min("next").alias("at"))
+    rows = written(rows.withColumns({"hops": F.lit(1).cast("bigint"), "done": F.lit(False)}), "hops")
+    n, reach = rows.count(), 1
+    while True:
+        ahead = rows.select(F.col("url").alias("at"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("done").alias("_done"))
+        open_ = rows.where("not done").join(ahead, "at", "left")
+        moved = F.col("_at").isNotNull()
+        stepped = open_.select(
+            "url", F.coalesce("_at", "at").alias("at"), (F.col("hops") + F.when(moved, F.col("_hops")).otherwise(0)).alias("hops"),
+            F.when(moved, F.col("_done")).otherwise(True).alias("done"),
+        )
+        rows = written(rows.where("done").unionByName(stepped), "hops")
+        reach *= 2
+        if reach > n or rows.where("not done").isEmpty():
+            break
+    outcome = F.when(~F.col("done"), "loop").when(F.col("hops") > most, "too long").otherwise("ok")
+    return rows.select(
+        "url", F.when(F.col("done"), F.col("at")).alias("final_url"), F.when(F.col("done"), F.col("hops")).alias("hops"), outcome.alias("outcome")
+    )
+
+
+def follow_redirects(df: DataFrame, ends: DataFrame, url_col: str = "url") -> DataFrame:
+    """df with final_url by redirect_ends; a url without a hop is its own end, and
+    rows whose chain has none go."""
+    known = ends.select(F.col("url").alias("_from"), F.col("final_url").alias("_to"), "outcome")
+    joined = df.join(known, F.col(url_col) == F.col("_from"), "left").where("outcome is null or outcome = 'ok'")
+    return joined.withColumn("final_url", F.coalesce("_to", url_col)).drop("_from", "_to", "outcome")
+
+
+def field_types(landed: DataFrame) -> DataFrame:
+    """(kind, day, field, type, n): how many entries of the lists of a day have a
+    field at their top, of which JSON type. Entries stay VARIANT, so fields that
+    no adapter reads are seen as well."""
+    entry = landed.where(F.col("http_status").between(200, 299)).select(
+        "kind", F.to_date("fetched_at").alias("day"), F.explode(listed()).alias("entry")
+    )
+    rows = entry.select("kind", "day", F.try_parse_json("entry").alias("v")).where("v is not null")
+    fields = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    json_type = F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)
+    simple = F.when(json_type.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "NUMBER").otherwise(json_type)
+    return (
+        fields.where("key is not null").groupBy("kind", "day", F.col("key").alias("field"), simple.alias("type"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def drift(types: DataFrame) -> DataFrame:
+    """(kind, day, field, change, before, after) between each day of a kind and its
+    day before: "new" and "lost" fields, and "retyped" ones. Types are those of the
+    values that are not null, in alphabetical order."""
+    seen = types.where("type <> 'VOID'").groupBy("kind", "day", "field").agg(
+        F.array_join(F.array_sort(F.collect_set("type")), ",").alias("type")
+    )
+    days = types.select("kind", "day").distinct()
+    last = F.lag("day").over(Window.partitionBy("kind").orderBy("day"))
+    days = days.withColumn("last", last).where("last is not null")
+    now = days.join(seen, ["kind", "day"]).select("kind", "day", "field", F.col("type").alias("after"))
+    old = days.join(seen.withColumnRenamed("day", "last"), ["kind", "last"]).select("kind", "day", "field", F.col("type").alias("before"))
+    change = F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "lost").otherwise("retyped")
+    both = now.join(old, ["kind", "day", "field"], "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
+    return both.select("kind", "day", "field", change.alias("change"), "before", "after")

@@ -56,3 +56,12 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") ->
     if "bucket" in by:
         df = df.withColumn("bucket", bucket()).repartition(*by)
     df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{root}/{name}")
+
+
+def save_bucketed(df: DataFrame, table: str, path: str, key: tuple[str, ...], buckets: int = BUCKETS) -> DataFrame:
+    """df as a table of the session's catalog, in buckets of the key, sorted in
+    them: a merge by this key moves its batch only. A snapshot of a table is never
+    overwritten while a merge reads it; each version has a path of its own."""
+    df = df.repartition(buckets, *key)
+    df.write.format("parquet").bucketBy(buckets, *key).sortBy(*key).option("path", path).mode("overwrite").saveAsTable(table)
+    return df.sparkSession.table(table)
