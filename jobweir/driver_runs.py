@@ -120,9 +120,9 @@ SELECT 'u' || CAST(k AS STRING) AS url, 'u' || CAST(CASE WHEN k % 50 = 0 THEN k
 FROM (SELECT DISTINCT o_orderkey AS k FROM orders) WHERE k > 3"""
 query(
     "redirect_ends", ("v_hop",),
-    """WITH RECURSIVE w AS (SELECT url, next AS at, 1 AS hops FROM v_hop UNION ALL SELECT w.url, h.next, hops + 1 FROM w JOIN v_hop h ON w.at = h.url WHERE hops < 40),
-e AS (SELECT url, arg_max(at, hops) AS at, max(hops) AS hops FROM w GROUP BY url)
-SELECT url, CASE WHEN hops < 40 THEN at END AS final_url, CASE WHEN hops < 40 THEN hops END AS hops, CASE WHEN hops = 40 THEN 'loop' WHEN hops > 9 THEN 'too long' ELSE 'ok' END AS outcome FROM e""",
+    """WITH RECURSIVE w AS (SELECT url, next AS dest, 1 AS hops FROM v_hop UNION ALL SELECT w.url, h.next, hops + 1 FROM w JOIN v_hop h ON w.dest = h.url WHERE hops < 40),
+e AS (SELECT url, arg_max(dest, hops) AS dest, max(hops) AS hops FROM w GROUP BY url)
+SELECT url, CASE WHEN hops < 40 THEN dest END AS final_url, CASE WHEN hops < 40 THEN hops END AS hops, CASE WHEN hops = 40 THEN 'loop' WHEN hops > 9 THEN 'too long' ELSE 'ok' END AS outcome FROM e""",
 )(lambda v: landed.redirect_ends(v, 9))
 
 # --- health --------------------------------------------------------------------------
