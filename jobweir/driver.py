@@ -9,10 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .functions import dates, match, remote, text as t, urls
-from .operators import discover, links, listing, merge, reports
-from .plans import pipelines
-from .sources import adapters, feeds, landed
+from .functions import dates, urls
+from .operators import discover, listing, merge
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 NOW = 1_735_689_600  # 2025-01-01

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .driver import KINDS7, NOW, _PARTS, _cases, _quoted, query, VIEWS
-from .functions import match, remote, text as t, urls
-from .operators import discover, links, merge, reports
-from .plans import pipelines
+from .driver import VIEWS, query
+from .functions import remote, text as t, urls
+from .operators import links
 from .sources import adapters, feeds, landed
 
 # --- texts ------------------------------------------------------------------

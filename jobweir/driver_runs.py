@@ -3,6 +3,8 @@ deep pages, drift of payloads, snapshots."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .driver import VIEWS, query
@@ -16,8 +18,6 @@ from .streaming import merge as stream_merge, pages as page_stream
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    import uuid
-
     return f"{shared_dir(spark)}/jobweir/{name}-{uuid.uuid4().hex}"
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .driver import _PARTS, _SECONDS, _AGE, _TAGS, NOW, VIEWS, query
+from .driver import _PARTS, NOW, VIEWS, query
 from .driver_more import LIST  # noqa: F401  the views of feeds and sites are registered there
 from .functions import match, urls
 from .operators import discover, listing, merge, reports, textindex
 from .plans import pipelines
-from .sources import feeds
 
 # --- search -----------------------------------------------------------------
 

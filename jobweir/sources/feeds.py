@@ -22,6 +22,7 @@ ENGINES = {
     "exa": ("results array<struct<url:string>>", "results", None),
     "firecrawl": ("data array<struct<url:string>>", "data", None),
 }
+#: The title of the monthly thread (fixed value).
 WHO_IS_HIRING = r"(?i)Ask HN:?\s*Who is hiring\?"
 
 

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from jobweir.operators import merge
 from jobweir.schemas import JOBS
 import glob
 import os
