@@ -59,10 +59,10 @@ def trigrams(w: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = (w.stop - w.start)[chosen]
     first = np.cumsum(size) - size
     at = np.repeat(w.start[chosen] - first, size) + np.arange(size.sum())
-    raw = np.frombuffer(w.raw, np.uint8).astype(np.uint64)
-    before, after = raw[at - 1], raw[at + 1]
+    raw = np.frombuffer(w.raw, np.uint8)
+    before, here, after = (raw[at + k].astype(np.uint64) for k in (-1, 0, 1))
     before[first], after[first + size - 1] = 1, 2
-    key = mix(before + (raw[at] << np.uint64(8)) + (after << np.uint64(16)))
+    key = mix(before + (here << np.uint64(8)) + (after << np.uint64(16)))
     return (key % np.uint64(TRIGRAMS)).astype(np.int64), first
 
 
