@@ -23,7 +23,8 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 # --- page sets as they arrive -----------------------------------------------------
 # Pages come in three batches, whatever their order, some of them twice; time then
-# passes, so that what is not over by then is closed by it.
+# passes, so that what is not over by then is closed by it. A batch is what has
+# landed when the stream is started again, in as many files as it has.
 
 
 def _streamed(v: DataFrame) -> DataFrame:
@@ -33,20 +34,21 @@ def _streamed(v: DataFrame) -> DataFrame:
         "kind", "slug", F.lit("r").alias("run"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("fetched_at"), "http_status",
         "page_offset", F.col("n").alias("n_entries"), F.col("total").cast("bigint").alias("total"), F.lit("b").alias("body"),
     )
+    rows = written(rows, "landing")
     part = F.pmod(F.xxhash64("slug", "page_offset"), F.lit(3))
     again = (F.pmod(F.xxhash64("slug"), F.lit(5)) == 0) & (F.col("page_offset") == 0)
-    for i in range(3):
-        rows.where((part == i) | (again if i == 2 else F.lit(False))).coalesce(1).write.parquet(f"{folder}/in/b{i}")
+    batches = [rows.where((part == i) | (again if i == 2 else F.lit(False))) for i in range(3)]
     for i in range(2):
         end = spark.createDataFrame([("k", f"end{i}", "r", 200, 0, 1, 1, "b")], "kind string, slug string, run string, http_status int, page_offset int, n_entries int, total bigint, body string")
-        end = end.withColumn("fetched_at", F.lit(f"2024-01-0{i + 2} 00:00:00").cast("timestamp")).select(*rows.columns)
-        end.coalesce(1).write.parquet(f"{folder}/in/b{3 + i}")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
-    run = (
-        page_stream.page_sets(stream, 20).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-        .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").start()
-    )
-    run.awaitTermination()
+        batches.append(end.withColumn("fetched_at", F.lit(f"2024-01-0{i + 2} 00:00:00").cast("timestamp")).select(*rows.columns))
+    for i, batch in enumerate(batches):
+        batch.write.parquet(f"{folder}/in/b{i}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        run = (
+            page_stream.page_sets(stream, 20).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+            .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").start()
+        )
+        run.awaitTermination()
     return spark.read.schema(page_stream.OUT).parquet(f"{folder}/out").where("slug not like 'end%'")
 
 

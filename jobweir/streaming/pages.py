@@ -13,6 +13,7 @@ by the watermark afterwards.
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,7 +23,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 IN = "kind string, slug string, run string, fetched_at timestamp, http_status int, page_offset int, n_entries int, total bigint, body string"
 OUT = "kind string, slug string, run string, outcome string, closed_by string, page_offset int, body string"
-STATE = "pages string, closed boolean"
+STATE = "runs binary"
+#: Runs are dealt to so many states by their hash: a call for each run would cost
+#: more than its work.
+GROUPS = 512
 
 
 class Verdict(NamedTuple):
@@ -62,42 +66,51 @@ def page_sets(pages: DataFrame, limit: int, total_from: str = "each", late: str
     """
     wait_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
 
+    def closing(held: dict, over: bool) -> tuple[Verdict | None, list]:
+        found = verdict({o: (r[1], r[2], r[3]) for o, r in held.items()}, limit, total_from, over)
+        if found is None:
+            return None, []
+        return found, [(found.outcome, found.closed_by, o, held[o][4]) for o in found.kept] or [(found.outcome, found.closed_by, None, None)]
+
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, closed = {}, False
+        # a run is held as its deadline and its pages: offset -> fetched at, status, entries, total, body; as None once closed
+        runs: dict[tuple, list] = {}
         if state.exists:
-            text, closed = state.get
-            held = {r["page_offset"]: r for r in json.loads(text)}
-        over = state.hasTimedOut
-        if over and closed:
-            state.remove()
-            return
-        newest = 0
-        if not over:
+            for run, deadline, pages_ in json.loads(zlib.decompress(state.get[0])):
+                runs[tuple(run)] = [deadline, None if pages_ is None else {p[0]: p[1:] for p in pages_}]
+        newest: dict[tuple, int] = {}
+        if not state.hasTimedOut:
             for df in batches:
                 at = df["fetched_at"].to_numpy("datetime64[ms]").astype("int64").tolist()
                 numbers = (df[c].fillna(0).astype("int64").tolist() for c in ("page_offset", "http_status", "n_entries", "total"))
-                for at, offset, status, n, total, body in zip(at, *numbers, df["body"].tolist()):
-                    newest = max(newest, at)
+                named = zip(df["kind"].tolist(), df["slug"].tolist(), df["run"].tolist())
+                for run, at, offset, status, n, total, body in zip(named, at, *numbers, df["body"].tolist()):
+                    newest[run] = max(newest.get(run, 0), at)
+                    held = runs.setdefault(run, [0, {}])[1]
+                    if held is None:
+                        continue
                     old = held.get(offset)
-                    if old is None or at > old["at"]:
-                        held[offset] = {"page_offset": offset, "at": at, "status": status, "n": n, "total": total, "body": body}
-        found = None
-        if not closed:
-            found = verdict({o: (r["status"], r["n"], r["total"]) for o, r in held.items()}, limit, total_from, over)
-        if over:
-            state.remove()
+                    if old is None or at > old[0]:
+                        held[offset] = (at, status, n, total, body)
+        watermark, rows = state.getCurrentWatermarkMs(), []
+        for run, at in newest.items():
+            if runs[run][1] is not None:
+                found, out = closing(runs[run][1], False)
+                if found is not None:
+                    runs[run][1] = None
+                    rows += [(*run, *r) for r in out]
+            runs[run][0] = max(at, watermark) + wait_ms
+        for run in [r for r, (deadline, _) in runs.items() if deadline <= watermark and r not in newest]:
+            held = runs.pop(run)[1]
+            if held is not None:
+                rows += [(*run, *r) for r in closing(held, True)[1]]
+        if runs:
+            packed = json.dumps([(run, deadline, held and [(o, *p) for o, p in held.items()]) for run, (deadline, held) in runs.items()])
+            state.update((zlib.compress(packed.encode(), 1),))
+            state.setTimeoutTimestamp(min(deadline for deadline, _ in runs.values()))
         else:
-            if found is not None or closed:
-                held, kept_bodies = {}, held
-                closed = True
-            else:
-                kept_bodies = held
-            state.update((json.dumps(list(held.values())), closed))
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + wait_ms)
-        if found is not None:
-            bodies = held if over else kept_bodies
-            rows = [(*key, found.outcome, found.closed_by, o, bodies[o]["body"]) for o in found.kept]
-            rows = rows or [(*key, found.outcome, found.closed_by, None, None)]
+            state.remove()
+        if rows:
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
             out["page_offset"] = out["page_offset"].astype("Int32")
             yield out
@@ -105,6 +118,7 @@ def page_sets(pages: DataFrame, limit: int, total_from: str = "each", late: str
     return (
         pages.withWatermark("fetched_at", late)
         .where(F.col("kind").isNotNull() & F.col("slug").isNotNull() & F.col("run").isNotNull())
-        .groupBy("kind", "slug", "run")
+        .withColumn("_group", F.pmod(F.xxhash64("kind", "slug", "run"), F.lit(GROUPS)))
+        .groupBy("_group")
         .applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )

@@ -132,3 +132,17 @@ def test_redirects_end_as_a_walk_does(spark):
     got = {r.url: r.final_url for r in follow_redirects(df, ends).collect()}
     assert got == {u: e for u, (e, _, o) in want.items() if o == "ok"} | {"u999": "u999"}
     assert redirect_ends(spark.createDataFrame([], "url string, next string")).count() == 0
+
+
+def test_runs_that_share_a_state_close_each_by_itself(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ps, "GROUPS", 2)
+    whole = [a_page(i, o) for i in range(100, 130) for o in (0, 2, 4)]
+    # runs without an end, the later half of them 50 minutes on
+    early, on = [a_page(i, 0) for i in range(200, 215)], [a_page(i, 0, minute=50) for i in range(215, 230)]
+    again = [a_page(100, 0, minute=1, body="again")]  # closed by then
+    times = [[a_page(900 + i, 0, total=2, minute=m)] for i, m in enumerate((70, 71, 600, 601))]
+    got = streamed(spark, tmp_path, [whole[::2] + early, whole[1::2] + on, again, *times])
+    assert sorted((r.slug, r.page_offset) for r in got if "s100" <= r.slug < "s130") == sorted((p[1], p[5]) for p in whole)
+    assert not [r for r in got if r.body == "again"]
+    assert {r.slug: (r.outcome, r.closed_by) for r in got if "s200" <= r.slug < "s230"} == {f"s{i}": ("ok", "timeout") for i in range(200, 230)}
+    assert {r.slug for r in got if r.slug >= "s900"} == {f"s{900 + i}" for i in range(4)}
