@@ -26,40 +26,40 @@ ENGINES = {
 WHO_IS_HIRING = r"(?i)Ask HN:?\s*Who is hiring\?"
 
 
-def items(df: DataFrame, body: str = "body") -> DataFrame:
-    """df with one row (pos, block) for each <item> of the body."""
+def items(df: DataFrame, parse, body: str = "body") -> DataFrame:
+    """df with one row (pos, r) for each <item> of the body, r = parse(block). The
+    parts are worked out before the rows are made, so filters on them do not work
+    them out again."""
     blocks = F.regexp_extract_all(body, F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1))
-    return df.select(*[c for c in df.columns if c != body], F.posexplode(blocks).alias("pos", "block"))
+    return df.select(*[c for c in df.columns if c != body], F.posexplode(F.transform(blocks, parse)).alias("pos", "r"))
 
 
 def parse_rss(df: DataFrame, body: str = "body") -> DataFrame:
     """(..., pos, title, company, link) of items with a title and a link."""
 
-    def tag(name: str) -> Column:
-        pattern = rf"(?s)<{name}>(.*?)</{name}>"
-        return F.when(F.col("block").rlike(pattern), trimmed(F.regexp_extract("block", pattern, 1)))
+    def tag(block: Column, name: str) -> Column:
+        found = F.try_element_at(F.regexp_extract_all(block, F.lit(rf"(?s)<{name}>(.*?)</{name}>"), F.lit(1)), F.lit(1))
+        return trimmed(found)
 
-    rows = items(df, body).withColumns({"_t": tag("title"), "link": tag("link")})
-    rows = rows.where("_t is not null and link is not null").withColumn("_s", split_at(entities(F.col("_t"))))
+    def parse(block: Column) -> Column:
+        return F.struct(split_at(entities(tag(block, "title"))).alias("s"), tag(block, "link").alias("link"))
+
+    rows = items(df, parse, body).where("r.s is not null and r.link is not null")
     return rows.select(
-        *[c for c in rows.columns if c not in ("_t", "_s", "block", "link")],
-        F.col("_s.role").alias("title"),
-        F.col("_s.company").alias("company"),
-        "link",
+        *[c for c in rows.columns if c != "r"], F.col("r.s.role").alias("title"), F.col("r.s.company").alias("company"), "r.link"
     )
 
 
 def parse_rss_cdata(df: DataFrame, body: str = "body") -> DataFrame:
     """Items of the structured feed with a title and a link, and raw_json."""
-    rows = items(df, body)
-    keep = [c for c in rows.columns if c != "block"]
-    for tag, name in FEED_TAGS.items():
-        rows = rows.withColumn(name, tag_payload(F.col("block"), tag))
-    rows = rows.withColumn("description", strip_tags(F.col("description")))
-    names = list(FEED_TAGS.values())
-    return rows.where("title is not null and link is not null").select(
-        *keep, *names, F.to_json(F.struct(*names)).alias("raw_json")
-    )
+
+    def parse(block: Column) -> Column:
+        found = {name: tag_payload(block, tag) for tag, name in FEED_TAGS.items()}
+        found["description"] = strip_tags(found["description"])
+        return F.struct(*[x.alias(name) for name, x in found.items()])
+
+    rows = items(df, parse, body).where("r.title is not null and r.link is not null")
+    return rows.select(*[c for c in rows.columns if c != "r"], "r.*", F.to_json("r").alias("raw_json"))
 
 
 def parse_feed_json(df: DataFrame, body: str = "body") -> DataFrame:

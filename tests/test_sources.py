@@ -68,3 +68,12 @@ def test_snapshots_and_stream(spark, tmp_path):
         raise AssertionError
     except ValueError:
         pass
+
+
+def test_tags_are_worked_out_once(spark):
+    from jobweir.plans import pipelines
+
+    feed = spark.sql("SELECT 's' AS source, concat('<item><title>a at b</title><link>https://jobs.lever.co/x/1</link></item>', cast(id AS string)) AS body FROM range(1)")
+    plan = pipelines.structured_rss(feed)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("</title>") <= 3 and plan.count("</description>") <= 3
+    assert pipelines.structured_rss(feed).select("title", "ats_kind").first()[:] == ("a at b", "lever")
