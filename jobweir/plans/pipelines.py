@@ -25,7 +25,9 @@ FIELDS = (
 def batch(rows: DataFrame, order: list[str], ref: Column | None = None, **fields: Column) -> DataFrame:
     """Rows whose apply URL names a company, in the batch schema."""
     apply_url = fields["apply_url"]
-    rows = rows.withColumn("_ref", classify_or_other(apply_url) if ref is None else ref)
+    ref = classify_or_other(apply_url) if ref is None else ref
+    # as rows of their own: the filter below would work the reference out again
+    rows = rows.select("*", F.explode(F.array(ref)).alias("_ref"))
     default = {"raw_json": F.lit("{}"), "remote": F.lit(None).cast("boolean")}
     return rows.where("_ref is not null").select(
         *order,
