@@ -77,3 +77,10 @@ def test_tags_are_worked_out_once(spark):
     plan = pipelines.structured_rss(feed)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("</title>") <= 3 and plan.count("</description>") <= 3
     assert pipelines.structured_rss(feed).select("title", "ats_kind").first()[:] == ("a at b", "lever")
+
+
+def test_narrow_tables_are_dealt_to_all_tasks(spark):
+    from jobweir import driver
+
+    for name in ("v_feed", "v_lever", "v_pair"):
+        assert driver.view(spark, "/root/testdata/sf0.001", name).rdd.getNumPartitions() > 1
