@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
@@ -139,30 +141,39 @@ def resolve_redirects(df: DataFrame, redirects: DataFrame, url_col: str = "url")
 def redirect_ends(hops: DataFrame, most: int = 20) -> DataFrame:
     """(url, final_url, hops, outcome) of each url of single hops (url, next).
 
-    Pointers are doubled: each round joins the table with itself on where its
-    rows have got to, so a chain of n hops takes log2(n) rounds. outcome is "ok",
-    "too long" (more than most hops) or "loop"; final_url and hops are null for
-    loops, which are what no longer chain than there are urls can explain. Of
-    hops that repeat a url the alphabetically first counts; null ones count not.
+    Pointers are doubled: each round joins the rows that have not got to an end with
+    all others on where they have got to, so a chain of n hops takes log2(n) rounds.
+    A row keeps the least url of its way: one that is on the way to where it has
+    got to and again on the next such stretch comes round again, so loops are found
+    after about as many rounds as they are long, and what leads into one a round
+    later. outcome is "ok", "too long" (more than most hops) or "loop"; final_url
+    and hops are null for loops. Of hops that repeat a url the alphabetically first
+    counts; null ones count not.
     """
     rows = hops.where("url is not null and next is not null").groupBy("url").agg(F.min("next").alias("at"))
-    rows = written(rows.withColumns({"hops": F.lit(1).cast("bigint"), "done": F.lit(False)}), "hops")
-    n, reach = rows.count(), 1
+    rows = rows.withColumns({"low": F.col("at"), "hops": F.lit(1).cast("bigint"), "done": F.lit(False), "loop": F.lit(False)})
+    open_ = written(rows, "hops")
+    ended, n, reach = [], open_.count(), 1
     while True:
-        ahead = rows.select(F.col("url").alias("at"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("done").alias("_done"))
-        open_ = rows.where("not done").join(ahead, "at", "left")
+        ahead = reduce(DataFrame.unionByName, ended, open_).select(F.col("url").alias("at"), *[F.col(c).alias(f"_{c}") for c in ("at", "low", "hops", "done", "loop")])
         moved = F.col("_at").isNotNull()
-        stepped = open_.select(
-            "url", F.coalesce("_at", "at").alias("at"), (F.col("hops") + F.when(moved, F.col("_hops")).otherwise(0)).alias("hops"),
-            F.when(moved, F.col("_done")).otherwise(True).alias("done"),
+        again = moved & ~F.col("_done") & (F.col("low") == F.col("_low"))
+        stepped = open_.join(ahead, "at", "left").select(
+            "url", F.coalesce("_at", "at").alias("at"), F.least("low", "_low").alias("low"),
+            (F.col("hops") + F.when(moved, F.col("_hops")).otherwise(0)).alias("hops"),
+            F.when(moved, F.col("_done") | again).otherwise(True).alias("done"),
+            F.when(moved, F.col("_loop") | again).otherwise(False).alias("loop"),
         )
-        rows = written(rows.where("done").unionByName(stepped), "hops")
+        stepped = written(stepped, "hops")
+        ended.append(stepped.where("done"))
+        open_ = stepped.where("not done")
         reach *= 2
-        if reach > n or rows.where("not done").isEmpty():
+        if reach > n or open_.isEmpty():
             break
-    outcome = F.when(~F.col("done"), "loop").when(F.col("hops") > most, "too long").otherwise("ok")
+    rows = reduce(DataFrame.unionByName, ended, open_).withColumn("loop", F.col("loop") | ~F.col("done"))
+    outcome = F.when(F.col("loop"), "loop").when(F.col("hops") > most, "too long").otherwise("ok")
     return rows.select(
-        "url", F.when(F.col("done"), F.col("at")).alias("final_url"), F.when(F.col("done"), F.col("hops")).alias("hops"), outcome.alias("outcome")
+        "url", F.when(~F.col("loop"), F.col("at")).alias("final_url"), F.when(~F.col("loop"), F.col("hops")).alias("hops"), outcome.alias("outcome")
     )
 
 

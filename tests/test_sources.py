@@ -84,3 +84,20 @@ def test_narrow_tables_are_dealt_to_all_tasks(spark):
 
     for name in ("v_feed", "v_lever", "v_pair"):
         assert driver.view(spark, "/root/testdata/sf0.001", name).rdd.getNumPartitions() > 1
+
+
+def test_loops_end_with_their_length(spark, monkeypatch):
+    from jobweir.sources import landed
+
+    # loops of 1, 2, 3 and 5 with tails, among many chains of one hop
+    hops = [(f"c{n}_{i}", f"c{n}_{(i + 1) % n}") for n in (1, 2, 3, 5) for i in range(n)]
+    hops += [(f"{t}{n}_{i}", f"{t}{n}_{i + 1}" if i < 3 else f"c{n}_0") for t in ("a", "z") for n in (1, 2, 3, 5) for i in range(4)]
+    hops += [(f"m{i}", f"end{i}") for i in range(3000)] + [(f"l{i:02}", f"l{i + 1:02}") for i in range(12)]
+    rounds, write = [], landed.written
+    monkeypatch.setattr(landed, "written", lambda df, name: rounds.append(name) or write(df, name))
+    got = {r.url: r for r in landed.redirect_ends(spark.createDataFrame(hops, "url string, next string"), 9).collect()}
+    assert len(got) == len(hops)
+    assert {u for u, r in got.items() if r.outcome == "loop"} == {u for u, _ in hops if u[0] in "caz"}
+    assert (got["l00"].outcome, got["l00"].final_url, got["l00"].hops) == ("too long", "l12", 12)
+    assert (got["m7"].outcome, got["m7"].final_url, got["m7"].hops, got["l05"].outcome) == ("ok", "end7", 1, "ok")
+    assert len(rounds) <= 7
