@@ -347,7 +347,6 @@ class Search:
         found = source.join(self._small(need), (F.col("doc_id") == F.col("least")) & same)
         self.texts = written(found.select("node", "text"), "texts")
         self.links = self.tried = None
-        self.found = False  # whether the last pairs had a link
         self.labels = self.nodes.select("node", F.col("node").alias("label"))
 
     @staticmethod
@@ -388,7 +387,6 @@ class Search:
             new = new.join(self.tried, ["u", "v"], "left_anti")
         new = written(new, "likely")
         n = new.count()
-        self.found = False
         if not n:
             return
         ids = new.select(F.col("u").alias("node")).union(new.select("v")).distinct()
@@ -401,8 +399,7 @@ class Search:
             "links",
         )
         self.tried = new if self.tried is None else self.tried.unionByName(new)
-        self.found = not found.isEmpty()
-        if self.found:
+        if not found.isEmpty():
             self.links = found if self.links is None else self.links.unionByName(found)
             self.labels = written(merged(self.labels, found, rounds=1), "labels")
 
@@ -539,9 +536,8 @@ def find_links(bands: DataFrame, search: Search) -> None:
     left, level = search.settle(rest), 0
     if left is not None:
         left = search.settle(left, by_links=False, alone=False)
-    # members that share more than their bucket; deeper as long as that finds links
-    search.found = True
-    while left is not None and search.found:
+    # members that share more than their bucket, until no crowded bucket is left
+    while left is not None:
         level += 1
         left = search.settle(crowding(search.split(left, level)))
 

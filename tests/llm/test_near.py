@@ -248,3 +248,20 @@ def test_versions_of_one_id(docs_of):
     assert kept == [(3, a), (5, b)]  # each version by its own text
     clashing = docs_of(rows).withColumnsRenamed({"th": "_gone", "pos": "i", "label": "a"})
     assert nd.keep_one(clashing).columns == clashing.columns
+
+
+def test_deals_go_on_without_a_link(spark, monkeypatch):
+    class Turns:
+        k, labels, found, turns = nd.K, None, True, 0
+
+        def settle(self, left, **_):
+            self.turns, self.found = self.turns + 1, False
+            return left if self.turns < 6 else None
+
+        def split(self, left, level):
+            return left
+
+    monkeypatch.setattr(nd, "crowding", lambda bands, labels=None: bands)
+    search = Turns()
+    nd.find_links(spark.createDataFrame([(1, 1, True)], "bucket long, node long, first boolean"), search)
+    assert search.turns == 6
