@@ -16,30 +16,34 @@
    long, which keeps texts apart that merely share a passage, and yet miss a
    pair at the threshold less than once in a thousand. Equal texts have equal
    samples and meet before any comparison.
-4. Links. In small buckets all pairs meet. In a crowded one, what most members
-   have in each sample is taken as its consensus: about the samples of the text
-   or passage that brought them together. All members meet a few leaders: those
-   with the most of the consensus for their size, the purest copies, and those
-   with the most links so far. Who reaches the threshold by what the bucket
-   shares reaches it with a pure copy; other pairs must share samples besides,
-   so members of buckets that
-   are not of one class by then are dealt anew, by the samples in which they
-   differ from the consensus, and meet there in the same way, again and again
-   until no crowded bucket is left or such a deal finds no link any more.
-   Pairs of one class are passed over, and those whose total weights or samples
+4. Links. In small buckets all pairs meet. In a crowded one of the first deal,
+   what most members have in each sample is taken as its consensus: about the
+   samples of the text or passage that brought them together. All members meet
+   two leaders: the one with the most links so far and the purest copy, which has
+   the most of the consensus for its size. This joins most copies.
+5. The rest of crowded buckets, exactly. Texts in crowded buckets that are not of
+   one class by then go by the rarest of their shingles: shingles are ordered by
+   weight, rare ones first, then by hash, and a text is posted under those before
+   which less than 1 - threshold of its weight lies. Two texts that reach the
+   threshold share one of them, and by what lies behind the first that they share
+   most other pairs are ruled out (prefix and position filter of similarity
+   joins). What a crowd shares is frequent, so it comes last. Members of crowded
+   postings meet two leaders once more; then all pairs of different classes in
+   them meet, without those inside a posting's largest class.
+6. Pairs of one class are passed over, and those whose total weights or samples
    rule the threshold out (samples by five standard deviations); all others are
    verified by their exact weighted Jaccard similarity.
-5. Classes. Links join texts to classes; class_id is the least id in a class.
+7. Classes. Links join texts to classes; class_id is the least id in a class.
 
 Skew: a bucket may hold a third of all texts. Consensus and leaders are
-combinable aggregates of fixed size, members meet leaders by equi joins of
-tables, which adaptive execution splits, and a member meets at most two leaders a
-bucket, so the pairs grow with the members, not with their square.
+combinable aggregates of fixed size, members meet leaders and each other by equi
+joins of tables, which adaptive execution splits.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -62,9 +66,12 @@ NEED = 1_000_000
 #: Bits that are kept of each sample for the comparison in joins.
 PLANES = 8
 #: Buckets of so many members or fewer have all their pairs tried at once; larger
-#: ones go by leaders, then by the samples in which their members differ.
-SMALL = 8
+#: ones go by leaders, then by the rarest shingles of their members.
+SMALL = 32
 LINK = "u long, v long, similarity double"
+#: Postings before one that are kept with it, so that pairs are not met again and again.
+BEFORE = 8
+POSTED = ["bucket", "node", "rest", "last"]
 
 
 # --- counts of frequent shingles --------------------------------------------
@@ -307,6 +314,36 @@ def _verify(sent, threshold: float):
     return run
 
 
+def _rarest(sent, threshold: float):
+    """(bucket, node, rest, last) of texts (node, text): the shingles that a text
+    is posted under, the weight of it that this one and those behind it hold, and
+    those before it, at most so many as BEFORE."""
+
+    def run(batches):
+        shingler, weights = Shingler(), Weights(*sent.value)
+        for b in batches:
+            h, doc, times = shingler.counted([t.as_py() for t in b.column(1)])
+            one = weights(h, 1)
+            order = np.lexsort((h, -one, doc))
+            h, doc, w = h[order], doc[order], (one * times)[order]
+            size = np.bincount(doc, w, b.num_rows)
+            first = np.searchsorted(doc, doc)
+            before = np.cumsum(w) - w
+            rest = size[doc] - (before - before[first])
+            kept = np.flatnonzero(rest >= (threshold - 1e-6) * size[doc])
+            h = h.view(np.int64)
+            n = np.minimum(kept - first[kept], BEFORE)
+            ends = np.cumsum(n)
+            at = np.repeat(kept - ends, n) + np.arange(n.sum())
+            last = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(h[at]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[kept]), b.column(0).take(pa.array(doc[kept])), pa.array(rest[kept]), last],
+                names=POSTED,
+            )
+
+    return run
+
+
 # --- links ------------------------------------------------------------------
 
 
@@ -367,17 +404,25 @@ class Search:
         """left (bucket, node, ...) with planes, size and label of each node."""
         return left.join(self.nodes.select("node", "planes", "size"), "node").join(self.labels, "node")
 
-    def met(self, one: DataFrame, other: DataFrame, twice: bool = False) -> DataFrame:
+    def met(self, one: DataFrame, other: DataFrame, once: Column | None = None) -> DataFrame:
         """(u, v): who of one meets whom of other in a bucket, both as members()
         gives them, but pairs of one class, of sizes too far apart, or whose
-        samples agree too little. twice: both tables hold the same members."""
-        other = other.select(*[F.col(c).alias(f"other_{c}") for c in ("bucket", "node", "planes", "size", "label")])
+        samples agree too little. once: which of the two ways a pair of members
+        of both tables meets. Where both have rest, what lies behind a shared
+        shingle must suffice; a pair that reaches the threshold meets under the
+        first one that it shares, so not where it shares one of those before too."""
+        posted = "rest" in one.columns and "rest" in other.columns
+        other = other.select(*[F.col(c).alias(f"other_{c}") for c in other.columns])
         fits = F.least("size", "other_size") >= (self.threshold - 1e-6) * F.greatest("size", "other_size")
+        if posted:
+            need = (self.threshold - 1e-6) * (F.col("size") + F.col("other_size"))
+            fits = fits & (F.least("rest", "other_rest") * (1 + self.threshold) >= need)
         return one.join(
             other,
             (F.col("bucket") == F.col("other_bucket")) & (F.col("label") != F.col("other_label")) & fits
-            & (F.col("node") < F.col("other_node") if twice else F.lit(True))
-            & self.likely("planes", "other_planes"),
+            & (F.lit(True) if once is None else once)
+            & self.likely("planes", "other_planes")
+            & (~F.arrays_overlap("last", "other_last") if posted else F.lit(True)),
         ).select(F.least("node", "other_node").alias("u"), F.greatest("node", "other_node").alias("v"))
 
     def verify(self, pairs: DataFrame) -> None:
@@ -433,75 +478,69 @@ class Search:
             for w in range(n)
         ]
 
-    def settle(self, left: DataFrame, by_links: bool = True, alone: bool = True) -> DataFrame | None:
+    def settle(self, left: DataFrame, lead: bool = True, last: bool = False) -> DataFrame | None:
         """Verifies pairs within the buckets of left, as crowding() gives it.
 
-        Small buckets: all pairs. Crowded ones: every member meets the one with
-        the most links so far (by_links), or while there are none the purest:
-        that which has the most of the consensus for its size. alone: and the
-        purest of those that have no link. Returns
-        the members (bucket, node, past, middle, leader, n) of crowded buckets
-        that are not of one class then, None if there are none.
+        Small buckets: all pairs. Crowded ones with lead: every member meets the
+        one with the most links so far, or while there are none the purest: that
+        which has the most of the consensus for its size; and the purest of those
+        that have no link. last: all pairs of different classes. Returns the
+        members (bucket, node, ...) of crowded buckets that are not settled
+        then, None if there are none.
         """
         few = self.members(left.where(F.col("n") <= SMALL))
-        pairs = self.met(few, few, twice=True)
-        before = [c for c in left.columns if c == "leader"]
-        many = written(
-            left.where(F.col("n") > SMALL).select("bucket", "node", "past", "n", *before)
-            .join(self.nodes.select("node", "planes", "size"), "node"),
-            "many",
-        )
+        pairs = self.met(few, few, F.col("node") < F.col("other_node"))
+        many = left.where(F.col("n") > SMALL)
         if many.isEmpty():
             self.verify(pairs)
             return None
-        middles = written(self.consensus(many), "consensus")
+        if last:
+            self.verify(pairs.unionByName(self.across(many)))
+            return None
+        if not lead:
+            self.verify(pairs)
+            return many
+        many = written(many.join(self.nodes.select("node", "planes", "size"), "node"), "many")
         members = many.join(self.labels, "node")
-        ranked, links = members.join(middles, "bucket"), F.lit(0)
-        if self.links is not None and (by_links or alone):
+        if "rest" in many.columns:  # what a posting holds is frequent: the lightest text is about that alone
+            ranked, pure = members, -F.col("size")
+        else:
+            agree = self.k - sum((F.bit_count(x) for x in self.apart()), F.lit(0))
+            ranked, pure = members.join(self.consensus(many), "bucket"), agree / F.col("size")
+        links = F.lit(0)
+        if self.links is not None:
             ends = self.links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").count()
             ranked, links = ranked.join(ends, "node", "left"), F.coalesce("count", F.lit(0))
-        agree = self.k - sum((F.bit_count(x) for x in self.apart()), F.lit(0))
-        again = [F.col("node") != F.col(c) for c in before]  # the leader of last time comes last
-        near = F.struct(*again, *[links] * by_links, agree / F.col("size"), F.xxhash64("node"))
-        part = (F.col("label") == F.col("node")) & (links == 0) if alone else F.lit(False)
+        near = F.struct(links, pure, F.xxhash64("node"))
+        part = (F.col("label") == F.col("node")) & (links == 0)
         leaders = written(
             ranked.groupBy("bucket", part).agg(F.max_by("node", near).alias("node")).select("bucket", "node"), "leaders"
         )
         self.verify(pairs.unionByName(self.met(members, self.members(leaders))))
         # a bucket of one class is done
-        left = many.select("bucket", "node", "past", "n")
-        open_ = left.join(self.labels, "node").groupBy("bucket").agg(
+        open_ = many.join(self.labels, "node").groupBy("bucket").agg(
             F.min("label").alias("low"), F.max("label").alias("high")
-        ).where("low < high").join(middles, "bucket").join(
-            leaders.groupBy("bucket").agg(F.min("node").alias("leader")), "bucket"
-        )
-        left = written(left.join(open_.select("bucket", "middle", "leader"), "bucket"), "left")
+        ).where("low < high")
+        left = written(many.drop("planes", "size").join(open_.select("bucket"), "bucket", "left_semi"), "left")
         return None if left.isEmpty() else left
 
-    def split(self, left: DataFrame, level: int) -> DataFrame:
-        """(bucket, node, past): members of crowded buckets, dealt by those of
-        their samples in past that differ from what their bucket shares.
+    def across(self, many: DataFrame) -> DataFrame:
+        """(u, v): all pairs in the buckets of many (bucket, node, rest) that met()
+        lets through; those inside the largest class of a bucket are not looked at."""
+        members = written(self.members(many), "across")
+        classes_ = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"))
+        main = classes_.groupBy("bucket").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
+        main = main.select(F.col("bucket").alias("of"), "main")
+        others = members.join(main, (F.col("bucket") == F.col("of")) & (F.col("label") != F.col("main")))
+        return self.met(others.select(*members.columns), members)
 
-        Texts in crowded buckets of bands are dealt once over all (level 1),
-        later within buckets of one leader. past then loses every sample that a
-        crowded bucket shared, so this ends.
-        """
-        within, of = (["node"], F.bit_or) if level == 1 else (["leader", "node"], F.bit_and)
-        apart = left.join(self.nodes.select("node", "planes"), "node").groupBy(*within).agg(
-            F.array(*[of(F.col("past")[w].bitwiseAND(x)) for w, x in enumerate(self.apart())]).alias("past")
-        )
-        marks = F.array(
-            *[
-                F.when(
-                    F.shiftright(F.col("past")[w], bit).bitwiseAND(1) == 1,
-                    F.xxhash64(*within[:-1], F.lit("apart"), F.lit(j), F.col("samples")[j]),
-                )
-                for j, (w, bit) in enumerate(_spots(self.k))
-            ]
-        )
-        return self.nodes.select("node", "samples").join(apart, "node").select(
-            F.explode(F.array_compact(marks)).alias("bucket"), "node", "past"
-        )
+    def split(self, left: DataFrame, level: int) -> DataFrame:
+        """(bucket, node, rest, last): members of crowded buckets of bands (level 1) by
+        their rarest shingles; crowded postings stay as they are."""
+        if level > 1:
+            return left
+        texts = self.texts.join(left.select("node").distinct(), "node").select("node", "text")
+        return written(texts.mapInArrow(_rarest(self.weights, self.threshold), "bucket long, node long, rest double, last array<long>"), "rarest")
 
 
 def shared(bands: DataFrame) -> DataFrame:
@@ -526,20 +565,18 @@ def find_links(bands: DataFrame, search: Search) -> None:
     """Finds links of texts that share a bucket of bands (bucket, node, first),
     enough of them to join all that are linked. The first deal of bands goes
     first: it joins most copies, which share nearly all buckets. Of the other
-    deals only the buckets count that are not of one class by then."""
-    whole_ = F.array(*[F.lit(-1).cast("long") for _ in range(math.ceil(search.k / 64))])
-    bands = bands.withColumn("past", whole_)
-    first = search.settle(crowding(bands.where("first").drop("first")))
-    rest = crowding(bands.where("not first").drop("first"), search.labels)
-    if first is not None:
-        rest = rest.unionByName(first.select(*rest.columns))
-    left, level = search.settle(rest), 0
-    if left is not None:
-        left = search.settle(left, by_links=False, alone=False)
-    # members that share more than their bucket, until no crowded bucket is left
+    deals only the buckets count that are not of one class by then. Pairs that
+    share crowded buckets only are found by the rarest shingles of their texts."""
+    left = search.settle(crowding(bands.where("first").drop("first")))
+    rest = search.settle(crowding(bands.where("not first").drop("first"), search.labels), lead=False)
+    crowded = [x.select("bucket", "node") for x in (left, rest) if x is not None]
+    left = reduce(DataFrame.unionByName, crowded) if crowded else None
+    # members of crowded buckets by their rarest shingles, then all that is left of crowded postings
+    level = 0
     while left is not None:
         level += 1
-        left = search.settle(crowding(search.split(left, level)))
+        left = search.split(left, level)
+        left = search.settle(left if level > 1 else crowding(left, search.labels), last=level > 1)
 
 
 # --- components -------------------------------------------------------------

@@ -265,3 +265,39 @@ def test_deals_go_on_without_a_link(spark, monkeypatch):
     search = Turns()
     nd.find_links(spark.createDataFrame([(1, 1, True)], "bucket long, node long, first boolean"), search)
     assert search.turns == 6
+
+
+def test_postings_lose_no_link_of_a_crowd(docs_of):
+    """Sixty texts share half of their words; every link meets under a rare shingle."""
+    g = random.Random(12)
+    passage, texts = prose(g, 60), []
+    for _ in range(20):
+        text = f"{passage} {prose(g, g.randint(20, 90))}"
+        texts += [text, edit(g, text, 1), edit(g, text, 2)]
+    sets = [shingles(t) for t in texts]
+    links = {
+        (j, i) for i in range(60) for j in range(i)
+        if (sets[i] & sets[j]).total() >= 0.8 * (sets[i] | sets[j]).total()
+    }
+    assert 20 < len(links) < 100
+
+    frequent = np.sort(Shingler().counted([passage])[0])
+
+    class Plain(nd.Search):
+        def __init__(self, texts):
+            self.threshold, self.texts = 0.8, texts
+
+        def likely(self, p, q):
+            return F.lit(True)
+
+    class Sent:
+        value = (frequent, np.full(len(frequent), 1 - 1e-9), 1.0)
+
+    docs = docs_of(list(enumerate(texts))).select(F.col("doc_id").alias("node"), "text")
+    search = Plain(docs)
+    search.weights = Sent()
+    sizes = F.array(*[F.lit(float(x.total())) for x in sets])
+    members = search.split(docs, 1).withColumn("size", F.get(sizes, F.col("node").cast("int")))
+    members = members.withColumns({"label": F.col("node"), "planes": F.lit(0)})
+    met = [(r.u, r.v) for r in search.met(members, members, F.col("node") < F.col("other_node")).collect()]
+    assert links <= set(met) and len(set(met)) < 3 * len(links)
