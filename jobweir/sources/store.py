@@ -50,12 +50,19 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") ->
     """Write a table. mode "overwrite" replaces the partitions that df has, or
     the whole table where it has no partitions; "append" adds to a log. Rows
     with a null where the table allows none are an error."""
-    if not rejected(df, name).isEmpty():
-        raise ValueError(f"{name}: null in one of {REQUIRED[name]}")
-    by = PARTITIONED.get(name, [])
+    by, need, error = PARTITIONED.get(name, []), REQUIRED.get(name, []), f"{name}: null in one of {REQUIRED.get(name)}"
+    if by:  # such files count only when all are written, so rows are checked on their way
+        df = df.withColumns({c: F.coalesce(F.col(c), F.raise_error(F.lit(error))) for c in need})
+    elif not rejected(df, name).isEmpty():
+        raise ValueError(error)
     if "bucket" in by:
         df = df.withColumn("bucket", bucket()).repartition(*by)
-    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{root}/{name}")
+    try:
+        df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{root}/{name}")
+    except Exception as e:
+        if by and error in str(e):
+            raise ValueError(error) from e
+        raise
 
 
 def save_bucketed(df: DataFrame, table: str, path: str, key: tuple[str, ...], buckets: int = BUCKETS) -> DataFrame:

@@ -101,3 +101,19 @@ def test_loops_end_with_their_length(spark, monkeypatch):
     assert (got["l00"].outcome, got["l00"].final_url, got["l00"].hops) == ("too long", "l12", 12)
     assert (got["m7"].outcome, got["m7"].final_url, got["m7"].hops, got["l05"].outcome) == ("ok", "end7", 1, "ok")
     assert len(rounds) <= 7
+
+
+def test_a_partitioned_write_works_its_rows_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    jobs = spark.createDataFrame([], JOBS).schema
+    text = {c.name: F.lit("x") for c in jobs if c.dataType.simpleString() == "string"}
+    rows = spark.range(20).withColumns(text | {"external_id": F.col("id").cast("string"), "company_id": F.col("id")})
+    rows = landed.conform(rows.withColumns({c: F.lit("2024-01-01").cast("timestamp") for c in ("first_seen", "last_seen")}), jobs)
+    store.write_table(rows.select(*jobs.names).mapInArrow(count, jobs), f"file://{tmp_path}", "jobs")
+    assert seen.value == 20 and store.read_table(spark, f"file://{tmp_path}", "jobs").count() == 20
