@@ -21,21 +21,24 @@ def crawl_report(pages: DataFrame, group=("source",)) -> DataFrame:
     )
 
 
-def sync_report(companies: DataFrame, postings: DataFrame, merged: DataFrame, closed: DataFrame) -> DataFrame:
+def sync_report(companies: DataFrame, postings: DataFrame, merged: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     """By kind. companies (kind, outcome), postings (kind) each input row,
-    merged (kind, change), closed (kind)."""
+    merged (kind, change), closed (kind). Without closed, merged has each job of
+    the merge with closed (boolean) beside change, so that it is read once."""
     one = F.lit(0).cast("bigint")
     names = ("companies_synced", "companies_404", "jobs_seen", "jobs_new", "jobs_closed")
 
     def part(df: DataFrame, **columns: Column) -> DataFrame:
         return df.select("kind", *[columns.get(n, one).cast("bigint").alias(n) for n in names])
 
-    rows = (
-        part(companies, companies_synced=F.col("outcome") == "ok", companies_404=F.col("outcome") == "stale")
-        .unionByName(part(postings, jobs_seen=F.lit(1)))
-        .unionByName(part(merged, jobs_new=F.col("change") == "new"))
-        .unionByName(part(closed, jobs_closed=F.lit(1)))
+    new = F.col("change") == "new"
+    rows = part(companies, companies_synced=F.col("outcome") == "ok", companies_404=F.col("outcome") == "stale").unionByName(
+        part(postings, jobs_seen=F.lit(1))
     )
+    if closed is None:
+        rows = rows.unionByName(part(merged.where(new | F.col("closed")), jobs_new=new, jobs_closed=F.col("closed")))
+    else:
+        rows = rows.unionByName(part(merged, jobs_new=new)).unionByName(part(closed, jobs_closed=F.lit(1)))
     return rows.groupBy("kind").agg(*[F.coalesce(F.sum(n), one).alias(n) for n in names])
 
 

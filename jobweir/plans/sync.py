@@ -20,7 +20,7 @@ from ..functions.urls import classify
 from ..operators import merge, reports
 from ..schemas import ENTRIES
 from ..sources.adapters import normalise
-from ..sources.landed import url_list
+from ..sources.landed import once, url_list
 from ..sources.scratch import written
 from .pipelines import cleaned
 
@@ -84,11 +84,13 @@ def fetched(landed: DataFrame) -> Fetched:
     """
     inner = sorted({ENTRIES[k][0] for k in PAGED})
     says = F.from_json("body", ", ".join([f"{t} bigint" for _, t, _ in PAGED.values()] + [f"{p} array<string>" for p in inner]))
-    total = _by_kind({k: F.coalesce(says[t], F.lit(0)) for k, (_, t, _) in PAGED.items()}, F.lit(0))
-    n = _by_kind({k: F.greatest(F.size(says[ENTRIES[k][0]]), F.lit(0)) for k in PAGED}, F.lit(0))
+    total = _by_kind({k: F.coalesce(F.col("says")[t], F.lit(0)) for k, (_, t, _) in PAGED.items()}, F.lit(0))
+    n = _by_kind({k: F.greatest(F.size(F.col("says")[ENTRIES[k][0]]), F.lit(0)) for k in PAGED}, F.lit(0))
     rows = _named(landed.where(F.col("kind").isin(*ENTRIES))).select(
-        *PAGE, "http_status", total.alias("total"), n.alias("n_entries")
+        *PAGE, "http_status", once(F.when(F.col("kind").isin(*PAGED), says)).alias("says")
     )
+    # dealt by run at once: both the last answers and the windows below are worked out where they lie
+    rows = rows.select(*PAGE, "http_status", total.alias("total"), n.alias("n_entries")).repartition("kind", "slug")
     good = F.col("http_status").between(200, 299)
     last = F.struct(F.col("fetched_at").alias("at"), F.coalesce(good, F.lit(False)).alias("good"), "n_entries", F.col("body_hash").alias("hash"))
     pages = rows.groupBy("kind", "slug", "page_offset").agg(
@@ -152,16 +154,15 @@ def sync(landed: DataFrame, companies: DataFrame, jobs: DataFrame, now: Column,
     known = landed.join(ids.select(*keys), keys, "left_semi")
     got = fetched(known)
     runs = got.outcomes.join(ids, keys)
-    postings = cleaned(normalise(bodies(known, got.pages))).join(ids, keys).withColumnRenamed("kind", "ats_kind")
+    # pages names known companies only; postings are wide and their size is hard to foresee, so they are never sent whole
+    postings = cleaned(normalise(bodies(landed, got.pages))).join(ids.hint("shuffle_hash"), keys).withColumnRenamed("kind", "ats_kind")
     postings = written(postings, "postings")
     out = _merged_jobs(jobs, postings, F.struct("fetched_at", "slug", "page_offset", "pos"), now, start)
     done = runs.where("outcome = 'ok'").select("company_id", F.col("kind").alias("ats_kind"), "started_at")
     swept = merge.sweep(out.withColumn("was_open", F.col("closed_at").isNull()), done, now)
     kind = F.col("ats_kind").alias("kind")
-    report = reports.sync_report(
-        runs.select("kind", "outcome"), postings.select(kind), out.where("change = 'new'").select(kind, "change"),
-        swept.where("was_open and closed_at is not null").select(kind),
-    )
+    changes = swept.select(kind, "change", (F.col("was_open") & F.col("closed_at").isNotNull()).alias("closed"))
+    report = reports.sync_report(runs.select("kind", "outcome"), postings.select(kind), changes)
     began = runs.groupBy("kind").agg(F.min("started_at").alias("began"))
     rows = merge.run_row(
         report.join(began, "kind", "left"), F.concat(F.lit("sync:"), F.col("kind")), F.coalesce("began", now), now,

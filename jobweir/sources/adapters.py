@@ -12,7 +12,7 @@ from ..functions import remote
 from ..functions.text import city_state, first_name, html_to_text, joined_html, millis_text
 from ..functions.urls import composite, posting_url
 from ..schemas import ENTRIES
-from .landed import entries, entry_of, listed
+from .landed import entries, entry_of, listed, once
 
 #: Fields of a posting that a platform's entry gives.
 NAMES = ("external_id", "title", "location", "department", "apply_url", "description", "remote", "posted_at")
@@ -161,14 +161,14 @@ def normalise(landed: DataFrame, kinds=None) -> DataFrame:
     rows = landed.where(kind.isin(*found)).select(
         "kind", "slug", "fetched_at", "page_offset", F.posexplode(listed()).alias("pos", "entry")
     )
-    rows = rows.withColumns({f"e_{k}": F.when(kind == k, entry_of(k)) for k in found})
+    rows = rows.select("*", once(F.struct(*[F.when(kind == k, entry_of(k)).alias(k) for k in found])).alias("e"))
     good = []
     for k, p in found.items():
-        needs = [F.col(f"e_{k}._corrupt").isNull(), *[F.col(f"e_{k}.{n}").isNotNull() for n in p.required]]
+        needs = [F.col(f"e.{k}._corrupt").isNull(), *[F.col(f"e.{k}.{n}").isNotNull() for n in p.required]]
         needs += [] if p.wanted is None else [p.wanted]
         good.append((kind == k) & reduce(lambda a, b: a & b, needs))
     rows = rows.where(reduce(lambda a, b: a | b, good))
-    fields = {k: p.fields(lambda name, k=k: F.col(f"e_{k}.{name}")) for k, p in found.items()}
+    fields = {k: p.fields(lambda name, k=k: F.col(f"e.{k}.{name}")) for k, p in found.items()}
 
     def chosen(name: str) -> Column:
         out = F

@@ -75,6 +75,12 @@ def _marked(landed, total, n_entries, limit, total_from, run) -> DataFrame:
     )
 
 
+def once(x: Column) -> Column:
+    """x as a row of its own, for a select: filters and fields that name it
+    afterwards read it, where they would each work it out again."""
+    return F.explode(F.array(x))
+
+
 def listed() -> Column:
     """The list in body, as each row's kind has it: an array of JSON texts."""
     paths = sorted({path for path, _ in ENTRIES.values() if path})
@@ -105,7 +111,7 @@ def entries(landed: DataFrame, kind: str) -> DataFrame:
         "slug", "fetched_at", "page_offset", F.posexplode(found).alias("pos", "entry")
     )
     return (
-        rows.withColumn("e", entry_of(kind))
+        rows.select("*", once(entry_of(kind)).alias("e"))
         .where(F.col("e._corrupt").isNull())
         .withColumn("raw_json", F.to_json(F.try_parse_json("entry")))
         .drop("entry")

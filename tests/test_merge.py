@@ -169,3 +169,17 @@ def test_numbers_have_no_gaps(spark):
     rows = got.collect()
     assert sorted(r.id for r in rows) == list(range(51, 1051)) and len({r.k for r in rows}) == 1000
     assert rows == got.collect() and m.numbered(spark.range(0).withColumnRenamed("id", "k"), 5).collect() == []
+
+
+def test_a_sync_report_works_the_merge_out_once(spark):
+    from jobweir.plans import sync
+
+    landed = spark.createDataFrame([("lever", "s", 1, 200, 0, a_list("a", "b"))], LANDED)
+    firms = spark.createDataFrame([(1, "lever", "s")], "id long, ats_kind string, ats_slug string")
+    jobs = spark.createDataFrame([(i, 1, "lever", k, 0, c) for i, k, c in ((4, "b", None), (5, "z", None), (6, "y", 0))],
+        "id long, company_id long, ats_kind string, external_id string, last_seen int, closed_at int")
+    for c in ("title", "location", "department", "apply_url", "description", "posted_at", "raw_json", "status"):
+        jobs = jobs.withColumn(c, F.lit(None).cast("string"))
+    got = sync.sync(landed, firms, jobs.withColumns({"remote": F.lit(None).cast("boolean"), "first_seen": F.lit(0)}), F.lit(9)).report
+    assert [tuple(r) for r in got.collect()] == [("lever", 1, 0, 2, 1, 1)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("FullOuter") == 1

@@ -117,3 +117,16 @@ def test_a_partitioned_write_works_its_rows_out_once(spark, tmp_path):
     rows = landed.conform(rows.withColumns({c: F.lit("2024-01-01").cast("timestamp") for c in ("first_seen", "last_seen")}), jobs)
     store.write_table(rows.select(*jobs.names).mapInArrow(count, jobs), f"file://{tmp_path}", "jobs")
     assert seen.value == 20 and store.read_table(spark, f"file://{tmp_path}", "jobs").count() == 20
+
+
+def test_entries_are_read_once(spark):
+    from jobweir.sources import adapters
+
+    body = '[{"id":"1","text":" A "},{"text":"no id"},{"id":[2],"text":"B"},7,null]'
+    schema = "kind string, slug string, fetched_at int, page_offset int, body string"
+    landed = spark.createDataFrame([("lever", "s", 1, 0, body), ("lever", "s", 2, 0, None)], schema)
+    for got in (adapters.normalise(landed), adapters.NORMALISERS["lever"](landed)):
+        assert "1" in {r.external_id for r in got.collect()}
+        # a filter that reads JSON works out again what the fields below it read
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.split("\n") if x.strip(" :+-").startswith("Filter") and "from_json" in x]
