@@ -9,6 +9,7 @@ from .driver_more import LIST  # noqa: F401  the views of feeds and sites are re
 from .functions import match, urls
 from .operators import discover, listing, merge, reports, textindex
 from .plans import pipelines
+from .sources.scratch import written
 
 # --- search -----------------------------------------------------------------
 
@@ -113,7 +114,7 @@ _FLAT = "list_concat(list_concat(title_tokens, location_tokens), list_concat(dep
 
 
 def _kept(before: DataFrame, edits: DataFrame, gone: DataFrame):
-    old = textindex.entries(before)
+    old = written(textindex.entries(before), "index")
     new = textindex.changed(old, edits, gone)
     return new.index, textindex.added(textindex.statistics(old), new.delta)
 

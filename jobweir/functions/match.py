@@ -34,8 +34,10 @@ def tokens(x: Column) -> Column:
     A full stop belongs to its word: "Rust." is the token "rust.". Letters that
     are no accented ones in Unicode (ł, ø) stay, and so do those of two marks.
     """
-    low = F.translate(F.lower(F.coalesce(x, F.lit(""))), ACCENTED + MARKS, FOLDED)
-    return F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
+    low = F.lower(F.coalesce(x, F.lit("")))
+    # letters are looked up one by one, and there is nothing to fold in ASCII
+    folded = F.when(F.octet_length(low) > F.char_length(low), F.translate(low, ACCENTED + MARKS, FOLDED)).otherwise(low)
+    return F.regexp_extract_all(folded, F.lit(TOKEN), F.lit(0))
 
 
 def with_tokens(df: DataFrame, columns=COLUMNS) -> DataFrame:

@@ -16,12 +16,15 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.match import COLUMNS, equals, with_tokens
+from ..sources.scratch import written
 
 #: Ids in a block, and BM25's two constants.
 BLOCK, K1, B = 4096, 1.2, 0.75
 TOKENS = [f"{c}_tokens" for c in COLUMNS]
 #: The term of the statistics' row for the whole index; no token is empty.
 ALL = ""
+#: Ids of a batch that are sent to all tasks; beyond it the index is dealt to them.
+SENT = 500_000
 
 
 def entries(jobs: DataFrame) -> DataFrame:
@@ -57,12 +60,19 @@ class Change(NamedTuple):
 def changed(index: DataFrame, jobs: DataFrame, gone: DataFrame | None = None) -> Change:
     """The index after jobs (rows as they are now, new or changed; one row an id)
     and gone (id) went in, and what that adds to the statistics. Rows of jobs whose
-    texts did not change add nothing."""
-    new = entries(jobs if gone is None else jobs.join(gone.select("id"), "id", "left_anti"))
-    ids = jobs.select("id") if gone is None else jobs.select("id").unionByName(gone.select("id"))
-    old = index.join(ids.distinct(), "id", "left_semi")
+    texts did not change add nothing.
+
+    Both are written: the index is joined to the batch's ids once, and texts are
+    made tokens once. The ids are hashed, so no task sorts rows of the index.
+    """
+    now = jobs if gone is None else jobs.join(gone.select("id"), "id", "left_anti")
+    new = written(entries(now), "entries")
+    ids = new.select("id") if gone is None else new.select("id").unionByName(gone.select("id"))
+    ids = ids.distinct().withColumn("_hit", F.lit(True))
+    ids = F.broadcast(ids) if ids.count() <= SENT else ids.hint("shuffle_hash")
+    marked = written(index.join(ids, "id", "left"), "index")
+    old, kept = marked.where("_hit").drop("_hit"), marked.where("_hit is null").drop("_hit")
     delta = _summed(_counts(old, -1).unionByName(_counts(new, 1))).where("docs <> 0 or total <> 0")
-    kept = index.join(ids, "id", "left_anti")
     return Change(kept.unionByName(new), delta)
 
 
