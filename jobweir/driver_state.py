@@ -133,7 +133,7 @@ query(
     "best_by_rank", ("v_before", "v_edits", "v_gone"),
     _AFTER + ", " + _bm25_sql(["rust", "k5"])[len(_TOKENS) + 1 :] + " ORDER BY rank, id LIMIT 100",
 )(
-    lambda *v: (lambda i, s: textindex.best(i, textindex.bounds(i), textindex.corpus(s, ["rust", "k5"]), ["rust", "k5"], 100))(
+    lambda *v: (lambda i, s: textindex.best(i, textindex.bounds(i, ["rust", "k5"]), textindex.corpus(s, ["rust", "k5"]), ["rust", "k5"], 100))(
         *_kept(*v)
     ).select("id", F.round("rank", 6).alias("rank"))
 )

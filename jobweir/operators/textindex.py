@@ -120,11 +120,16 @@ def ranked(rows: DataFrame, of: Corpus, words: list[str]) -> DataFrame:
     return rows.withColumn("rank", -_score(_times(words), length, of))
 
 
-def bounds(index: DataFrame) -> DataFrame:
+def bounds(index: DataFrame, words: list[str] | None = None) -> DataFrame:
     """(block, term, most, shortest): how often a row of a block holds a term at
-    most, and the fewest tokens of its rows that do."""
-    flat = index.select("block", "id", "n", F.explode(F.flatten(F.array(*TOKENS))).alias("term"))
-    by_row = flat.groupBy("block", "id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    most, and the fewest tokens of its rows that do; of some words, or of all.
+    Some words are counted in each row where it lies."""
+    if words is None:
+        flat = index.select("block", "id", "n", F.explode(F.flatten(F.array(*TOKENS))).alias("term"))
+        by_row = flat.groupBy("block", "id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    else:
+        each = F.array(*[F.struct(F.lit(w).alias("term"), x.cast("bigint").alias("tf")) for w, x in zip(words, _times(words))])
+        by_row = index.select("block", "n", F.inline(each)).where("tf > 0")
     return by_row.groupBy("block", "term").agg(F.max("tf").alias("most"), F.min("n").alias("shortest"))
 
 
@@ -144,7 +149,7 @@ def best(index: DataFrame, bounds: DataFrame, of: Corpus, words: list[str], k: i
         alone = _score([F.col("most")], F.col("shortest"), of._replace(docs=(docs,)))
         part = F.when(place == i + 1, alone).otherwise(part)
     # doubles are summed in another order than in a rank: the bound is widened
-    blocks = own.groupBy("block").agg((F.sum(part) * (1 + 1e-9)).alias("bound"))
+    blocks = written(own.groupBy("block").agg((F.sum(part) * (1 + 1e-9)).alias("bound")), "blocks")
     first = [r["block"] for r in blocks.orderBy(F.desc("bound"), "block").limit(seeds).collect()]
     rows = ranked(index.where(F.exists(F.flatten(F.array(*TOKENS)), lambda x: x.isin(words))), of, words)
     top = rows.where(F.col("block").isin(first)).select("rank").orderBy("rank").limit(k).collect()

@@ -33,3 +33,13 @@ def test_a_changed_index_is_read_without_joins_or_texts(spark, monkeypatch):
     assert ids == sorted((set(range(80)) | set(range(60, 110, 2))) - {3, 70, 102})
     want = sorted(ti.statistics(new.index).collect())
     assert sorted(ti.added(ti.statistics(old), new.delta).collect()) == want
+
+
+def test_bounds_of_some_words_are_those_of_all(spark, monkeypatch):
+    monkeypatch.setattr(ti, "BLOCK", 7)
+    index = ti.entries(jobs(spark, random.Random(5), range(50)))
+    words = ["rust", "łodz", "none"]
+    few = ti.bounds(index, words)
+    assert sorted(few.collect()) == sorted(ti.bounds(index).where(F.col("term").isin(words)).collect())
+    # rows of one block meet; those of one job need not
+    assert few._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
