@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows and bytes in an Arrow batch of texts, whichever is reached first. Python
@@ -54,6 +58,47 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: Bytes of text that a task in Python works on at once.
+STRETCH = 1 << 20
+
+
+def stretches(batches, *texts: int):
+    """The rows of Arrow batches in slices of about STRETCH bytes in the columns
+    texts, so that arrays made of them are small whatever a batch holds."""
+    for b in batches:
+        ends = np.cumsum(sum(pc.binary_length(b.column(c)).fill_null(0).to_numpy() for c in texts), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            most = STRETCH + (ends[at - 1] if at else 0)
+            to = max(at + 1, int(np.searchsorted(ends, most, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def give_back() -> None:
+    """Gives memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()  # what the C library keeps, too
+
+
+def lean(task, encodes: bool = False):
+    """task, a function of batches for mapInArrow, in a worker that holds nothing
+    else: Spark uses Python workers again for other stages, so a task that does
+    not encode lets go of the tokenizers kept there, and memory freed before and
+    in it goes back to the system."""
+
+    def run(batches):
+        if not encodes and "tokenizers" in sys.modules:
+            vars(sys.modules["tokenizers"]).pop("_encoders_of_jobweir", None)
+        give_back()
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """name, with underscores before it until docs has no such column."""
     taken = {c.lower() for c in docs.columns}

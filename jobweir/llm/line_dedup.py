@@ -38,7 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fresh, small_batches, whole, written
+from .common import fresh, lean, small_batches, whole, written
 
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -488,7 +488,7 @@ def repeated_lines(
     ).first()[0]
     if (size or 0) <= FILTER_BYTES:
         sent = spark.sparkContext.broadcast(Filters.of(state.filters.collect(), state.n_shards).plain())
-        maybe = lines.mapInArrow(_probe(sent), HIT)
+        maybe = lines.mapInArrow(lean(_probe(sent)), HIT)
     else:
         maybe = _probed_by_shard(lines, state)
     # tables on both sides, so that the join can be split where a key is frequent

@@ -50,7 +50,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import fresh, small_batches, whole, written
+from .common import fresh, lean, small_batches, stretches, whole, written
 from .shingles import Shingler, mix
 
 COMMON = 0.01
@@ -91,13 +91,15 @@ def _frequent_here(share: float):
         before = None
 
         def frequent(held, n_docs):
-            h = np.sort(np.concatenate(held))
-            at = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
-            times = np.diff(at, append=len(h))
-            found = h[at[times >= share * n_docs - 1e-9]].view(np.int64)
+            h = np.concatenate(held)
+            held.clear()
+            h.sort()
+            times = max(1, math.ceil(share * n_docs - 1e-9))
+            starts = h[: max(0, len(h) - times + 1)]
+            found = np.unique(starts[starts == h[times - 1 :]]).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(found)], names=["h"])
 
-        for b in batches:
+        for b in stretches(batches, 0):
             h, _, _ = shingler.counted([t.as_py() for t in b.column(0)])
             held, n_docs, n = held + [h], n_docs + b.num_rows, n + len(h)
             if n >= GROUP and share * n_docs >= 2:
@@ -105,7 +107,7 @@ def _frequent_here(share: float):
                     yield frequent(*before)
                 before, held, n_docs, n = (held, n_docs), [], 0, 0
         if before:
-            held, n_docs = before[0] + held, before[1] + n_docs
+            held, n_docs, before = before[0] + held, before[1] + n_docs, None
         if held:
             yield frequent(held, n_docs)
 
@@ -116,10 +118,10 @@ def _count_these(sent):
     def run(batches):
         shingler, wanted = Shingler(), sent.value
         total = np.zeros(len(wanted), np.int64)
-        for b in batches:
+        for b in stretches(batches, 0):
             h = shingler.counted([t.as_py() for t in b.column(0)])[0].view(np.int64)
             at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-            total += np.bincount(at[wanted[at] == h], minlength=len(wanted))
+            np.add.at(total, at[wanted[at] == h], 1)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(wanted[some]), pa.array(total[some])], names=["h", "n"]
@@ -130,7 +132,7 @@ def _count_these(sent):
 
 def _all_shingles(batches):
     shingler = Shingler()
-    for b in batches:
+    for b in stretches(batches, 0):
         h = shingler.counted([t.as_py() for t in b.column(0)])[0].view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
 
@@ -141,15 +143,16 @@ def frequent_shingles(texts: DataFrame, n_docs: int, share: float = COMMON) -> D
     A shingle over one document only is never frequent.
     """
     spark = texts.sparkSession
-    maybe = written(texts.mapInArrow(_frequent_here(share), "h long").distinct(), "frequent")
+    maybe = written(texts.mapInArrow(lean(_frequent_here(share)), "h long").distinct(), "frequent")
     if maybe.count() <= SENT:
         wanted = np.sort(maybe.toArrow().column("h").to_numpy())
         if not len(wanted):
             return spark.createDataFrame([], "h long, n long")
-        counts = texts.mapInArrow(_count_these(spark.sparkContext.broadcast(wanted)), "h long, n long")
+        sent = spark.sparkContext.broadcast(wanted)
+        counts = texts.mapInArrow(lean(_count_these(sent)), "h long, n long")
     else:
         counts = (
-            texts.mapInArrow(_all_shingles, "h long").join(maybe, "h", "left_semi")
+            texts.mapInArrow(lean(_all_shingles), "h long").join(maybe, "h", "left_semi")
             .select("h", F.lit(1).alias("n"))
         )
     return counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, share * n_docs))
@@ -249,7 +252,7 @@ CHUNK = 32_000
 def _sample_texts(sent, k: int):
     def run(batches):
         shingler, sampler, weights = Shingler(), Sampler(k), Weights(*sent.value)
-        for b in batches:
+        for b in stretches(batches, 3):
             h, doc, times = shingler.counted([t.as_py() for t in b.column(3)])
             w = weights(h, times)
             size = pa.array(np.bincount(doc, w, b.num_rows).astype(np.float64))
@@ -302,7 +305,7 @@ def similarities(shingler: Shingler, weights: Weights, left: list[str], right: l
 def _verify(sent, threshold: float):
     def run(batches):
         shingler, weights = Shingler(), Weights(*sent.value)
-        for b in batches:
+        for b in stretches(batches, 2, 3):
             s = similarities(
                 shingler, weights, [t.as_py() for t in b.column(2)], [t.as_py() for t in b.column(3)]
             )
@@ -321,7 +324,7 @@ def _rarest(sent, threshold: float):
 
     def run(batches):
         shingler, weights = Shingler(), Weights(*sent.value)
-        for b in batches:
+        for b in stretches(batches, 1):
             h, doc, times = shingler.counted([t.as_py() for t in b.column(1)])
             one = weights(h, 1)
             order = np.lexsort((h, -one, doc))
@@ -440,7 +443,7 @@ class Search:
             new.join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
             .join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u")
             .select("u", "v", "tu", "tv")
-            .mapInArrow(_verify(self.weights, self.threshold), LINK),
+            .mapInArrow(lean(_verify(self.weights, self.threshold)), LINK),
             "links",
         )
         self.tried = new if self.tried is None else self.tried.unionByName(new)
@@ -540,7 +543,8 @@ class Search:
         if level > 1:
             return left
         texts = self.texts.join(left.select("node").distinct(), "node").select("node", "text")
-        return written(texts.mapInArrow(_rarest(self.weights, self.threshold), "bucket long, node long, rest double, last array<long>"), "rarest")
+        posted = lean(_rarest(self.weights, self.threshold))
+        return written(texts.mapInArrow(posted, "bucket long, node long, rest double, last array<long>"), "rarest")
 
 
 def shared(bands: DataFrame) -> DataFrame:
@@ -670,7 +674,7 @@ def linked(
     weights = spark.sparkContext.broadcast(Weights.of(source.select("text"), idf=idf).plain())
     sampled = written(
         source.mapInArrow(
-            _sample_texts(weights, k), "doc_id long, a long, b long, size double, samples array<int>"
+            lean(_sample_texts(weights, k)), "doc_id long, a long, b long, size double, samples array<int>"
         ),
         "samples",
     )

@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import small_batches, whole, written
+from .common import lean, small_batches, whole, written
 from .tokens import Encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -246,7 +246,7 @@ def pieces(
     small_batches(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")
-    ).mapInArrow(_cut(tokenizer, end_id, max_tokens), PIECES)
+    ).mapInArrow(lean(_cut(tokenizer, end_id, max_tokens), encodes=True), PIECES)
 
 
 def _place(sent):

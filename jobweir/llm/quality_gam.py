@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import fresh, small_batches, whole
+from .common import fresh, lean, small_batches, whole
 
 MAX_ROWS = 20_000
 
@@ -262,7 +262,7 @@ def train(
         docs.select(F.col(id_col).alias("_doc"), whole(text_col).alias("text"))
         .join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
         .select("y", "text")
-        .mapInArrow(_feature_rows, "y double, x array<double>")
+        .mapInArrow(lean(_feature_rows), "y double, x array<double>")
         .collect()
     )
     rows.sort()  # sums of floats then do not depend on the order of arrival

@@ -16,12 +16,16 @@ import re
 from array import array
 from itertools import chain
 
+from .common import give_back
+
 #: Bytes of pieces and ids that a worker keeps, with what Python adds to each.
 CACHE_BYTES, OVERHEAD = 64 << 20, 150
 #: Longer pieces are not kept.
 LONG = 64
+#: Pieces that are encoded together: the library's results take about 1 KB each.
+AT_ONCE = 4096
 #: Characters of text that are looked up together.
-CHARS = 1 << 20
+CHARS = 1 << 18
 
 
 class Encoder:
@@ -32,6 +36,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        give_back()  # reading the file takes several times what the tokenizer keeps
         self.cut = re.compile(r"(?<=\S)(?= \S)")
         #: By piece, as _pieces gives it: the ids.
         self.cache: dict[str | bytes, bytes] = {}
@@ -48,8 +53,11 @@ class Encoder:
         return held[path]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        out = []
+        for at in range(0, len(texts), AT_ONCE):
+            found = self.tokenizer.encode_batch_fast(texts[at : at + AT_ONCE], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in found]
+        return out
 
     def _pieces(self, text: str) -> list[str | bytes]:
         """A text's pieces. A blank before a piece is left out, and a line end
